@@ -8,8 +8,11 @@ no shuffle needed to keep a message together).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,24 @@ Getter = Callable[[str], Column]
 Stage = Callable[[Getter], dict[str, Column]]
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a large expression for the life of the JVM.
+
+    Building one takes thousands of calls to the JVM, about a second. The
+    arguments have to be hashable, so inputs are given as column names.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -47,13 +68,20 @@ def widen_array(items: Column, names: list[str], stages: list[Stage]) -> Column:
     return items
 
 
+def first_of(branches: Iterable[tuple[Column, Column]], default: Column) -> Column:
+    """One flat CASE: the value of the first branch that is true. NULL counts as false."""
+    out = None
+    for condition, value in branches:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return default if out is None else out.otherwise(default)
+
+
 def first_match(subject: Column, rules: list[tuple[str, str]], anchored: bool = False) -> Column:
     """Value of the first rule whose pattern is found in ``subject``."""
-    out = F.lit(None).cast("string")
-    for pattern, value in reversed(rules):
-        found = subject.rlike(f"^(?:{pattern})" if anchored else pattern)
-        out = F.when(found, F.lit(value)).otherwise(out)
-    return out
+    branches = [
+        (subject.rlike(f"^(?:{pattern})" if anchored else pattern), F.lit(value)) for pattern, value in rules
+    ]
+    return first_of(branches, F.lit(None).cast("string"))
 
 
 def keep_last(items: Column, key: str) -> Column:

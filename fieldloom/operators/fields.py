@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.catalog import MAX_DEPTH
 from fieldloom.functions import infer
 from fieldloom.functions.document import flatten_document
-from fieldloom.functions.rows import widen_array, widen_table
+from fieldloom.functions.rows import built_once, widen_array, widen_table
 
 ENTRY = ["key", "value", "kind"]
 FIELD = [
@@ -27,8 +27,10 @@ def drop_null_fields(entries: Column) -> Column:
     return F.filter(entries, lambda e: e["kind"] != "null")
 
 
-def field_array(root: Column, document: Column, max_depth: int, preserve_nulls: bool) -> Column:
-    entries = flatten_document(root, document, max_depth)
+@built_once
+def field_array(decoded: str, max_depth: int, preserve_nulls: bool) -> Column:
+    """The typed and flagged fields of the decoded document in column ``decoded``."""
+    entries = flatten_document(F.col(f"{decoded}.root"), F.col(f"{decoded}.document"), max_depth)
     if not preserve_nulls:
         entries = drop_null_fields(entries)
 
@@ -48,9 +50,8 @@ def signature_of(fields: Column) -> Column:
 
 def extract(decoded: DataFrame, max_depth: int = MAX_DEPTH, preserve_nulls: bool = False) -> DataFrame:
     """B1 to B9 for decoded messages: adds ``fields`` and ``schema_signature``."""
-    fields = field_array(F.col("decoded.root"), F.col("decoded.document"), max_depth, preserve_nulls)
     return (
-        decoded.withColumn("fields", fields)
+        decoded.withColumn("fields", field_array("decoded", max_depth, preserve_nulls))
         .drop("decoded")
         .withColumn("schema_signature", signature_of(F.col("fields")))
     )

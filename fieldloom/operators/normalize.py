@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fieldloom import catalog
 from fieldloom.functions import infer
 from fieldloom.functions.formula import formula_case
-from fieldloom.functions.rows import Getter, Stage, keep_last, let, widen_array, widen_table
+from fieldloom.functions.rows import Getter, Stage, built_once, keep_last, let, widen_array, widen_table
 from fieldloom.operators.fields import FIELD
 from fieldloom.plans.lookup import lookup_join
 from fieldloom.session import materialise
@@ -308,7 +308,8 @@ def normalize_table(fields: DataFrame, compiled: DataFrame, **options) -> DataFr
 # ---- message operators ------------------------------------------------------
 
 
-def event_time(fields: Column, names: list[str] | None = None) -> Column:
+@built_once
+def event_time(fields: str, names: tuple[str, ...] = ()) -> Column:
     """struct<moment, broken>.
 
     The first flagged field, in document order, that can be read as a time;
@@ -326,10 +327,9 @@ def event_time(fields: Column, names: list[str] | None = None) -> Column:
         )
         return F.get(F.filter(read, lambda r: r["moment"].isNotNull() | r["broken"]), F.lit(0))
 
-    words = infer.any_of
-    wanted = names or catalog.EVENT_TIME_NAMES
+    wanted = list(names) or catalog.EVENT_TIME_NAMES
     flagged = first(F.filter(fields, lambda f: f["is_timestamp"]))
-    named = first(F.filter(fields, lambda f: words(F.lower(f["key"]), wanted)))
+    named = first(F.filter(fields, lambda f: infer.any_of(F.lower(f["key"]), wanted)))
     return F.coalesce(flagged, named)
 
 
@@ -340,6 +340,53 @@ def pack_mappings(compiled: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def mapped_array(with_number: bool) -> Column:
+    """The ``fields`` of a message, each with its mapping ``m`` from the column ``mapping``."""
+    mapping = F.col("mapping")
+    stages: list[Stage] = [lambda get: {"m": F.try_element_at(mapping, get("key"))}]
+    if with_number:
+        stages.append(lambda get: {"number": infer.as_double(get)})
+    return widen_array(F.col("fields"), FIELD, stages)
+
+
+@built_once
+def entry_array(
+    with_formulas: bool,
+    null_strategy: str,
+    include_unmapped: bool,
+    include_invalid: bool,
+    defaults: tuple,
+    precision: tuple,
+) -> Column:
+    """All steps over the fields of a message, in order: map, convert, type, range, route, record."""
+    have = [*FIELD, "m"]
+    if with_formulas:
+        mapped = F.transform(
+            "_mapped",
+            lambda f, i: F.struct(*[f[n].alias(n) for n in have], F.get("_by_formula", i).alias("by_formula")),
+        )
+        have.append("by_formula")
+    else:
+        mapped = mapped_array(False)
+
+    def convert(get: Getter) -> dict[str, Column]:
+        return convert_stage(get("by_formula") if with_formulas else None)(get)
+
+    route = route_stage(null_strategy, dict(defaults), list(precision))
+    wide = widen_array(mapped, have, [convert, enforce_stage, range_stage, route, record_stage])
+    failed = ["conversion_failed", "type_mismatch", "out_of_range"]
+
+    def finish(e: Column) -> Column:
+        # without invalid values only the audit records of a failed field stay
+        key = e["out_key"] if include_invalid else F.when(~e["status"].isin(failed), e["out_key"])
+        return F.struct(*[(key if n == "out_key" else e[n]).alias(n) for n in ENTRY])
+
+    entries = F.transform(wide, finish)
+    dropped = ([] if include_unmapped else ["unmapped"]) + (["null"] if null_strategy == "omit" else [])
+    return F.filter(entries, lambda e: ~e["status"].isin(dropped)) if dropped else entries
+
+
 def normalize(
     extracted: DataFrame,
     compiled: DataFrame,
@@ -363,50 +410,23 @@ def normalize(
     formulas = distinct_formulas(compiled)
 
     joined = lookup_join(extracted, packed, ["schema_signature"])
-    mapping = F.col("mapping")
-    lookup: Stage = lambda get: {"m": F.try_element_at(mapping, get("key"))}
-    number: Stage = lambda get: {"number": infer.as_double(get)}
-    first_steps = [lookup, number] if formulas else [lookup]
-    mapped = widen_array(F.col("fields"), FIELD, first_steps)
-    have = [*FIELD, "m"]
+    settings = (
+        null_strategy, include_unmapped, include_invalid,
+        tuple((catalog.DEFAULT_VALUES if defaults is None else defaults).items()),
+        tuple(catalog.PRECISION if precision is None else precision),
+    )
     if formulas:
         # two arrays side by side, because the formulas are SQL text over a lambda variable
-        joined = joined.withColumn("_mapped", mapped).withColumn(
+        joined = joined.withColumn("_mapped", mapped_array(True)).withColumn(
             "_by_formula",
             F.expr(f"transform(_mapped, f -> {formula_case(formulas, 'f.m.conversion_formula', 'f.number')})"),
         )
-        mapped = F.transform(
-            "_mapped",
-            lambda f, i: F.struct(*[f[n].alias(n) for n in have], F.get("_by_formula", i).alias("by_formula")),
-        )
-        have.append("by_formula")
-
-    def convert(get: Getter) -> dict[str, Column]:
-        return convert_stage(get("by_formula") if formulas else None)(get)
-
-    stages = [convert, enforce_stage, range_stage, route_stage(null_strategy, defaults, precision), record_stage]
-    wide = widen_array(mapped, have, stages)
-    entries = F.transform(wide, lambda e: F.struct(*[e[n].alias(n) for n in ENTRY]))
-    dropped = []
-    if null_strategy == "omit":
-        dropped.append("null")
-    if not include_unmapped:
-        dropped.append("unmapped")
-    if not include_invalid:
-        # the audit records stay, only the output value goes
-        entries = F.transform(
-            entries,
-            lambda e: e.withField(
-                "out_key",
-                F.when(~e["status"].isin("conversion_failed", "type_mismatch", "out_of_range"), e["out_key"]),
-            ),
-        )
-    if dropped:
-        entries = F.filter(entries, lambda e: ~e["status"].isin(*dropped))
+    entries = entry_array(bool(formulas), *settings)
 
     now = as_of if isinstance(as_of, Column) else (F.lit(as_of) if as_of is not None else F.current_timestamp())
-    mapped_any = F.exists("entries", lambda e: e["status"] != "unmapped")
-    out = joined.withColumn("entries", entries).withColumn("_time", event_time(F.col("fields"), names))
+    mapped_any = F.exists("fields", lambda f: F.map_contains_key("mapping", f["key"]))
+    mapped_any = F.coalesce(mapped_any, F.lit(False))
+    out = joined.withColumn("entries", entries).withColumn("_time", event_time("fields", tuple(names or ())))
     columns = [c for c in extracted.columns if c != "fields"]
     confidence = F.when(mapped_any, 1.0).otherwise(0.0)
     llm, context = F.lit(False), F.lit(None).cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import catalog
+from fieldloom.functions.rows import first_of
 from fieldloom.operators.normalize import final_entries
 
 # Fixed values of the linked-data format.
@@ -39,19 +40,22 @@ def _rules(rules: list[Rule] | DataFrame | None) -> list[Rule]:
 
 
 def _by_device(rules: list[Rule], topic: str) -> Column:
-    out = F.lit(None).cast("string")
-    for rule in reversed([r for r in rules if r.kind == "device" and getattr(r, topic)]):
-        out = F.when(F.col("device_id").contains(rule.pattern), getattr(rule, topic)).otherwise(out)
-    return out
+    branches = [
+        (F.col("device_id").contains(r.pattern), F.lit(getattr(r, topic)))
+        for r in rules
+        if r.kind == "device" and getattr(r, topic)
+    ]
+    return first_of(branches, F.lit(None).cast("string"))
 
 
 def route_kafka(messages: DataFrame, rules: list[Rule] | DataFrame | None = None, prefix: str = KAFKA_PREFIX) -> DataFrame:
     """Device rule, context rule, else ``prefix.<context>`` or ``prefix.general``."""
     table = _rules(rules)
-    by_context = F.lit(None).cast("string")
     # of two rules for one context the later one counts
-    for rule in [r for r in table if r.kind == "context"]:
-        by_context = F.when(F.col("context") == rule.pattern, F.lit(rule.kafka_topic)).otherwise(by_context)
+    contexts = {r.pattern: r.kafka_topic for r in table if r.kind == "context"}
+    by_context = first_of(
+        [(F.col("context") == c, F.lit(t).cast("string")) for c, t in contexts.items()], F.lit(None).cast("string")
+    )
     named = F.when(F.col("context") != "", F.lower(F.replace("context", F.lit(" "), F.lit("_"))))
     default = F.concat(F.lit(prefix + "."), F.coalesce(named, F.lit("general")))
     by_context = F.when(F.col("context") != "", F.nullif(by_context, F.lit("")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import catalog
-from fieldloom.functions.rows import keep_last
+from fieldloom.functions.rows import first_of, keep_last
 from fieldloom.functions.similarity import hash_bucket, tokens
 from fieldloom.operators.registry import registry_lookup
 
@@ -137,15 +137,13 @@ def _rule_concept(key: Column, hint: Column, concepts: list[tuple], mode: str) -
         wanted = F.array(*[F.lit(t) for t in alias.split("_")])
         return F.size(F.array_except(wanted, tokens(subject))) == 0
 
-    out = F.lit(None).cast("struct<concept_id:string,unit:string>")
-    for alias, concept, unit in reversed(aliases):
-        out = F.when(has(low_key, alias), target(concept, unit)).otherwise(out)
-    for alias, concept, unit in reversed(aliases):
+    def by_hint(alias: str) -> Column:
         found = has(low_hint, alias)
-        if mode == "compat":
-            found = found | F.lit(alias).contains(low_hint)
-        out = F.when(F.coalesce(found, F.lit(False)), target(concept, unit)).otherwise(out)
-    return out
+        return found | F.lit(alias).contains(low_hint) if mode == "compat" else found
+
+    branches = [(by_hint(a), target(c, u)) for a, c, u in aliases]
+    branches += [(has(low_key, a), target(c, u)) for a, c, u in aliases]
+    return first_of(branches, F.lit(None).cast("struct<concept_id:string,unit:string>"))
 
 
 def match_by_rules(names: DataFrame, concepts: DataFrame | None = None, mode: str = "compat") -> DataFrame:
@@ -201,9 +199,10 @@ def validate_mappings(mappings: DataFrame) -> DataFrame:
 
 def weighted_confidence() -> Column:
     """C12 as an aggregate: NULL if there are passthrough mappings only."""
-    weight = F.lit(None).cast("double")
-    for method, value in catalog.METHOD_WEIGHTS.items():
-        weight = F.when(F.col("resolution_method") == method, value).otherwise(weight)
+    weight = first_of(
+        [(F.col("resolution_method") == m, F.lit(w)) for m, w in catalog.METHOD_WEIGHTS.items()],
+        F.lit(None).cast("double"),
+    )
     return F.least(F.lit(1.0), F.try_divide(F.sum(F.col("confidence") * weight), F.sum(weight)))
 
 

@@ -22,6 +22,8 @@ def build_session(app: str = "fieldloom", master: str | None = None, **conf: str
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # no Python call sites for every column: they cost more than the column itself
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **REQUIRED,
         **conf,
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.rows import first_of
+
 # (event type, protocol, payload template over value, k, user and event id)
 SHAPES = [
     ("click", "MQTT", """concat('{"temp_c":', value, ',"humidity_pct":', k, ',"device_id":"user-', user_id, '"}')"""),
@@ -17,10 +19,9 @@ SHAPES = [
 
 def messages_from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    protocol = payload = F.lit(None).cast("string")
-    for event_type, name, template in reversed(SHAPES):
-        protocol = F.when(F.col("event_type") == event_type, name).otherwise(protocol)
-        payload = F.when(F.col("event_type") == event_type, F.expr(template)).otherwise(payload)
+    none = F.lit(None).cast("string")
+    protocol = first_of([(F.col("event_type") == e, F.lit(p)) for e, p, _ in SHAPES], none)
+    payload = first_of([(F.col("event_type") == e, F.expr(t)) for e, _, t in SHAPES], none)
     device = F.concat(F.lit("user-"), F.col("user_id"))
     return events.withColumn("k", k).select(
         F.concat(F.lit("evt-"), F.col("event_id")).alias("message_id"),
