@@ -78,8 +78,15 @@ def decode_xml(df: DataFrame) -> DataFrame:
     return df.withColumn("document", xml_document(payload_text(df)))
 
 
-_CSV_LINE = r'((?:"(?:[^"]|"")*"|[^"\r\n])+)'
-_CSV_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+# A quote inside a quoted cell is written twice, which reads as two quoted parts side by side.
+_CSV_LINE = r'((?:[^"\r\n]++|"[^"]*+")++)'
+_CSV_CELL = r',((?:"[^"]*+")++|[^,]*+)'
+
+
+def _csv_lines(text: Column) -> Column:
+    """Lines that are not empty. Only quoted text, which may hold line ends, needs the slower pattern."""
+    plain = F.filter(F.split(text, r"\r\n|\r|\n"), lambda line: line != "")
+    return F.when(text.contains('"'), F.regexp_extract_all(text, F.lit(_CSV_LINE), F.lit(1))).otherwise(plain)
 
 
 def _csv_cells(line: Column) -> Column:
@@ -119,7 +126,7 @@ def csv_document(text: Column) -> Column:
             ),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(_CSV_LINE), F.lit(1)), build)
+    return let(_csv_lines(text), build)
 
 
 def decode_csv(df: DataFrame) -> DataFrame:
