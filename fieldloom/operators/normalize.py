@@ -267,7 +267,7 @@ def distinct_formulas(compiled: DataFrame) -> list[str]:
 
 def apply_mappings(fields: DataFrame, compiled: DataFrame) -> DataFrame:
     """Every field with its mapping ``m``, NULL where there is none."""
-    return lookup_join(fields, compiled, ["schema_signature", "key"])
+    return lookup_join(fields, materialise(compiled), ["schema_signature", "key"])
 
 
 def unmapped_fields(mapped: DataFrame) -> DataFrame:
@@ -398,16 +398,20 @@ def normalize(
     defaults: dict | None = None,
     precision: list[tuple[str, int]] | None = None,
     names: list[str] | None = None,
+    formulas: list[str] | None = None,
 ) -> DataFrame:
     """Messages with their ``entries`` after all steps, in document order.
 
-    The only join is by signature against the catalogue of mappings.
+    The only join is by signature against the catalogue of mappings. The
+    distinct explicit formulas are looked up unless they are given.
     """
     packed = pack_mappings(compiled)
     if signatures is not None:
         packed = signatures.join(packed, "schema_signature", "full_outer")
     packed = materialise(packed)
-    formulas = distinct_formulas(compiled)
+    if formulas is None:
+        values = packed.select(F.explode(F.map_values("mapping")).alias("m"))
+        formulas = distinct_formulas(values)
 
     joined = lookup_join(extracted, packed, ["schema_signature"])
     settings = (

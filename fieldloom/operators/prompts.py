@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import catalog
 from fieldloom.functions import infer
+from fieldloom.functions.document import is_whole_value
 from fieldloom.functions.rows import first_of, let
 from fieldloom.operators.translate import _concept_list
 
@@ -141,10 +142,10 @@ _REPLY = (
 
 def parse_replies(replies: DataFrame) -> DataFrame:
     """The reply as a struct; if the text is no JSON, the span from the first to the last bracket."""
-    whole = F.from_json("reply", _REPLY)
-    span = F.from_json(F.regexp_extract("reply", r"(\{[\s\S]*\})", 1), _REPLY)
-    is_json = F.try_parse_json("reply").isNotNull()
-    return replies.withColumn("_r", F.when(is_json, whole).otherwise(span))
+    span = F.regexp_extract("reply", r"(\{[\s\S]*\})", 1)
+    # the JSON reader ignores text behind the first value, so each candidate is checked as a whole
+    text = F.when(is_whole_value(F.col("reply")), F.col("reply")).when(is_whole_value(span), span)
+    return replies.withColumn("_r", F.from_json(text, _REPLY))
 
 
 def load_llm_replies(replies: DataFrame, concepts: DataFrame | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def size_gate(df: DataFrame, json: str, max_keys: int = 1000, max_string: int =
 
 def clean_keys(fields: DataFrame, out: str = "clean_key") -> DataFrame:
     """Every segment of a dotted key; NULL if a segment has nothing left."""
-    parts = F.transform(F.split("key", r"\."), T.clean_identifier)
+    parts = F.transform(F.split("key", r"\."), lambda part: T.clean_identifier(part))
     whole = ~F.exists(parts, lambda p: p.isNull())
     return fields.withColumn(out, F.when(whole, F.array_join(parts, ".")))
 

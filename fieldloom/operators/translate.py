@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import catalog
-from fieldloom.functions.rows import first_of, keep_last
+from fieldloom.functions.rows import built_once, first_of, keep_last
 from fieldloom.functions.similarity import hash_bucket, tokens
 from fieldloom.operators.registry import registry_lookup
+from fieldloom.session import materialise
 
 MAPPING = {
     "schema_signature": "string",
@@ -30,6 +31,7 @@ MAPPING = {
     "ordinal": "int",
 }
 NAME = ["key", "inferred_semantic", "inferred_unit"]
+RULE_REASON = "rule-based fallback (no LLM available)"
 
 
 def as_mappings(df: DataFrame, **columns: Column) -> DataFrame:
@@ -57,7 +59,13 @@ def passthrough_mappings(fields: DataFrame) -> DataFrame:
 
 
 def distinct_names(fields: DataFrame) -> DataFrame:
-    return fields.filter(~F.col("flagged")).select(*NAME).distinct()
+    """One row for each name. Grouped by the key alone, as unit and hint follow from it.
+
+    All later steps group by the key too and need no further shuffle.
+    """
+    return fields.filter(~F.col("flagged")).groupBy("key").agg(
+        F.any_value("inferred_semantic").alias("inferred_semantic"), F.any_value("inferred_unit").alias("inferred_unit")
+    )
 
 
 def _concept_list(concepts: DataFrame | None) -> list[tuple]:
@@ -67,8 +75,9 @@ def _concept_list(concepts: DataFrame | None) -> list[tuple]:
     return [(r["ordinal"], r["concept_id"], r["description"], r["unit"], r["datatype"], r["aliases"]) for r in rows]
 
 
-def vector(text: Column) -> Column:
-    """array<struct<weight, bucket>>. Known tokens weigh 1 and win their bucket."""
+@built_once
+def vector(*columns: str) -> Column:
+    """array<struct<weight, bucket>> of the joined texts. Known tokens weigh 1 and win their bucket."""
     words = catalog.vocabulary()
     size = max(len(words), 32)
     known = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i)])
@@ -78,6 +87,7 @@ def vector(text: Column) -> Column:
         weight = F.when(bucket.isNotNull(), 1.0).otherwise(catalog.UNKNOWN_TOKEN_WEIGHT)
         return F.struct(weight.alias("weight"), F.coalesce(bucket, hash_bucket(token, size)).alias("bucket"))
 
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
     return keep_last(F.array_sort(F.transform(tokens(text), item)), "bucket")
 
 
@@ -86,18 +96,21 @@ def norm(items: Column) -> Column:
     return F.sqrt(squares)
 
 
+def _aliases(concepts: DataFrame | None) -> tuple[tuple[str, str, str], ...]:
+    return tuple((a, c[1], c[3]) for c in _concept_list(concepts) for a in c[5])
+
+
 def vectorize_names(names: DataFrame) -> DataFrame:
     """One row for each name and bucket, weights of unit length."""
-    text = F.concat_ws(" ", "key", F.coalesce("inferred_semantic", F.lit("")), F.coalesce("inferred_unit", F.lit("")))
-    rows = names.withColumn("_v", vector(text)).withColumn("_norm", norm(F.col("_v")))
+    rows = names.withColumn("_v", vector(*NAME)).withColumn("_norm", norm(F.col("_v")))
     return rows.select(*names.columns, "_norm", F.explode("_v").alias("_e")).select(
         *names.columns, F.col("_e.bucket").alias("bucket"), (F.col("_e.weight") / F.col("_norm")).alias("weight")
     )
 
 
 def vectorize_concepts(concepts: DataFrame) -> DataFrame:
-    text = F.concat_ws(" ", "concept_id", "description", F.array_join("aliases", " "))
-    rows = concepts.withColumn("_v", vector(text)).withColumn("_norm", norm(F.col("_v")))
+    rows = concepts.withColumn("_aliases", F.array_join("aliases", " "))
+    rows = rows.withColumn("_v", vector("concept_id", "description", "_aliases")).withColumn("_norm", norm(F.col("_v")))
     return rows.select("ordinal", "concept_id", "unit", "_norm", F.explode("_v").alias("_e")).select(
         "ordinal", "concept_id", "unit",
         F.col("_e.bucket").alias("bucket"), (F.col("_e.weight") / F.col("_norm")).alias("concept_weight"),
@@ -111,11 +124,11 @@ def best_concepts(names: DataFrame, concepts: DataFrame | None = None) -> DataFr
     """
     table = concepts if concepts is not None else catalog.concepts(names.sparkSession)
     pairs = vectorize_names(names).join(vectorize_concepts(table), "bucket")
-    scores = pairs.groupBy(*NAME, "ordinal", "concept_id", "unit").agg(
+    scores = pairs.groupBy("key", "ordinal", "concept_id", "unit").agg(
         F.round(F.sum(F.col("weight") * F.col("concept_weight")), 12).alias("similarity")
     )
     best = F.max_by(F.struct("concept_id", "unit", "similarity"), F.struct("similarity", -F.col("ordinal")))
-    return scores.groupBy(*NAME).agg(best.alias("b")).select(*NAME, "b.*")
+    return scores.groupBy("key").agg(best.alias("b")).select("key", "b.*")
 
 
 def match_by_similarity(
@@ -124,9 +137,11 @@ def match_by_similarity(
     return best_concepts(names, concepts).filter(F.col("similarity") >= threshold)
 
 
-def _rule_concept(key: Column, hint: Column, concepts: list[tuple], mode: str) -> Column:
-    aliases = [(a, c[1], c[3]) for c in concepts for a in c[5]]
-    low_hint, low_key = F.lower(hint), F.replace(F.lower(key), F.lit("."), F.lit("_"))
+@built_once
+def rule_concept(aliases: tuple[tuple[str, str, str], ...], mode: str) -> Column:
+    """struct<concept_id, unit> for the columns ``key`` and ``inferred_semantic``; NULL if no alias fits."""
+    low_hint = F.lower("inferred_semantic")
+    low_key = F.replace(F.lower("key"), F.lit("."), F.lit("_"))
 
     def target(concept: str, unit: str | None) -> Column:
         return F.struct(F.lit(concept).alias("concept_id"), F.lit(unit).cast("string").alias("unit"))
@@ -152,22 +167,34 @@ def match_by_rules(names: DataFrame, concepts: DataFrame | None = None, mode: st
     ``compat`` compares substrings both ways, so the alias ``t`` takes most
     hints. ``token`` compares whole tokens.
     """
-    found = _rule_concept(F.col("key"), F.col("inferred_semantic"), _concept_list(concepts), mode)
+    found = rule_concept(_aliases(concepts), mode)
     # the outer explode keeps the long expression from being copied into a filter
-    rows = names.select(*NAME, F.explode_outer(F.array(found)).alias("_f"))
-    return rows.filter(F.col("_f").isNotNull()).select(*NAME, "_f.*")
-
-
-def _resolved(names: DataFrame, method: str, confidence: Column, reasoning: str | None = None) -> DataFrame:
-    return names.select(
-        *NAME,
-        F.col("concept_id").alias("target_concept"),
-        F.col("concept_id").alias("target_field"),
-        F.col("inferred_unit").alias("source_unit"),
-        F.col("unit").alias("target_unit"),
-        confidence.alias("confidence"),
-        F.lit(method).alias("resolution_method"),
-        F.lit(reasoning).cast("string").alias("reasoning"),
+    rows = names.select("key", F.explode_outer(F.array(found)).alias("_f"))
+    return rows.filter(F.col("_f").isNotNull()).select("key", "_f.*")
+
+
+def resolve_names(
+    names: DataFrame,
+    concepts: DataFrame | None = None,
+    rule_mode: str = "compat",
+    threshold: float = catalog.SIMILARITY_THRESHOLD,
+) -> DataFrame:
+    """C4, then C6 for what is left: one row for each name, concept NULL if nothing fits."""
+    best = best_concepts(names, concepts).select("key", F.struct("concept_id", "unit", "similarity").alias("_b"))
+    similar = F.coalesce(F.col("_b.similarity") >= threshold, F.lit(False))
+    ruled = F.when(~similar, rule_concept(_aliases(concepts), rule_mode))
+    rows = names.join(best, "key", "left").withColumn("_similar", similar).withColumn("_r", ruled)
+
+    def pick(name: str) -> Column:
+        return F.when(F.col("_similar"), F.col(f"_b.{name}")).otherwise(F.col(f"_r.{name}"))
+
+    found = pick("concept_id").isNotNull()
+    return rows.select(
+        "key",
+        pick("concept_id").alias("concept_id"),
+        pick("unit").alias("unit"),
+        F.when(F.col("_similar"), F.col("_b.similarity")).when(found, catalog.RULE_CONFIDENCE).alias("confidence"),
+        F.when(F.col("_similar"), "embedding").when(found, "llm").alias("method"),
     )
 
 
@@ -244,59 +271,67 @@ def translate(
     schemas that have one, and rules for the others. ``signatures`` has one row
     for each schema: confidence, llm_generated, device_context and cached.
     """
-    cached = known = None
+    cached = None
     if registry is not None:
         when = as_of if as_of is not None else F.current_timestamp()
         cached, fields = apply_cached_mapping(fields, registry, when)
-    names = distinct_names(fields)
-    similar = match_by_similarity(names, concepts, threshold)
-    ruled = match_by_rules(names.join(similar, NAME_KEY, "left_anti"), concepts, rule_mode)
-    by_name = _resolved(similar, "embedding", F.col("similarity")).unionByName(
-        _resolved(ruled, "llm", F.lit(catalog.RULE_CONFIDENCE), "rule-based fallback (no LLM available)")
-    ).drop("inferred_semantic", "inferred_unit")
-
-    found = fields.filter(~F.col("flagged")).join(by_name, "key", "left")
-    reached = F.coalesce(F.col("resolution_method") != "embedding", F.lit(True))
-    if replies is not None:
-        answered = replies.select("schema_signature", F.lit(True).alias("answered")).distinct()
-        found = found.join(answered, "schema_signature", "left")
+    resolved = materialise(resolve_names(distinct_names(fields), concepts, rule_mode, threshold))
+    joined = fields.join(resolved, "key", "left")
+    # reached: not settled by similarity, so left to a reply or to the rules
+    reached = ~F.col("flagged") & F.coalesce(F.col("method") != "embedding", F.lit(True))
+    joined = joined.withColumn("reached", reached)
+    if replies is None:
+        joined = joined.withColumn("answered", F.lit(False))
     else:
-        found = found.withColumn("answered", F.lit(None).cast("boolean"))
-    last_step = found.groupBy("schema_signature").agg(
-        F.bool_or(reached).alias("llm_generated"), F.bool_or(reached & F.col("answered").isNull()).alias("ruled")
+        answers = replies.select("schema_signature", F.lit(True).alias("answered")).distinct()
+        joined = joined.join(answers, "schema_signature", "left").withColumn(
+            "answered", F.coalesce("answered", F.lit(False))
+        )
+
+    hint = F.coalesce("inferred_semantic", F.lit("passthrough"))
+    flagged = F.col("flagged")
+
+    def either(passed: Column, found: Column | str) -> Column:
+        return F.when(flagged, passed).otherwise(found if isinstance(found, Column) else F.col(found))
+
+    usable = joined.filter(flagged | (F.col("concept_id").isNotNull() & ~(F.col("reached") & F.col("answered"))))
+    mappings = as_mappings(
+        usable,
+        source_field=F.col("key"),
+        target_concept=either(F.concat(F.lit("_"), hint), "concept_id"),
+        target_field=either(F.col("key"), "concept_id"),
+        source_unit=F.col("inferred_unit"),
+        target_unit=either(F.col("inferred_unit"), "unit"),
+        confidence=either(F.lit(1.0), "confidence"),
+        resolution_method=either(F.lit("passthrough"), "method"),
+        reasoning=F.when(~flagged & (F.col("method") == "llm"), RULE_REASON),
     )
-    usable = found.filter(F.col("resolution_method").isNotNull() & ~(reached & F.col("answered").isNotNull()))
-    mappings = passthrough_mappings(fields).unionByName(as_mappings(usable, source_field=F.col("key")))
     if replies is not None:
-        wanted = found.filter(reached & F.col("answered").isNotNull()).select("schema_signature").distinct()
+        wanted = joined.filter(F.col("reached") & F.col("answered")).select("schema_signature").distinct()
         mappings = mappings.unionByName(
             as_mappings(replies.join(wanted, "schema_signature", "left_semi"), ordinal=F.col("ordinal") + 1)
         )
     mappings = validate_mappings(mappings)
 
+    last_step = joined.groupBy("schema_signature").agg(
+        F.bool_or("reached").alias("llm_generated"), F.bool_or(F.col("reached") & ~F.col("answered")).alias("ruled")
+    )
     scores = mappings.groupBy("schema_signature").agg(weighted_confidence().alias("confidence"))
+    signatures = last_step.join(scores, "schema_signature", "left")
     context = F.when(F.col("ruled"), F.lit("unknown"))
-    signatures = (
-        fields.select("schema_signature").distinct()
-        .join(scores, "schema_signature", "left")
-        .join(last_step, "schema_signature", "left")
-    )
     if replies is not None:
         said = replies.groupBy("schema_signature").agg(F.first("device_context", True).alias("said"))
         signatures = signatures.join(said, "schema_signature", "left")
         context = F.coalesce(F.when(F.col("llm_generated"), F.col("said")), context)
     signatures = signatures.select(
-        "schema_signature",
-        "confidence",
-        F.coalesce("llm_generated", F.lit(False)).alias("llm_generated"),
-        context.alias("device_context"),
-        F.lit(False).alias("cached"),
+        "schema_signature", "confidence", "llm_generated", context.alias("device_context"), F.lit(False).alias("cached")
     )
     if cached is not None:
         mappings = mappings.unionByName(cached)
         known = registry.join(cached.select("schema_signature").distinct(), "schema_signature", "left_semi")
+        newest = known.groupBy("schema_signature").agg(F.max_by("confidence", "created_at").alias("confidence"))
         signatures = signatures.unionByName(
-            known.select(
+            newest.select(
                 "schema_signature",
                 F.col("confidence").cast("double").alias("confidence"),
                 F.lit(False).alias("llm_generated"),
@@ -307,10 +342,6 @@ def translate(
     return mappings, signatures
 
 
-# unit and hint follow from the key, so the key alone identifies a name
-NAME_KEY = ["key"]
-
-
 def learn_concepts(concepts: DataFrame, suggested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(extended concepts, rejected suggestions whose id is taken)."""
     ranked = suggested.groupBy("concept_id").agg(

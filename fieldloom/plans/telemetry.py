@@ -45,11 +45,10 @@ def translate_messages(
     as_of: datetime | Column | None = None,
     rule_mode: str = "compat",
 ) -> Translation:
-    """Translate the distinct schemas. Every step is cut, as all have several readers."""
+    """Translate the distinct schemas. They are written once, as all steps read them."""
     fields = materialise(schema_fields(extracted))
     mappings, signatures = translate(fields, registry, replies, concepts, as_of, rule_mode)
-    mappings = materialise(mappings)
-    return Translation(fields, mappings, signatures, materialise(compile_mappings(mappings, constraints)))
+    return Translation(fields, mappings, signatures, compile_mappings(mappings, constraints))
 
 
 def normalize_messages(
@@ -65,6 +64,9 @@ def normalize_messages(
     """Raw messages to normalised ones with their ``entries``."""
     extracted = extract_messages(messages, preserve_nulls=options.pop("preserve_nulls", False))
     found = translate_messages(extracted, registry, replies, concepts, constraints, as_of, rule_mode)
+    if registry is None and replies is None:
+        # only these two bring explicit formulas
+        options.setdefault("formulas", [])
     return normalize(extracted, found.compiled, found.signatures, as_of, **options)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +41,32 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only where none is set, as on a laptop, a folder of this process is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    global _LOCAL_DIR
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="fieldloom-")
+    return _LOCAL_DIR
+
+
+_LOCAL_DIR: str | None = None
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a written table.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is
-    set, as on a laptop, a folder of this process is used.
+    A lost executor costs nothing but a re-read, and unlike a checkpoint the
+    table has a known size, so the planner can choose the join by it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

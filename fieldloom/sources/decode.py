@@ -153,7 +153,9 @@ def decode_registers(df: DataFrame) -> DataFrame:
 
 
 def binary_document(data: Column) -> Column:
-    return F.to_json(F.struct(F.lower(F.hex(data)).alias("raw_hex"), F.base64(data).alias("raw_base64")))
+    # Spark may cut long base64 text into lines
+    one_line = F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+    return F.to_json(F.struct(F.lower(F.hex(data)).alias("raw_hex"), one_line.alias("raw_base64")))
 
 
 def decode_binary(df: DataFrame) -> DataFrame:
