@@ -2,8 +2,8 @@
 
 A *stage* is a function that takes an accessor ``get(name) -> Column`` and
 returns ``{name: Column}``. The same stage widens a long table (one row for
-each field, codegen friendly) and an array column (one row for each message,
-no shuffle needed to keep a message together).
+each field, codegen friendly) and the items of an array column (one row for
+each message, no shuffle needed to keep a message together).
 """
 
 from __future__ import annotations
@@ -39,8 +39,13 @@ def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind ``value`` once and use it many times inside ``body``.
+
+    A fold over an empty array: its start is the value, its finish the body.
+    Unlike a transform of a one-item array this neither copies the result nor
+    works out the type of the whole expression again for every row.
+    """
+    return F.aggregate(F.array(), value, lambda bound, _: bound, body)
 
 
 def widen_table(df: DataFrame, stages: list[Stage]) -> DataFrame:
@@ -49,23 +54,20 @@ def widen_table(df: DataFrame, stages: list[Stage]) -> DataFrame:
     return df
 
 
-def widen_array(items: Column, names: list[str], stages: list[Stage]) -> Column:
-    """Run the stages over an array of structs that has the fields ``names``."""
-    names = list(names)
-
-    def step(kept: list[str], stage: Stage) -> Callable[[Column], Column]:
-        def widen(item: Column) -> Column:
-            new = stage(lambda n: item[n])
-            old = [item[n].alias(n) for n in kept if n not in new]
-            return F.struct(*old, *[c.alias(n) for n, c in new.items()])
+def chain(get: Getter, stages: list[Stage], finish: Callable[[Getter], Column]) -> Column:
+    """Run the stages for one item of an array and build the result from all that is known then.
 
-        return widen
-
-    for stage in stages:
-        items = F.transform(items, step(names, stage))
-        added = list(stage(lambda n: F.lit(None)))
-        names = [n for n in names if n not in added] + added
-    return items
+    Each stage is bound once and read by reference. Spark copies what a lambda
+    returns, so nothing is handed on in the result that a later stage could
+    look up itself.
+    """
+    if not stages:
+        return finish(get)
+    new = stages[0](get)
+    return let(
+        F.struct(*[c.alias(n) for n, c in new.items()]),
+        lambda found: chain(lambda n: found[n] if n in new else get(n), stages[1:], finish),
+    )
 
 
 def first_of(branches: Iterable[tuple[Column, Column]], default: Column) -> Column:

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from fieldloom.catalog import MAX_DEPTH
 from fieldloom.functions import infer
 from fieldloom.functions.document import flatten_document
-from fieldloom.functions.rows import built_once, widen_array, widen_table
+from fieldloom.functions.rows import Getter, built_once, chain, widen_table
 
-ENTRY = ["key", "value", "kind"]
 FIELD = [
     "pos", "key", "value", "value_type", "num_value", "bool_value", "str_value",
     "is_timestamp", "is_identifier",
@@ -34,11 +33,14 @@ def field_array(decoded: str, max_depth: int, preserve_nulls: bool) -> Column:
     if not preserve_nulls:
         entries = drop_null_fields(entries)
 
-    def finish(f: Column, i: Column) -> Column:
-        new = {"pos": i, **infer.value_types(lambda n: f[n]), **infer.flags(lambda n: f[n])}
-        return F.struct(*[new.get(n, f[n]).alias(n) for n in FIELD])
+    def field(e: Column, i: Column) -> Column:
+        def finish(get: Getter) -> Column:
+            new = {"pos": i, **infer.value_types(get), **infer.flags(get)}
+            return F.struct(*[(new[n] if n in new else get(n)).alias(n) for n in FIELD])
 
-    return F.transform(widen_array(entries, ENTRY, [infer.typed_values]), finish)
+        return chain(lambda n: e[n], [infer.typed_values], finish)
+
+    return F.transform(entries, field)
 
 
 def signature_of(fields: Column) -> Column:

@@ -7,6 +7,7 @@ it together again. The table operators run the same stages over the long table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,7 @@ from pyspark.sql import functions as F
 from fieldloom import catalog
 from fieldloom.functions import infer
 from fieldloom.functions.formula import formula_case
-from fieldloom.functions.rows import Getter, Stage, built_once, keep_last, let, widen_array, widen_table
-from fieldloom.operators.fields import FIELD
+from fieldloom.functions.rows import Getter, Stage, built_once, chain, first_of, keep_last, let, widen_table
 from fieldloom.plans.lookup import lookup_join
 from fieldloom.session import materialise
 
@@ -43,11 +43,14 @@ def conversion_paths(conversions: DataFrame) -> DataFrame:
 
 
 def apply_steps(value: Column, steps: Column) -> Column:
-    """The steps of a path in order, rounded to 6 decimals at the end."""
-    out = F.aggregate(
-        steps, value, lambda acc, s: (acc + s["pre"]) * s["mul"] / s["div"] + s["post"]
-    )
-    return F.round(F.when(steps.isNotNull(), out), 6)
+    """One or two hops, rounded to 6 decimals at the end."""
+
+    def hop(v: Column, s: Column) -> Column:
+        return (v + s["pre"]) * s["mul"] / s["div"] + s["post"]
+
+    first, second = F.get(steps, F.lit(0)), F.get(steps, F.lit(1))
+    once = hop(value, first)
+    return F.round(F.when(second.isNotNull(), hop(once, second)).otherwise(once), 6)
 
 
 # ---- stages -----------------------------------------------------------------
@@ -105,13 +108,22 @@ def range_stage(get: Getter) -> dict[str, Column]:
     return {"out_of_range": ~get("type_failed") & F.coalesce(outside, F.lit(False))}
 
 
-def round_by_name(value: Column, target: Column, rules: list[tuple[str, int]] | None = None) -> Column:
+def digits_of(target: Column, rules: list[tuple[str, int]] | None = None) -> Column:
     """Decimals by the first word found in the target name."""
     rules = catalog.PRECISION if rules is None else rules
-    out = F.round(value, dict(rules).get("float", catalog.DEFAULT_PRECISION))
-    for word, digits in reversed(rules):
-        out = F.when(F.lower(target).contains(word), F.round(value, digits)).otherwise(out)
-    return out
+    default = dict(rules).get("float", catalog.DEFAULT_PRECISION)
+    return first_of([(F.lower(target).contains(w), F.lit(d)) for w, d in rules], F.lit(default))
+
+
+def round_to(value: Column, digits: Column, rules: list[tuple[str, int]] | None = None) -> Column:
+    """Round to a number of decimals that is known for each mapping, not for the whole column."""
+    rules = catalog.PRECISION if rules is None else rules
+    wanted = sorted({d for _, d in rules} | {catalog.DEFAULT_PRECISION})
+    return first_of([(digits == d, F.round(value, d)) for d in wanted], F.lit(None).cast("double"))
+
+
+def round_by_name(value: Column, target: Column, rules: list[tuple[str, int]] | None = None) -> Column:
+    return round_to(value, digits_of(target, rules), rules)
 
 
 def route_stage(
@@ -131,7 +143,7 @@ def route_stage(
             | ((value_type == "float") & m["datatype"].isNull())
         )
         number = F.coalesce(get("typed_number"), get("converted"), get("num_value"))
-        rounded = round_by_name(number, target, precision)
+        rounded = round_to(number, m["digits"], precision)
         integer = F.coalesce(m["datatype"] == "integer", F.lit(False))
         fallback = F.lit(None).cast("variant")
         if null_strategy == "default":
@@ -181,60 +193,64 @@ def route_stage(
     return stage
 
 
-def record_stage(get: Getter) -> dict[str, Column]:
-    """The audit records of a field, and the final output columns."""
-    m, status = get("m"), get("routed")["status"]
-    python_name = (
-        F.when(get("value_type").isin("string", "datetime", "numeric_string"), "str")
-        .when(get("value_type") == "integer", "int")
-        .when(get("value_type") == "boolean", "bool")
-        .when(get("value_type") == "array", "list")
-        .when(get("value_type") == "object", "dict")
-        .otherwise(get("value_type"))
+FAILED = ["conversion_failed", "type_mismatch", "out_of_range"]
+
+
+def violation_record(get: Getter) -> Column:
+    """NULL unless the field failed."""
+    m, status, value_type = get("m"), get("status"), get("value_type")
+    actual = first_of(
+        [
+            (value_type.isin("string", "datetime", "numeric_string"), F.lit("str")),
+            (value_type == "integer", F.lit("int")),
+            (value_type == "boolean", F.lit("bool")),
+            (value_type == "array", F.lit("list")),
+            (value_type == "object", F.lit("dict")),
+        ],
+        value_type,
     )
     mismatch, outside = status == "type_mismatch", status == "out_of_range"
-    violation = F.struct(
+    record = F.struct(
         get("key").alias("field"),
         status.alias("error"),
         F.when(mismatch, m["datatype"]).alias("expected"),
-        F.when(mismatch, python_name).alias("actual"),
+        F.when(mismatch, actual).alias("actual"),
         F.when(outside, get("typed_number")).alias("value"),
         F.when(outside, m["min_value"]).alias("min"),
         F.when(outside, m["max_value"]).alias("max"),
     )
-    conversion = F.struct(
+    return F.when(status.isin(FAILED), record)
+
+
+def conversion_record(get: Getter) -> Column:
+    """NULL unless the value was converted."""
+    m = get("m")
+    record = F.struct(
         get("key").alias("field"),
         F.coalesce(m["source_unit"], F.lit("unknown")).alias("from_unit"),
         F.coalesce(m["target_unit"], F.lit("unknown")).alias("to_unit"),
         F.to_json(get("value")).alias("original_value"),
         get("converted").alias("converted_value"),
     )
-    failed = status.isin("conversion_failed", "type_mismatch", "out_of_range")
-    return {
-        "status": status,
-        "out_key": get("routed")["out_key"],
-        "out_value": get("routed")["out_value"],
-        "metric_value": get("routed")["metric_value"],
-        "target_concept": m["target_concept"],
-        "violation": F.when(failed, violation),
-        "conversion": F.when(get("converted").isNotNull(), conversion),
-    }
+    return F.when(get("converted").isNotNull(), record)
 
 
-ENTRY = ["pos", "key", "value_type", "status", "out_key", "out_value", "metric_value", "target_concept",
-         "violation", "conversion"]
+ENTRY = ["pos", "key", "value_type", "value", "status", "out_key", "out_value", "metric_value", "converted", "typed_number"]
 
 
 # ---- mappings ready to use --------------------------------------------------
 
 
 def compile_mappings(
-    mappings: DataFrame, constraints: DataFrame | None = None, conversions: DataFrame | None = None
+    mappings: DataFrame,
+    constraints: DataFrame | None = None,
+    conversions: DataFrame | None = None,
+    precision: list[tuple[str, int]] | None = None,
 ) -> DataFrame:
     """One row for each (schema_signature, key) with a struct ``m``.
 
-    The last mapping of a field wins. Conversion path and limits are added here,
-    once for each mapping instead of once for each value.
+    The last mapping of a field wins. Conversion path, limits and decimals are
+    added here, once for each mapping instead of once for each value.
     """
     spark = mappings.sparkSession
     paths = conversion_paths(conversions if conversions is not None else catalog.unit_conversions(spark))
@@ -252,7 +268,10 @@ def compile_mappings(
     return joined.select(
         "schema_signature",
         F.col("source_field").alias("key"),
-        F.struct(*kept, "steps", "datatype", "min_value", "max_value").alias("m"),
+        F.struct(
+            *kept, "steps", "datatype", "min_value", "max_value",
+            digits_of(F.col("target_field"), precision).alias("digits"),
+        ).alias("m"),
     )
 
 
@@ -294,8 +313,9 @@ def check_ranges(enforced: DataFrame) -> DataFrame:
 
 def route_values(checked: DataFrame, null_strategy: str = "preserve", defaults: dict | None = None,
                  precision: list[tuple[str, int]] | None = None) -> DataFrame:
-    """D3, D10 to D13 over the long table."""
-    return widen_table(checked, [route_stage(null_strategy, defaults, precision), record_stage])
+    """D2, D3, D10, D13 over the long table."""
+    routed = widen_table(checked, [route_stage(null_strategy, defaults, precision)])
+    return routed.select(*checked.columns, "routed.*")
 
 
 def normalize_table(fields: DataFrame, compiled: DataFrame, **options) -> DataFrame:
@@ -340,14 +360,19 @@ def pack_mappings(compiled: DataFrame) -> DataFrame:
     )
 
 
+def _mapping_of(key: Column) -> Column:
+    return F.try_element_at(F.col("mapping"), key)
+
+
 @built_once
-def mapped_array(with_number: bool) -> Column:
-    """The ``fields`` of a message, each with its mapping ``m`` from the column ``mapping``."""
-    mapping = F.col("mapping")
-    stages: list[Stage] = [lambda get: {"m": F.try_element_at(mapping, get("key"))}]
-    if with_number:
-        stages.append(lambda get: {"number": infer.as_double(get)})
-    return widen_array(F.col("fields"), FIELD, stages)
+def formula_inputs() -> Column:
+    """What the SQL text of the formulas reads: formula and number of each field."""
+    return F.transform(
+        "fields",
+        lambda f: F.struct(
+            _mapping_of(f["key"])["conversion_formula"].alias("formula"), infer.as_double(lambda n: f[n]).alias("number")
+        ),
+    )
 
 
 @built_once
@@ -359,30 +384,27 @@ def entry_array(
     defaults: tuple,
     precision: tuple,
 ) -> Column:
-    """All steps over the fields of a message, in order: map, convert, type, range, route, record."""
-    have = [*FIELD, "m"]
-    if with_formulas:
-        mapped = F.transform(
-            "_mapped",
-            lambda f, i: F.struct(*[f[n].alias(n) for n in have], F.get("_by_formula", i).alias("by_formula")),
+    """All steps over the fields of a message, in order: map, convert, type, range, route."""
+
+    def entry(f: Column, i: Column) -> Column:
+        by_formula = F.get("_by_formula", i) if with_formulas else None
+
+        def finish(get: Getter) -> Column:
+            routed = get("routed")
+            key = routed["out_key"]
+            if not include_invalid:
+                # only the audit records of a failed field stay
+                key = F.when(~routed["status"].isin(FAILED), key)
+            own = {"out_key": key, "status": routed["status"], "out_value": routed["out_value"], "metric_value": routed["metric_value"]}
+            return F.struct(*[(own[n] if n in own else get(n)).alias(n) for n in ENTRY])
+
+        stages = [convert_stage(by_formula), enforce_stage, range_stage,
+                  route_stage(null_strategy, dict(defaults), list(precision))]
+        return let(
+            _mapping_of(f["key"]), lambda m: chain(lambda n: m if n == "m" else f[n], stages, finish)
         )
-        have.append("by_formula")
-    else:
-        mapped = mapped_array(False)
-
-    def convert(get: Getter) -> dict[str, Column]:
-        return convert_stage(get("by_formula") if with_formulas else None)(get)
-
-    route = route_stage(null_strategy, dict(defaults), list(precision))
-    wide = widen_array(mapped, have, [convert, enforce_stage, range_stage, route, record_stage])
-    failed = ["conversion_failed", "type_mismatch", "out_of_range"]
 
-    def finish(e: Column) -> Column:
-        # without invalid values only the audit records of a failed field stay
-        key = e["out_key"] if include_invalid else F.when(~e["status"].isin(failed), e["out_key"])
-        return F.struct(*[(key if n == "out_key" else e[n]).alias(n) for n in ENTRY])
-
-    entries = F.transform(wide, finish)
+    entries = F.transform("fields", entry)
     dropped = ([] if include_unmapped else ["unmapped"]) + (["null"] if null_strategy == "omit" else [])
     return F.filter(entries, lambda e: ~e["status"].isin(dropped)) if dropped else entries
 
@@ -420,10 +442,9 @@ def normalize(
         tuple(catalog.PRECISION if precision is None else precision),
     )
     if formulas:
-        # two arrays side by side, because the formulas are SQL text over a lambda variable
-        joined = joined.withColumn("_mapped", mapped_array(True)).withColumn(
-            "_by_formula",
-            F.expr(f"transform(_mapped, f -> {formula_case(formulas, 'f.m.conversion_formula', 'f.number')})"),
+        # a second array beside the fields, because the formulas are SQL text over a lambda variable
+        joined = joined.withColumn("_inputs", formula_inputs()).withColumn(
+            "_by_formula", F.expr(f"transform(_inputs, f -> {formula_case(formulas, 'f.formula', 'f.number')})")
         )
     entries = entry_array(bool(formulas), *settings)
 
@@ -445,6 +466,7 @@ def normalize(
         F.coalesce("_time.moment", now.cast("timestamp")).alias("event_time"),
         F.coalesce("_time.broken", F.lit(False)).alias("broken_time"),
         "entries",
+        "mapping",
     )
 
 
@@ -453,31 +475,34 @@ def final_entries(entries: Column) -> Column:
     return keep_last(F.filter(entries, lambda e: e["out_key"].isNotNull()), "out_key")
 
 
+def _records(record: Callable[[Getter], Column]) -> Column:
+    """The records of all entries that have one."""
+
+    def one(e: Column) -> Column:
+        return let(_mapping_of(e["key"]), lambda m: record(lambda n: m if n == "m" else e[n]))
+
+    return F.filter(F.transform("entries", one), lambda r: r.isNotNull())
+
+
 def assemble_messages(normalized: DataFrame) -> DataFrame:
     """``data`` map, ``conversions`` and ``validation_errors`` of each message."""
     data = F.map_from_entries(
         F.transform(final_entries(F.col("entries")), lambda e: F.struct(e["out_key"], e["out_value"]))
     )
-
-    def records(name: str) -> Column:
-        return F.filter(F.transform("entries", lambda e: e[name]), lambda r: r.isNotNull())
-
     return normalized.withColumns(
-        {"data": data, "conversions": records("conversion"), "validation_errors": records("violation")}
-    ).drop("entries")
+        {"data": data, "conversions": _records(conversion_record), "validation_errors": _records(violation_record)}
+    ).drop("entries", "mapping")
 
 
 def violations(normalized: DataFrame) -> DataFrame:
     """One row for each failed field."""
-    failed = F.filter(F.transform("entries", lambda e: e["violation"]), lambda r: r.isNotNull())
-    rows = normalized.select("message_id", "device_id", F.explode_outer(failed).alias("v"))
+    rows = normalized.select("message_id", "device_id", F.explode_outer(_records(violation_record)).alias("v"))
     return rows.filter(F.col("v").isNotNull()).select("message_id", "device_id", "v.*")
 
 
 def conversion_audit(normalized: DataFrame) -> DataFrame:
     """One row for each conversion."""
-    done = F.filter(F.transform("entries", lambda e: e["conversion"]), lambda r: r.isNotNull())
-    rows = normalized.select("message_id", "device_id", F.explode_outer(done).alias("c"))
+    rows = normalized.select("message_id", "device_id", F.explode_outer(_records(conversion_record)).alias("c"))
     return rows.filter(F.col("c").isNotNull()).select("message_id", "device_id", "c.*")
 
 

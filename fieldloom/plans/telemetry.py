@@ -44,11 +44,12 @@ def translate_messages(
     constraints: DataFrame | None = None,
     as_of: datetime | Column | None = None,
     rule_mode: str = "compat",
+    precision: list[tuple[str, int]] | None = None,
 ) -> Translation:
     """Translate the distinct schemas. They are written once, as all steps read them."""
     fields = materialise(schema_fields(extracted))
     mappings, signatures = translate(fields, registry, replies, concepts, as_of, rule_mode)
-    return Translation(fields, mappings, signatures, compile_mappings(mappings, constraints))
+    return Translation(fields, mappings, signatures, compile_mappings(mappings, constraints, precision=precision))
 
 
 def normalize_messages(
@@ -63,7 +64,8 @@ def normalize_messages(
 ) -> DataFrame:
     """Raw messages to normalised ones with their ``entries``."""
     extracted = extract_messages(messages, preserve_nulls=options.pop("preserve_nulls", False))
-    found = translate_messages(extracted, registry, replies, concepts, constraints, as_of, rule_mode)
+    precision = options.get("precision")
+    found = translate_messages(extracted, registry, replies, concepts, constraints, as_of, rule_mode, precision)
     if registry is None and replies is None:
         # only these two bring explicit formulas
         options.setdefault("formulas", [])
@@ -77,4 +79,4 @@ def dry_run(messages: DataFrame, devices: DataFrame | None = None, **options: An
     """
     normalized = normalize_messages(messages, **options)
     done = assemble_messages(enrich_metadata(normalized.filter("NOT broken_time"), devices)).drop("broken_time")
-    return done, normalized.filter("broken_time").drop("entries")
+    return done, normalized.filter("broken_time").drop("entries", "mapping")

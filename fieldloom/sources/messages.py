@@ -54,6 +54,16 @@ def match_subscriptions(messages: DataFrame, patterns: list[str] | DataFrame | N
     return messages.withColumn("subscription", first_match(F.col("topic"), rules))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan of few splits among all cores.
+
+    Decoding is work for the processor, and a small file is one split. Large
+    inputs have more splits than cores and are left as they are: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def to_contract(df: DataFrame, protocol: str | None = None) -> DataFrame:
     """Add what is missing of the contract and put the columns in order."""
     have = set(df.columns)

@@ -53,7 +53,7 @@ def run_stream(
         for name, table in [
             ("metrics", to_metrics(good)),
             ("messages", done.withColumns({c: F.to_json(c) for c in ("data", "metadata")})),
-            ("quarantine", normalized.filter("broken_time").drop("entries")),
+            ("quarantine", normalized.filter("broken_time").drop("entries", "mapping")),
         ]:
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
