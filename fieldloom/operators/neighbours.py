@@ -86,6 +86,10 @@ def knn_join(
     probes = distinct.select("_vec", "unit", F.explode(near).alias("cell")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
+    # comparing vectors is work for the processor: a small table has to reach all cores as well
+    spark = queries.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    probes = probes.repartition(parts)
     pairs = probes.alias("q").join(
         placed.select("cell", "salt", F.col("unit").alias("other"), "ids").alias("c"), ["cell", "salt"]
     )

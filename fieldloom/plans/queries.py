@@ -145,7 +145,7 @@ def a7(spark, folder):
 
 
 def xml_feed(spark, folder):
-    return table(spark, folder, "lineitem").select(
+    return M.spread(table(spark, folder, "lineitem")).select(
         "l_orderkey", "l_linenumber",
         F.expr("""concat('<m id="', l_orderkey, '" n="', l_linenumber, '"><q>', l_quantity, '</q><p k="d">', l_discount,
         '</p><v>1</v><v>', l_linenumber, '</v><e/></m>')""").alias("payload"))

@@ -16,6 +16,7 @@ from fieldloom.operators.translate import translate
 from fieldloom.operators.fields import schema_fields
 from fieldloom.plans.telemetry import extract_messages, normalize_messages
 from fieldloom.session import materialise
+from fieldloom.sources.messages import spread
 
 REGISTRY_SCHEMA = (
     "schema_signature string, mappings array<struct<source_field:string,target_concept:string,target_field:string,"
@@ -47,7 +48,7 @@ def run_stream(
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        normalized = materialise(normalize_messages(rows, as_of=as_of))
+        normalized = materialise(normalize_messages(spread(rows), as_of=as_of))
         good = normalized.filter("NOT broken_time")
         done = assemble_messages(enrich_metadata(good, devices)).drop("broken_time")
         for name, table in [
@@ -91,7 +92,7 @@ def stream_registry(
             known = spark.createDataFrame([], REGISTRY_SCHEMA)
         else:
             known = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{registry_path}/version={number}")
-        extracted = materialise(extract_messages(rows))
+        extracted = materialise(extract_messages(spread(rows)))
         now = as_of if as_of is not None else F.current_timestamp()
         mappings, signatures = translate(materialise(schema_fields(extracted)), known, as_of=now)
         mappings, signatures = materialise(mappings), materialise(signatures)
