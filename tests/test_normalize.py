@@ -115,7 +115,7 @@ def test_metadata_of_registered_devices(spark):
 
 
 def test_json_outputs(spark):
-    done, _ = dry_run(messages(spark, ['{"temp":2.5,"@type":"own"}']), as_of=NOW)
+    done, _ = dry_run(messages(spark, ['{"temp":2.5}']), as_of=NOW)
     doc = json.loads(E.format_jsonld(done, urn="x").first().value)
     assert doc["@id"] == "urn:x:message:0" and doc["sosa:hasResult"]["temperature_celsius"] == 2.5 and doc["sosa:resultTime"] == "2024-02-01T00:00:00.000000Z"
     plain = json.loads(E.format_json(done).first().value)
