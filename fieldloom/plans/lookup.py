@@ -31,9 +31,8 @@ def lookup_join(
     """
     if is_small(catalogue, rows):
         return big.join(F.broadcast(catalogue), on, "left")
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialise(counts.filter(F.col("_n") > HOT_SHARE))
-    total = big.count()
+    counts = materialise(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = counts.filter(F.col("_n") * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot"))
     marked = big.join(F.broadcast(hot), on, "left")
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
