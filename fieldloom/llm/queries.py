@@ -7,8 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import near_dedup, quality_rules
-from fieldloom.llm.common import documents
+from fieldloom.llm import near_dedup, packing, quality_classifier, quality_rules
+from fieldloom.llm.common import documents, held_out, read_table
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public tokenizer; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its quality."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    field = quality_classifier.train(docs, read_table(spark, folder, "labels"))
+    scored = quality_classifier.score_lines(docs, field).select(F.col("row.doc_id").alias("doc_id"), "score", "n_lines")
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    pieces = packing.tokenised(documents(spark, folder), vocabulary(), end_id=1)
+    return packing.pack(pieces, {"ids_crc32": F.crc32("ids")}).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +46,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op6_packing": op6_packing,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
