@@ -65,7 +65,7 @@ def _throw(text: np.ndarray, element: np.ndarray, weight: np.ndarray | None, bou
         rank = np.zeros(len(active))
         throw = 0
         while len(active):
-            seed = mix(element[active] + np.uint64((level << 40) + throw + 1) * np.uint64(0xD1342543DE82EF95))
+            seed = mix(element[active] + np.uint64(((level << 40) + throw + 1) * 0xD1342543DE82EF95 % (1 << 64)))
             rank = rank - np.log(uniform(seed)) / (high - low)
             inside = rank <= bound[text[active]]
             active, rank, seed = active[inside], rank[inside], seed[inside]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import near_dedup, packing, quality_classifier, quality_rules
+from fieldloom.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules
 from fieldloom.llm.common import documents, held_out, read_table
 
 
@@ -26,6 +26,11 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and how much of it."""
+    return decontaminate.contaminated(documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     pieces = packing.tokenised(documents(spark, folder), vocabulary(), end_id=1)
@@ -47,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
