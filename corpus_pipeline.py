@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import near_dedup, quality_rules
+from fieldloom.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules
+from fieldloom.llm.queries import vocabulary
 from fieldloom.session import materialise, prepare
 
 
@@ -17,14 +18,32 @@ def quality_rule_stage(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
     return quality_rules.clean_documents(docs)
 
 
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents of quality below a half go; the field is fitted on labelled documents among ``docs``."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return near_dedup.keep_representatives(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The token ids of every piece, with its sequence and its place there."""
+    return packing.pack(packing.tokenised(docs, vocabulary(), end_id=1))
+
+
 STAGES = [
     ("quality_rules", quality_rule_stage),
+    ("quality_classifier", quality_classifier_stage),
     ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 # Classification, signatures and tokenisation have no SQL form; the tests hold the stages against brute force.
