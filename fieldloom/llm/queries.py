@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules
+from fieldloom.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, url_filter
 from fieldloom.llm.common import documents, held_out, read_table
 
 
@@ -26,6 +26,44 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
 
 
+def list_history(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts and sections that ``pages`` name, by hash of the name.
+
+    Half of the registered domains were on ``block`` for a while or still are, some came back; a fifth of the hosts was on
+    ``adult``; some first path segments were on ``allow``. The days lie in 2024.
+    """
+    urls = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.element_at(F.split(url_filter.path_of(F.col("url")), "/"), 1).alias("section")).where("host <> ''")
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
+    day = lambda n: (F.lit(19_723) + n) * 86_400  # noqa: E731  19,723: the days before 2024
+    step = lambda n, action: F.struct(F.lit(action).alias("action"), day(n).alias("at"))
+    d = F.crc32(F.col("pattern").cast("binary"))
+    on, off, back = d % 200, d % 200 + 20 + d % 90, d % 200 + 120 + d % 60
+    blocks = urls.select(domain.alias("pattern")).distinct().where(d % 2 == 0).select(
+        F.lit("block").alias("list"), F.lit("domain").alias("kind"), "pattern",
+        F.when(d % 3 == 0, F.array(step(on, "add"))).when(d % 3 == 1, F.array(step(on, "add"), step(off, "remove"))).otherwise(F.array(step(on, "add"), step(off, "remove"), step(back, "add"))).alias("steps"))
+    adult = urls.select(F.col("host").alias("pattern")).distinct().where(d % 5 == 1).select(F.lit("adult").alias("list"), F.lit("domain").alias("kind"), "pattern", F.array(step(on, "add"), step(off, "remove")).alias("steps"))
+    sections = urls.select(F.concat("host", F.lit("/"), "section").alias("pattern")).distinct().where(d % 7 == 2).select(
+        F.lit("allow").alias("list"), F.lit("prefix").alias("kind"), "pattern", F.array(step(d % 100, "add")).alias("steps"))
+    every = blocks.unionByName(adult).unionByName(sections)
+    return every.select("list", "kind", "pattern", F.explode("steps").alias("s")).select("list", "kind", "pattern", "s.action", "s.at")
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, as fetched in a second of 2024 drawn from its URL, with the list entry that decides on it."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    fetched = (F.lit(19_723) * 86_400 + F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % (366 * 86_400)).alias("fetched_at")
+    judged = url_filter.evaluate(pages.select("page_id", "url", fetched), list_history(pages))
+    return judged.select("row.page_id", "row.url", "row.fetched_at", "host", "n_active", F.col("list").alias("list_name"), "pattern", "blocked")
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one with control strings in its texts, formatted and read back."""
+    hard = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and how much of it."""
     return decontaminate.contaminated(documents(spark, folder), read_table(spark, folder, "benchmark"))
@@ -37,6 +75,20 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, {"ids_crc32": F.crc32("ids")}).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its language."""
+    docs = documents(spark, folder)
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its license phrases and notices."""
+    scanned = license_scan.scan(documents(spark, folder).select("doc_id", "text"))
+    return scanned.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its near-duplicate class."""
     return near_dedup.near_duplicate_classes(documents(spark, folder)).select("doc_id", "class_id", "class_size", "representative")
@@ -52,8 +104,12 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_url_filter": op2_url_filter,
+    "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
     "op8_near_dedup": op8_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
