@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, url_filter
+from fieldloom.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, suffix_tree, url_filter
 from fieldloom.llm.common import documents, held_out, read_table
 
 
@@ -69,6 +69,13 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, folder), read_table(spark, folder, "benchmark"))
 
 
+def op5_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its log probability by word frequencies and by the suffix tree."""
+    docs = documents(spark, folder).select("doc_id", "text", (~held_out("doc_id", 10, 0)).alias("learn"))
+    scored = suffix_tree.score_texts(docs)
+    return scored.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_states")
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     pieces = packing.tokenised(documents(spark, folder), vocabulary(), end_id=1)
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_near_dedup": op8_near_dedup,
