@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.plans.lookup import lookup_join
+from fieldloom.session import materialise
 
 ATTRIBUTES = ["type", "name", "location", "tags"]
 
@@ -30,7 +31,9 @@ def enrich_metadata(messages: DataFrame, devices: DataFrame | None = None) -> Da
     ]
     joined = messages
     if devices is not None:
-        known = devices.select("device_id", F.struct(*ATTRIBUTES).alias("_device"))
+        # a device registered twice counts as its newest row
+        newest = F.max_by(F.struct(*ATTRIBUTES), F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))))
+        known = materialise(devices.groupBy("device_id").agg(newest.alias("_device")))
         joined = lookup_join(messages, known, ["device_id"])
         registered = F.col("_device").isNotNull()
         for name, attribute in [("device_type", "type"), ("device_name", "name"), ("location", "location")]:

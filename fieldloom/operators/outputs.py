@@ -106,12 +106,17 @@ def format_jsonld(messages: DataFrame, urn: str = "fieldloom") -> DataFrame:
     def lit(text: str, name: str) -> Column:
         return F.lit(text).alias(name)
 
-    feature = F.struct(
-        lit("iot:Thing", "@type"),
-        F.concat(F.lit(f"urn:{urn}:device:"), F.col("device_id")).alias("@id"),
-        F.col("device_id").alias("name"),
-        F.nullif("context", F.lit("")).alias("description"),
-    )
+    # a map, as its entries may be left out one by one
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    described = F.array(entry("description", F.col("context")))
+    feature = F.map_from_entries(F.concat(
+        F.array(
+            entry("@type", F.lit("iot:Thing")),
+            entry("@id", F.concat(F.lit(f"urn:{urn}:device:"), F.col("device_id"))),
+            entry("name", F.col("device_id")),
+        ),
+        F.when(F.col("context") != "", described).otherwise(F.slice(described, 1, 0)),
+    ))
     typed = F.create_map(F.lit("@type"), F.lit("sosa:Result").cast("variant"))
     # a field of the device may itself be named @type; it wins, as the later key
     own = F.map_filter("data", lambda k, _: k == "@type")
@@ -131,7 +136,10 @@ def format_jsonld(messages: DataFrame, urn: str = "fieldloom") -> DataFrame:
         F.struct(lit("nosec", "scheme")).alias("iot:hasSecurityScheme"),
         F.when(F.size("metadata") > 0, properties).alias("additionalProperty"),
     )
-    return messages.withColumn("value", F.to_json(doc))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})
+    # a value of NULL stays; only the empty list of properties, which stands last, is left out
+    bare = F.regexp_replace(text, ',"additionalProperty":null}$', "}")
+    return messages.withColumn("value", F.when(F.size("metadata") > 0, text).otherwise(bare))
 
 
 def to_metrics(normalized: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ def _moment(value: datetime | Column) -> Column:
 def registry_lookup(
     signatures: DataFrame, registry: DataFrame, as_of: datetime | Column, ttl_days: int = REGISTRY_TTL_DAYS
 ) -> DataFrame:
-    """Left join; ``hit`` only for entries younger than the limit."""
-    fresh = registry.filter(_moment(as_of) - F.col("created_at") < F.make_dt_interval(F.lit(ttl_days)))
+    """Left join; ``hit`` only for entries younger than the limit, of several the newest."""
+    live = registry.filter(_moment(as_of) - F.col("created_at") < F.make_dt_interval(F.lit(ttl_days)))
+    kept = [c for c in registry.columns if c != "schema_signature"]
+    fresh = live.groupBy("schema_signature").agg(F.max_by(F.struct(*kept), "created_at").alias("_r")).select("schema_signature", "_r.*")
     joined = signatures.join(fresh.withColumn("hit", F.lit(True)), "schema_signature", "left")
     return joined.withColumn("hit", F.coalesce("hit", F.lit(False)))
 

@@ -349,8 +349,11 @@ def learn_concepts(concepts: DataFrame, suggested: DataFrame) -> tuple[DataFrame
         F.min(F.struct("schema_signature", "ordinal")).alias("first"),
     )
     fresh = ranked.join(concepts.select("concept_id"), "concept_id", "left_anti")
-    rows = fresh.select(
-        (F.lit(1_000_000) + F.abs(F.xxhash64("concept_id") % 1_000_000)).cast("int").alias("ordinal"),
+    # in order of arrival after all known ones: a sort by range, then an id that grows along it
+    last = concepts.agg(F.max("ordinal")).first()[0]
+    arrived = materialise(fresh.orderBy("first", "concept_id").withColumn("_n", F.monotonically_increasing_id()))
+    rows = arrived.select(
+        (F.lit(0 if last is None else int(last) + 1) + F.col("_n")).alias("ordinal"),
         "concept_id", "s.description", "s.unit", "s.datatype", "s.aliases",
     )
     winners = fresh.select("concept_id", "first.*")

@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from fieldloom.session import materialise
 
-# Rows a broadcast catalogue may have. At about 1 KB a row this is 50 MB.
-BROADCAST_ROWS = 50_000
+# Bytes that the files of a broadcast catalogue may have. In memory it is a few times that.
+BROADCAST_BYTES = 16 << 20
 
 # A key that holds more than 1/HOT_SHARE of the rows gets its own join. There
 # can be at most HOT_SHARE such keys, so their catalogue rows fit a broadcast.
 HOT_SHARE = 500
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``rows`` rows. Stops counting right after that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, size: int = BROADCAST_BYTES) -> bool:
+    """True if the planner knows ``df`` to have at most ``size`` bytes; exact for a written table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size
 
 
 def lookup_join(
-    big: DataFrame, catalogue: DataFrame, on: list[str], rows: int = BROADCAST_ROWS
+    big: DataFrame, catalogue: DataFrame, on: list[str], size: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Left join. ``catalogue`` has at most one row for each key and should be materialised.
 
     Small catalogues are broadcast. For larger ones the few hot keys are joined
     by broadcast and all others by a shuffle, so no task gets the rows of a hot
-    key. Every row comes out once.
+    key. Rows without a key find nothing and are not moved. Every row comes out once.
     """
-    if is_small(catalogue, rows):
+    if is_small(catalogue, size):
         return big.join(F.broadcast(catalogue), on, "left")
     counts = materialise(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
@@ -38,5 +38,8 @@ def lookup_join(
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     few = catalogue.join(F.broadcast(hot.select(*on)), on, "left_semi")
     joined_hot = marked.filter(is_hot).drop("_hot").join(F.broadcast(few), on, "left")
-    joined_rest = marked.filter(~is_hot).drop("_hot").join(catalogue.hint("shuffle_hash"), on, "left")
-    return joined_hot.unionByName(joined_rest)
+    keyed = ~is_hot & ~F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    joined_rest = marked.filter(keyed).drop("_hot").join(catalogue.hint("shuffle_hash"), on, "left")
+    bare = marked.filter(~is_hot & ~keyed).drop("_hot")
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in catalogue.schema.fields if f.name not in on]
+    return joined_hot.unionByName(joined_rest).unionByName(bare.select("*", *missing))

@@ -156,7 +156,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         JOIN (SELECT schema_signature, date_trunc('day', ts) AS dd, min_by(message_id, (ts, message_id)) AS message_id FROM sig GROUP BY 1, 2) x
         ON x.schema_signature = d.schema_signature AND x.dd = date_trunc('day', d.created_at) JOIN field f USING (message_id)"""),
     "seeded": (["day"], """
-        SELECT * FROM day WHERE created_at < TIMESTAMP '2024-01-09' QUALIFY row_number() OVER (PARTITION BY schema_signature ORDER BY created_at DESC) = 1"""),
+        SELECT * FROM day QUALIFY row_number() OVER (PARTITION BY schema_signature ORDER BY created_at DESC) = 1"""),
     "live": (["seeded"], f"SELECT * FROM seeded WHERE {AS_OF} - created_at < INTERVAL 15 DAY"),
     "device": ([], f"""
         SELECT 'user-' || c_custkey AS device_id, lower(c_mktsegment) AS type, c_name AS name, n_name AS location,
@@ -193,8 +193,9 @@ def with_ctes(select: str, *names: str) -> str:
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 
-ROLLUP = "avg(value) AS a, min(value) AS lo, max(value) AS hi, count(*) AS n"
-ROLLUP_OUT = f"{TS.format('bucket')} AS bucket, device_id, metric, CASE WHEN abs(a) > 1e9 THEN a ELSE round(a + 3e-8, 6) END AS avg_value, {SIX.format('lo')} AS min_value, {SIX.format('hi')} AS max_value, n AS sample_count"
+# the exact sum of the printed values, so that the order of the rows cannot show
+ROLLUP = "sum(value::VARCHAR::DECIMAL(38,12))::DOUBLE / count(*) AS a, min(value) AS lo, max(value) AS hi, count(*) AS n"
+ROLLUP_OUT = f"{TS.format('bucket')} AS bucket, device_id, metric, a AS avg_value, {SIX.format('lo')} AS min_value, {SIX.format('hi')} AS max_value, n AS sample_count"
 DOCS = "SELECT 'doc-' || doc_id AS id, text FROM documents"
 TURNS = "SELECT 'turn-' || conv_id || '-' || turn AS id, text FROM conversations"
 PAGES = "SELECT 'page-' || page_id AS id, html AS text FROM pages"
@@ -269,7 +270,7 @@ ORACLES: dict[str, str] = {
         FROM live l JOIN (SELECT schema_signature, created_at, count(*) AS n FROM dayfields GROUP BY ALL) f ON f.schema_signature = l.schema_signature AND f.created_at = l.created_at
         LEFT JOIN (SELECT schema_signature, count(*) AS hits FROM sig GROUP BY 1) c ON c.schema_signature = l.schema_signature""", "live", "dayfields"),
     "b11_registry_lookup": with_ctes(f"""SELECT s.schema_signature, d.schema_signature IS NOT NULL AS hit, {TS.format('d.created_at')} AS created_at FROM (SELECT DISTINCT schema_signature FROM sig) s
-        LEFT JOIN (SELECT * FROM day WHERE {AS_OF} - created_at < INTERVAL 15 DAY) d USING (schema_signature)""", "day"),
+        LEFT JOIN (SELECT * FROM day WHERE {AS_OF} - created_at < INTERVAL 15 DAY QUALIFY row_number() OVER (PARTITION BY schema_signature ORDER BY created_at DESC) = 1) d USING (schema_signature)""", "day"),
     "b12_registry_upsert": with_ctes(f"""SELECT schema_signature, {TS.format('created_at')} AS created_at, hit_count, count(*) AS fields FROM dayfields
         WHERE (schema_signature, created_at) IN (SELECT (schema_signature, max(created_at)) FROM day GROUP BY schema_signature) GROUP BY ALL""", "dayfields"),
     "b13_registry_hits": with_ctes("SELECT schema_signature, count(*) AS hits FROM sig WHERE schema_signature IN (SELECT schema_signature FROM live) GROUP BY 1", "live"),
@@ -337,8 +338,8 @@ ORACLES: dict[str, str] = {
     "d12_conversion_audit": with_ctes("SELECT message_id, key AS field, source_unit AS from_unit, target_unit AS to_unit, num_value AS original_value, round(converted, 6) AS converted_value FROM mapped WHERE converted IS NOT NULL", "mapped"),
     "d13_apply_precision": """SELECT l_orderkey, l_linenumber, target, round(sqrt(l_extendedprice), d) AS value FROM lineitem, (VALUES ('temperature_celsius', 2), ('humidity_percentage', 1), ('pressure_pascal', 6)) t(target, d)""",
     "d14_event_time": with_ctes(f"SELECT message_id, {TS.format('event_time')} AS event_time, fallback FROM done", "done"),
-    "d15_enrich_metadata": with_ctes("""SELECT message_id, name, value FROM (SELECT d.message_id, unnest(['source_protocol', 'source_topic', 'schema_signature', 'device_type', 'device_name', 'location', 'tags', 'inferred_context', 'llm_assisted']) AS name,
-        unnest(['"' || protocol || '"', '"' || topic || '"', '"' || schema_signature || '"', CASE WHEN v.device_id IS NOT NULL THEN '"' || v.type || '"' END, CASE WHEN v.device_id IS NOT NULL THEN '"' || v.name || '"' END,
+    "d15_enrich_metadata": with_ctes("""SELECT message_id, name, value FROM (SELECT d.message_id, unnest(['source_protocol', 'source_topic', 'translation_confidence', 'schema_signature', 'device_type', 'device_name', 'location', 'tags', 'inferred_context', 'llm_assisted']) AS name,
+        unnest(['"' || protocol || '"', '"' || topic || '"', printf('%.6f', confidence), '"' || schema_signature || '"', CASE WHEN v.device_id IS NOT NULL THEN '"' || v.type || '"' END, CASE WHEN v.device_id IS NOT NULL THEN '"' || v.name || '"' END,
           CASE WHEN v.device_id IS NOT NULL THEN '"' || v.location || '"' END, CASE WHEN v.device_id IS NOT NULL THEN '["customer","' || v.segment || '"]' END, '"' || context || '"', CASE WHEN llm_generated THEN 'true' END]) AS value
         FROM done d LEFT JOIN device v USING (device_id)) WHERE value IS NOT NULL""", "done", "device"),
     "d16_device_upsert": with_ctes(f"""SELECT device_id, CASE WHEN ut IS NOT NULL THEN ut ELSE rt END AS type, CASE WHEN un IS NOT NULL THEN un ELSE rn END AS name, CASE WHEN ul IS NOT NULL THEN ul ELSE rl END AS location,
@@ -361,7 +362,7 @@ ORACLES: dict[str, str] = {
     "e5_format_jsonld": with_ctes("SELECT message_id, 'urn:fieldloom:message:' || message_id AS id, 'sosa:Observation' AS type, device_id AS feature, context AS description, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS result_time, protocol AS first_property FROM done", "done"),
     "e6_to_metrics": with_ctes(f"SELECT {TS.format('time')} AS time, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
     "e9_delivery_report": with_ctes("""SELECT m.message_id, coalesce(bool_and(ok), true) AS success, coalesce(bool_or(ok), false) AS partial_success, count(output) AS outputs, coalesce(sum(CASE WHEN ok THEN 1 ELSE 3 END), 0)::BIGINT AS attempts
-        FROM message m LEFT JOIN (SELECT * FROM delivery WHERE output <> 'timescale') d USING (message_id) GROUP BY 1""", "message", "delivery"),
+        FROM message m LEFT JOIN delivery d USING (message_id) GROUP BY 1""", "message", "delivery"),
     "e10_dry_run": with_ctes(f"""SELECT d.message_id, schema_signature, round(confidence, 6) AS confidence, llm_generated, context, {TS.format('event_time')} AS event_time, n AS fields, 'done' AS outcome
         FROM done d JOIN (SELECT message_id, count(*) AS n FROM kept GROUP BY 1) USING (message_id)""", "done", "kept"),
     "f1_hourly_rollup": with_ctes(f"SELECT {ROLLUP_OUT} FROM (SELECT date_trunc('hour', time) AS bucket, device_id, metric, {ROLLUP} FROM metric GROUP BY 1, 2, 3)", "metric"),

@@ -280,8 +280,8 @@ def learned_by_day(spark, folder):
 
 
 def seeded_registry(spark, folder):
-    """Only what was learned on the first eight days, so some entries are old at AS_OF and a TTL of 15 days."""
-    days = learned_by_day(spark, folder).filter(F.col("created_at") < F.lit(datetime(2024, 1, 9)))
+    """All that was learned, the newest entry of each schema; at AS_OF and a TTL of 15 days some are old."""
+    days = learned_by_day(spark, folder)
     return R.registry_upsert(days.limit(0), days)
 
 
@@ -606,7 +606,8 @@ def customers_as_devices(spark, folder):
 def d15(spark, folder):
     rows = DV.enrich_metadata(normalized(spark, folder).drop("entries", "mapping"), customers_as_devices(spark, folder))
     flat = rows.select("message_id", F.explode("metadata").alias("name", "v"))
-    return flat.filter("name <> 'translation_confidence'").select("message_id", "name", F.to_json("v").alias("value"))
+    shown = F.when(F.col("name") == "translation_confidence", F.format_number(F.try_variant_get("v", "$", "double"), 6)).otherwise(F.to_json("v"))
+    return flat.select("message_id", "name", shown.alias("value"))
 
 
 @query("d16_device_upsert")
@@ -702,7 +703,7 @@ def deliveries(spark, folder):
 
 @query("e9_delivery_report")
 def e9(spark, folder):
-    return E.delivery_report(messages(spark, folder), deliveries(spark, folder).filter("output <> 'timescale'"))
+    return E.delivery_report(messages(spark, folder), deliveries(spark, folder))
 
 
 @query("e10_dry_run")
@@ -722,13 +723,8 @@ def metrics(spark, folder):
     return E.to_metrics(normalized(spark, folder))
 
 
-def average(column: str) -> Column:
-    """Six decimals, nudged off the rounding edge, where the order of a sum would decide. Epoch times stay as they are."""
-    return F.when(F.abs(column) > 1e9, F.col(column)).otherwise(six(F.col(column) + 3e-8))
-
-
 def rollup_out(rows):
-    return rows.select(moment("bucket").alias("bucket"), "device_id", "metric", average("avg_value").alias("avg_value"),
+    return rows.select(moment("bucket").alias("bucket"), "device_id", "metric", "avg_value",
                        six("min_value").alias("min_value"), six("max_value").alias("max_value"), "sample_count")
 
 
@@ -770,9 +766,13 @@ def f4(spark, folder):
 
 
 def stream_scan(spark, folder, name):
-    """A table as a stream of files."""
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+    """A table, one file or a folder of part files, as a stream with one file in each batch."""
+    rows = table(spark, folder, name)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    # a stream reads folders, so a table of one file is picked out of the folder above
+    if rows.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 @query("s1_run_stream")
@@ -800,7 +800,7 @@ def s3(spark, folder):
     out = f"{scratch_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
     feed = messages_from_events(stream_scan(spark, folder, "events"))
     S.stream_registry(feed, f"{out}/registry", f"{out}/data", f"{out}/state", None, AS_OF).awaitTermination()
-    rows = spark.read.parquet(f"{out}/registry/version=1")
+    rows = S.latest_registry(spark, f"{out}/registry")
     return rows.select("schema_signature", big(F.size("mappings")).alias("fields"), six("confidence").alias("confidence"), "source",
                        moment("created_at").alias("created_at"))
 

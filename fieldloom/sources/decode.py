@@ -19,11 +19,13 @@ from fieldloom.functions.rows import keep_last, let
 
 
 def payload_text(df: DataFrame) -> Column:
-    """The payload as text, NULL where the bytes are not UTF-8."""
+    """The payload as text without a byte order mark, NULL where the bytes are not UTF-8."""
     if dict(df.dtypes)["payload"] == "string":
         return F.col("payload")
     text = F.col("payload").cast("string")
-    return F.when(F.is_valid_utf8(text), text)
+    marked = F.startswith(F.col("payload"), F.lit(b"\xef\xbb\xbf"))
+    bare = F.when(marked, F.substring("payload", 4, 2_147_483_647).cast("string")).otherwise(text)
+    return F.when(F.is_valid_utf8(text), bare)
 
 
 def payload_bytes(df: DataFrame) -> Column:

@@ -72,6 +72,13 @@ def stream_rollup(metrics: DataFrame, lateness: str = "3 hours") -> DataFrame:
     ).select(F.col("window.start").alias("bucket"), "device_id", "metric", "avg_value", "min_value", "max_value", "sample_count")
 
 
+def latest_registry(spark, path: str) -> DataFrame:
+    """The newest version of a registry that ``stream_registry`` keeps."""
+    versions = spark.read.schema(REGISTRY_SCHEMA + ", version bigint").parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def stream_registry(
     messages: DataFrame,
     registry_path: str,

@@ -79,7 +79,7 @@ def test_lookup_join_gives_the_same_rows_both_ways(spark):
     big = spark.range(20000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700))
     small = materialise(spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
     want = sorted((r.id, r.k, r.v) for r in lookup.lookup_join(big, small, ["k"]).collect())
-    got = sorted((r.id, r.k, r.v) for r in lookup.lookup_join(big, small, ["k"], rows=10).select("id", "k", "v").collect())
+    got = sorted((r.id, r.k, r.v) for r in lookup.lookup_join(big, small, ["k"], size=10).select("id", "k", "v").collect())
     assert [tuple(map(str, r)) for r in sorted(got, key=str)] == [tuple(map(str, r)) for r in sorted(want, key=str)] and len(got) == 20000
 
 
