@@ -4,30 +4,48 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_average(column: str) -> Column:
-    """The mean from an exact decimal sum: the order of the rows does not show in the last digits.
-
-    Twelve decimals are kept. Where a value is not finite or too large for that, the plain mean is taken.
-    """
-    exact = F.expr(f"try_cast(`{column}` AS decimal(38, 12))")
-    whole = F.count(exact) == F.count(column)
-    return F.when(whole, F.try_sum(exact).cast("double") / F.count(column)).otherwise(F.avg(column))
+BUCKET = ["bucket", "device_id", "metric"]
 
 
-def hourly_rollup(metrics: DataFrame) -> DataFrame:
-    """partial sums are made before the shuffle, so a busy device costs no more than a quiet one."""
+def partial_rollup(metrics: DataFrame) -> DataFrame:
+    """Hourly sums that can be added up later: exact ones to twelve decimals, plain ones for values beyond that."""
+    exact = F.expr("try_cast(value AS decimal(38, 12))")
     return metrics.groupBy(F.date_trunc("hour", "time").alias("bucket"), "device_id", "metric").agg(
-        exact_average("value").alias("avg_value"),
+        F.try_sum(exact).alias("exact_sum"),
+        F.count(exact).alias("exact_count"),
+        F.sum("value").alias("plain_sum"),
+        F.count("value").alias("value_count"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         F.count(F.lit(1)).alias("sample_count"),
     )
 
 
+def merge_rollup(partials: DataFrame) -> DataFrame:
+    """One row for each bucket from its partial sums."""
+    sums = partials.groupBy(*BUCKET).agg(
+        F.try_sum("exact_sum").alias("exact_sum"), F.sum("exact_count").alias("exact_count"), F.sum("plain_sum").alias("plain_sum"),
+        F.sum("value_count").alias("value_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        F.sum("sample_count").alias("sample_count"))
+    return finished(sums)
+
+
+def finished(sums: DataFrame) -> DataFrame:
+    # the order of the rows does not show in an exact sum
+    exact = (F.col("exact_count") == F.col("value_count")) & F.col("exact_sum").isNotNull()
+    mean = F.when(exact, F.col("exact_sum").cast("double")).otherwise(F.col("plain_sum")) / F.nullif("value_count", F.lit(0))
+    return sums.select(*BUCKET, mean.alias("avg_value"), "min_value", "max_value", "sample_count")
+
+
+def hourly_rollup(metrics: DataFrame) -> DataFrame:
+    """partial sums are made before the shuffle, so a busy device costs no more than a quiet one."""
+    return finished(partial_rollup(metrics))
+
+
 def refresh_rollup(
     rollup: DataFrame, metrics: DataFrame, as_of: datetime, start_hours: int = 3, end_hours: int = 1
 ) -> DataFrame:

@@ -790,9 +790,8 @@ def s2(spark, folder):
     events = stream_scan(spark, folder, "events")
     feed = events.select(F.col("ts").cast("timestamp").alias("time"), F.concat(F.lit("user-"), "user_id").alias("device_id"),
                          F.col("event_type").alias("metric"), "value")
-    writer = S.stream_rollup(feed).writeStream.format("parquet").option("path", f"{out}/data").outputMode("append")
-    S.start(writer, f"{out}/state", None).awaitTermination()
-    return rollup_out(spark.read.parquet(f"{out}/data"))
+    S.stream_rollup(feed, f"{out}/data", f"{out}/state", None).awaitTermination()
+    return rollup_out(S.read_rollup(spark, f"{out}/data"))
 
 
 @query("s3_stream_registry")

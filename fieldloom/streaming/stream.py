@@ -12,6 +12,7 @@ from fieldloom.operators.devices import enrich_metadata
 from fieldloom.operators.normalize import assemble_messages, compile_mappings, normalize
 from fieldloom.operators.outputs import to_metrics
 from fieldloom.operators.registry import registry_entries, registry_upsert
+from fieldloom.operators.rollup import merge_rollup, partial_rollup
 from fieldloom.operators.translate import translate
 from fieldloom.operators.fields import schema_fields
 from fieldloom.plans.telemetry import extract_messages, normalize_messages
@@ -61,15 +62,22 @@ def run_stream(
     return start(messages.writeStream.foreachBatch(batch), checkpoint, every)
 
 
-def stream_rollup(metrics: DataFrame, lateness: str = "3 hours") -> DataFrame:
-    """Hourly buckets; a bucket comes out once its rows can be no later than ``lateness``."""
-    buckets = metrics.withWatermark("time", lateness).groupBy(F.window("time", "1 hour"), "device_id", "metric")
-    return buckets.agg(
-        F.avg("value").alias("avg_value"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.count(F.lit(1)).alias("sample_count"),
-    ).select(F.col("window.start").alias("bucket"), "device_id", "metric", "avg_value", "min_value", "max_value", "sample_count")
+def stream_rollup(metrics: DataFrame, out: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+    """Partial rollups, one folder for each batch; ``read_rollup`` merges them.
+
+    No row is too late: it adds to its bucket whenever it comes, and the newest, still open buckets are there as well. A
+    batch that runs again replaces its folder.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        partial_rollup(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return start(metrics.writeStream.foreachBatch(batch), checkpoint, every)
+
+
+def read_rollup(spark, out: str) -> DataFrame:
+    """The rollup of all that has come so far."""
+    return merge_rollup(spark.read.parquet(out).drop("batch"))
 
 
 def latest_registry(spark, path: str) -> DataFrame:
