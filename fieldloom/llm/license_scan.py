@@ -157,7 +157,9 @@ def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str,
             position[ordered[k]] = np.arange(len(ordered[k]))
             mine = position[pair_token] >= 0
             blocks, places = pair_block[mine], position[pair_token[mine]]
-            heads = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else np.zeros(0, np.int64)
+            if not len(blocks):
+                continue
+            heads = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
             for h, e in zip(heads, np.append(heads[1:], len(blocks)), strict=True):
                 b, first = blocks[h], places[h]  # pairs are in global order, so the first match comes first
                 if first > len(ordered[k]) - need[k] or distinct[b] < need[k] or e - h < need[k]:

@@ -236,7 +236,7 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One document of each class, with all its columns; of repeated rows one."""
     found = near_duplicate_classes(docs, doc_id, text, **options)
     chosen = materialise(found.where("representative").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct())
-    keyed = docs.withColumn("_key", text_key(F.col(text)))
-    small = sized(chosen.select("_key", F.col("_id").alias("_chosen")))
-    kept = keyed.join(small, (keyed["_key"] == small["_key"]) & keyed[doc_id].eqNullSafe(small["_chosen"]), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col(text)).alias("key"), F.col(doc_id).alias("id"))
+    small = sized(chosen)
+    kept = rows.join(small, (rows["key"] == small["_key"]) & rows["id"].eqNullSafe(small["_id"]), "left_semi")
+    return kept.dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -108,15 +108,16 @@ def line_verdicts(docs: DataFrame, host: str = "source", text: str = "text", max
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """Every row of ``docs`` with the statistics, ``removed`` (null if no line goes), ``kept_share`` and ``kept``.
+    """Every row of ``docs`` as the struct ``row``, with the statistics, ``removed`` (null if no line goes), ``kept_share`` and ``kept``.
 
     kept is false for a document that fails the base rules or keeps less than
     ``min_kept`` of its lines. An empty or null text has no words, so it fails.
     """
     verdicts = sized(materialise(line_verdicts(docs, host, text, max_documents)))
     verdicts = verdicts.select(F.col("host").alias("_host"), F.col("key").alias("_key"), F.col("removed"), F.col("kept_share"))
-    stated = document_statistics(docs, text).withColumn("_h", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_k", text_key(F.col(text)))
-    joined = stated.join(verdicts, (F.col("_h") == F.col("_host")) & (F.col("_k") == F.col("_key")), "left").drop("_h", "_k", "_host", "_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_h"))
+    stated = document_statistics(rows).withColumn("_k", text_key(F.col("text")))
+    joined = stated.join(verdicts, (F.col("_h") == F.col("_host")) & (F.col("_k") == F.col("_key")), "left").drop("text", "_h", "_k", "_host", "_key")
     share = F.coalesce(F.col("kept_share"), F.lit(1.0))
     return joined.withColumn("kept_share", share).withColumn("kept", ~F.col("base_failed") & (share >= min_kept))
 
@@ -127,11 +128,9 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.when(removed.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
-def clean_documents(docs: DataFrame, host: str = "source", text: str = "text", **limits: object) -> DataFrame:
-    """The kept documents without lines above the limit; same columns."""
-    names = docs.columns
-    inner = docs.select(F.col(host).cast("string").alias("_source"), F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    kept = judge(inner, "_source", "_text", **limits).where("kept")
-    new = without_lines(F.col("_text"), F.col("removed"))
-    out = kept.select("_row", new.alias("_new"))
-    return out.select(*[F.col("_new").alias(c) if c == text else F.col(f"_row.`{c}`") for c in names])
+def clean_documents(docs: DataFrame, host: str = "source", text: str = "text", length: str = "n_chars", **limits: object) -> DataFrame:
+    """The kept documents without lines above the limit; same columns, with the column ``length`` brought up to date."""
+    kept = judge(docs, host, text, **limits).where("kept")
+    out = kept.select("row", without_lines(F.col(f"row.`{text}`"), F.col("removed")).alias("new"))
+    fresh = {text: F.col("new")} | ({length: F.length("new").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

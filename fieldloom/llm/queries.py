@@ -105,7 +105,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its statistics and the verdict of the line rules."""
     narrow = documents(spark, folder).select("doc_id", "source", "text")
     return quality_rules.judge(narrow).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
 
 
