@@ -32,6 +32,11 @@ UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _marked(word: str, n: int) -> str:
+    """The word with its ends marked; single characters are counted without."""
+    return f"^{word}$" if n > 1 else word
+
+
 @dataclass
 class Model:
     """Languages, and for each word and each n-gram its log frequency per language."""
@@ -44,9 +49,8 @@ class Model:
         known = self.words.get(run)
         if known is not None:
             return known
-        marked = f"^{run}$"
         for n in range(len(self.grams), 0, -1):
-            table = self.grams[n - 1]
+            table, marked = self.grams[n - 1], _marked(run, n)
             found = [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i:i + n])) is not None]
             if found:
                 return np.mean(found, axis=0)
@@ -64,7 +68,7 @@ def build(counts: dict[str, Counter]) -> Model:
     languages = sorted(counts)
     grams = []
     for n in range(1, LONGEST + 1):
-        own = {x: Counter(m[i:i + n] for w in counts[x] for m in [f"^{w}$"] for i in range(len(m) - n + 1)) for x in languages}
+        own = {x: Counter(m[i:i + n] for w in counts[x] for m in [_marked(w, n)] for i in range(len(m) - n + 1)) for x in languages}
         grams.append(_logs(own, languages))
     return Model(languages, _logs(counts, languages), grams)
 

@@ -23,6 +23,8 @@ from fieldloom.llm.common import per_portion
 from fieldloom.llm.words import LOWER_ALNUM, flat, hash_of, words
 
 CONTAINMENT = 0.8
+# A template of fewer words must be held whole: one word tells short notices apart.
+SHORT = 10
 # What a document scores that names a license but holds no notice.
 NAMED = 0.5
 
@@ -65,6 +67,12 @@ def templates(entries: list[tuple[str, str, str, str]] | None = None) -> list[Te
     return [Template(label, name, block, cut(text)) for label, name, block, text in (TEMPLATES if entries is None else entries)]
 
 
+def needed(template: Template, containment: float = CONTAINMENT) -> int:
+    """How many of a template's words a block must hold."""
+    size = len(template.tokens)
+    return size if size < SHORT else math.ceil(containment * size - 1e-9)
+
+
 class _Vocabulary:
     """Positions of some hashes, with a small bit table in front."""
 
@@ -112,7 +120,7 @@ def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str,
     ``row`` is the whole input row. Words are runs of letters, digits and characters beyond ASCII, capitals A-Z lowered.
     n_base counts the places where a phrase begins, first_word and last_word are the smallest and largest (words counted
     from 0). ``matches`` has, for each block and template it meets, name, label, first_word, last_word and containment.
-    score is the largest containment found, NAMED for a document with a phrase only, else 0. A null text is an empty one.
+    A template of fewer than SHORT words has to be held whole. score is the largest containment found, NAMED for a document with a phrase only, else 0. A null text is an empty one.
     """
     chosen = templates(entries)
     named = PHRASES if phrases is None else phrases
@@ -121,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str,
     tokens.sort(key=lambda t: (frequency[t], t))  # global order, rarest first
     rank = {t: i for i, t in enumerate(tokens)}
     ordered = [sorted(rank[t] for t in x.tokens) for x in chosen]
-    need = [max(1, math.ceil(containment * len(x) - 1e-9)) for x in ordered]
+    need = [needed(x, containment) for x in chosen]
     prefixes = sorted({r for x, n in zip(ordered, need, strict=True) for r in x[:len(x) - n + 1]})
     token_hash = hash_of(tokens) if tokens else np.zeros(0, np.uint64)
     all_known, first_known = _Vocabulary(token_hash), _Vocabulary(token_hash[prefixes] if prefixes else token_hash[:0])

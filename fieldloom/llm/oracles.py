@@ -86,12 +86,12 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 def _license_scan() -> str:
     """Phrases by place, notices by list intersection with each template's words."""
-    from fieldloom.llm.license_scan import CONTAINMENT, NAMED, PHRASES, templates
+    from fieldloom.llm.license_scan import NAMED, PHRASES, needed, templates
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     phrases = " UNION ALL ".join(
         f"SELECT doc, i, {quoted(label)} AS label FROM pos WHERE " + " AND ".join(f"w[i + {j + 1}] = {quoted(x)}" for j, x in enumerate(p.split(" "))) for p, label in PHRASES.items())
-    rows = ", ".join(f"({quoted(t.label)}, {quoted(t.block)}, [{', '.join(map(quoted, t.tokens))}])" for t in templates())
+    rows = ", ".join(f"({quoted(t.label)}, {quoted(t.block)}, [{', '.join(map(quoted, t.tokens))}], {needed(t)})" for t in templates())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc, doc_id, t, list_filter(regexp_split_to_array(t, '{_NOT_WORD}+'), lambda x: x <> '') AS w FROM d),
@@ -99,8 +99,8 @@ pos AS (SELECT doc, w, unnest(range(0, len(w))) AS i FROM w),
 base AS (SELECT doc, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base_labels FROM ({phrases}) GROUP BY doc),
 blocks AS (SELECT doc, 'line' AS block, unnest(string_split(t, chr(10))) AS b FROM d UNION ALL SELECT doc, 'section', unnest(regexp_split_to_array(t, '\n{_NOT_WORD}*\n')) FROM d),
 sets AS (SELECT doc, block, list_distinct(regexp_split_to_array(b, '{_NOT_WORD}+')) AS s FROM blocks),
-templates(label, block, tokens) AS (VALUES {rows}),
-met AS (SELECT doc, label, len(list_intersect(s, tokens)) / len(tokens) AS share FROM sets JOIN templates USING (block) WHERE len(list_intersect(s, tokens)) >= {CONTAINMENT} * len(tokens) - 1e-9),
+templates(label, block, tokens, need) AS (VALUES {rows}),
+met AS (SELECT doc, label, len(list_intersect(s, tokens)) / len(tokens) AS share FROM sets JOIN templates USING (block) WHERE len(list_intersect(s, tokens)) >= need),
 found AS (SELECT doc, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
