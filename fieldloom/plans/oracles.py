@@ -237,6 +237,7 @@ VECTORS = "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"
 
 ORACLES: dict[str, str] = {
     "a1_read_messages": with_ctes(f"SELECT message_id, device_id, protocol, topic, payload, {TS.format('ts')} AS received FROM message", "message"),
+    "a2_stream_messages": with_ctes(f"SELECT message_id, device_id, protocol, topic, payload, {TS.format('ts')} AS received FROM message", "message"),
     "a3_merge_protocols": with_ctes("SELECT message_id, protocol, topic FROM message", "message"),
     "a4_match_subscriptions": with_ctes(f"SELECT message_id, topic, {case([(subscription(p), p) for p in Q.SUBSCRIPTIONS], 'topic')} AS subscription FROM message", "message"),
     "a5_derive_device_id": with_ctes("""SELECT id, topic, coalesce(""" + ", ".join(
@@ -361,6 +362,7 @@ ORACLES: dict[str, str] = {
     "e4_format_json": with_ctes("SELECT message_id, message_id AS id_in_json, schema_signature AS signature, context, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS event_time, topic FROM done", "done"),
     "e5_format_jsonld": with_ctes("SELECT message_id, 'urn:fieldloom:message:' || message_id AS id, 'sosa:Observation' AS type, device_id AS feature, context AS description, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS result_time, protocol AS first_property FROM done", "done"),
     "e6_to_metrics": with_ctes(f"SELECT {TS.format('time')} AS time, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
+    "e7_write_metrics": with_ctes(f"SELECT {TS.format('time')} AS time, strftime(time, '%Y-%m-%d') AS date, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
     "e9_delivery_report": with_ctes("""SELECT m.message_id, coalesce(bool_and(ok), true) AS success, coalesce(bool_or(ok), false) AS partial_success, count(output) AS outputs, coalesce(sum(CASE WHEN ok THEN 1 ELSE 3 END), 0)::BIGINT AS attempts
         FROM message m LEFT JOIN delivery d USING (message_id) GROUP BY 1""", "message", "delivery"),
     "e10_dry_run": with_ctes(f"""SELECT d.message_id, schema_signature, round(confidence, 6) AS confidence, llm_generated, context, {TS.format('event_time')} AS event_time, n AS fields, 'done' AS outcome
@@ -373,6 +375,7 @@ ORACLES: dict[str, str] = {
         UNION ALL (SELECT 'newest', * FROM received WHERE metric = 'view' ORDER BY time DESC, device_id, metric, message_id LIMIT 100))""", "received"),
     "s1_run_stream": with_ctes(f"SELECT {TS.format('time')} AS time, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
     "s2_stream_rollup": with_ctes(f"""SELECT {ROLLUP_OUT} FROM (SELECT date_trunc('hour', time) AS bucket, device_id, metric, {ROLLUP} FROM received GROUP BY 1, 2, 3)""", "received"),
+    "s4_trigger_policy": with_ctes(f"SELECT {ROLLUP_OUT} FROM (SELECT date_trunc('hour', time) AS bucket, device_id, metric, {ROLLUP} FROM received GROUP BY 1, 2, 3)", "received"),
     "s3_stream_registry": with_ctes(f"""SELECT schema_signature, count(*) AS fields, round(any_value(o.confidence), 6) AS confidence, 'learned' AS source, {TS.format(AS_OF)} AS created_at
         FROM mapping JOIN overall o USING (schema_signature) GROUP BY 1""", "mapping", "overall"),
     "g1_clean_text": f"""SELECT id, md5(t) AS text_md5, length(t)::BIGINT AS chars FROM (SELECT id, regexp_replace(replace(replace(replace(replace(replace(

@@ -97,13 +97,34 @@ def six(column: Column | str) -> Column:
 # ---- A: sources and decoding ------------------------------------------------
 
 
-@query("a1_read_messages")
-def a1(spark, folder):
-    feed = M.to_contract(messages(spark, folder))
+def scratch(spark) -> str:
+    return f"{scratch_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
+
+
+def shown(feed):
     return feed.select("message_id", "device_id", "protocol", "topic", F.col("payload").cast("string").alias("payload"),
                        moment("ts").alias("received"))
 
 
+@query("a1_read_messages")
+def a1(spark, folder):
+    """Through files: written as a table of messages and read again."""
+    path = scratch(spark)
+    messages(spark, folder).write.parquet(path)
+    return shown(M.read_messages(spark, path))
+
+
+@query("a2_stream_messages")
+def a2(spark, folder):
+    """The same table as a stream of its files, two in each batch."""
+    path = scratch(spark)
+    messages(spark, folder).withColumn("payload", F.col("payload").cast("binary")).write.parquet(f"{path}/in")
+    feed = M.stream_messages(spark, "parquet", path=f"{path}/in", maxFilesPerTrigger=2)
+    writer = feed.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append")
+    S.start(writer, f"{path}/state", None).awaitTermination()
+    return shown(spark.read.parquet(f"{path}/out"))
+
+
 @query("a3_merge_protocols")
 def a3(spark, folder):
     feed = messages(spark, folder).drop("protocol")
@@ -692,6 +713,17 @@ def e6(spark, folder):
         moment("time").alias("time"), "device_id", "metric", six("value").alias("value"), "message_id")
 
 
+@query("e7_write_metrics")
+def e7(spark, folder):
+    """Written by day in two parts, the second appended, and read again."""
+    path, rows = scratch(spark), materialise(E.to_metrics(normalized(spark, folder)))
+    first = F.pmod(F.xxhash64("message_id"), F.lit(2)) == 0
+    E.write_metrics(rows.filter(first), path)
+    E.write_metrics(rows.filter(~first), path)
+    back = spark.read.parquet(path)
+    return back.select(moment("time").alias("time"), F.date_format("date", "yyyy-MM-dd").alias("date"), "device_id", "metric", six("value").alias("value"), "message_id")
+
+
 def deliveries(spark, folder):
     """The fan-out with an outcome for each delivery, taken from the event value."""
     rows = messages(spark, folder).withColumn("context", F.lit(None).cast("string"))
@@ -794,6 +826,19 @@ def s2(spark, folder):
     return rollup_out(S.read_rollup(spark, f"{out}/data"))
 
 
+@query("s4_trigger_policy")
+def s4(spark, folder):
+    """The rollup with a trigger each second, stopped once all files are through."""
+    out = scratch(spark)
+    events = stream_scan(spark, folder, "events")
+    feed = events.select(F.col("ts").cast("timestamp").alias("time"), F.concat(F.lit("user-"), "user_id").alias("device_id"),
+                         F.col("event_type").alias("metric"), "value")
+    running = S.stream_rollup(feed, f"{out}/data", f"{out}/state", "1 second")
+    running.processAllAvailable()
+    running.stop()
+    return rollup_out(S.read_rollup(spark, f"{out}/data"))
+
+
 @query("s3_stream_registry")
 def s3(spark, folder):
     out = f"{scratch_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
