@@ -32,7 +32,8 @@ def enrich_metadata(messages: DataFrame, devices: DataFrame | None = None) -> Da
     joined = messages
     if devices is not None:
         # a device registered twice counts as its newest row
-        newest = F.max_by(F.struct(*ATTRIBUTES), F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))))
+        changed = F.col("updated_at") if "updated_at" in devices.columns else F.lit(None).cast("timestamp")
+        newest = F.max_by(F.struct(*ATTRIBUTES), F.coalesce(changed, F.timestamp_seconds(F.lit(0))))
         known = materialise(devices.groupBy("device_id").agg(newest.alias("_device")))
         joined = lookup_join(messages, known, ["device_id"])
         registered = F.col("_device").isNotNull()

@@ -289,11 +289,11 @@ def compile_mappings(
     last = mappings.groupBy("schema_signature", "source_field").agg(
         F.max_by(F.struct(*kept), F.coalesce("ordinal", F.lit(0))).alias("_m")
     ).select("schema_signature", "source_field", "_m.*")
-    # both tables are catalogues of fixed size: 40 pairs and 9 concepts unless the caller extends them
-    joined = last.join(
-        F.broadcast(paths.withColumnsRenamed({"from_unit": "source_unit", "to_unit": "target_unit"})),
-        ["source_unit", "target_unit"], "left",
-    ).join(F.broadcast(limits.withColumnRenamed("concept_id", "target_concept")), ["target_concept"], "left")
+    paths = paths.withColumnsRenamed({"from_unit": "source_unit", "to_unit": "target_unit"})
+    limits = limits.withColumnRenamed("concept_id", "target_concept")
+    # the own catalogues have 40 pairs and 9 concepts; a table of the caller may be large, so the planner decides
+    joined = last.join(paths if conversions is not None else F.broadcast(paths), ["source_unit", "target_unit"], "left").join(
+        limits if constraints is not None else F.broadcast(limits), ["target_concept"], "left")
     return joined.select(
         "schema_signature",
         F.col("source_field").alias("key"),

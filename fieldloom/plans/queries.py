@@ -26,6 +26,7 @@ from fieldloom.operators import registry as R
 from fieldloom.operators import rollup as RU
 from fieldloom.operators import translate as T
 from fieldloom.operators.neighbours import knn_join
+from fieldloom.plans.lookup import lookup_join
 from fieldloom.plans.telemetry import dry_run, extract_messages, normalize_messages, translate_messages
 from fieldloom.session import materialise, prepare, scratch_dir
 from fieldloom.sources import decode as A
@@ -618,7 +619,7 @@ def d14(spark, folder):
 
 def customers_as_devices(spark, folder):
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("c_nationkey"), "n_name")
-    return table(spark, folder, "customer").join(F.broadcast(nation), "c_nationkey", "left").select(
+    return table(spark, folder, "customer").join(nation, "c_nationkey", "left").select(
         F.concat(F.lit("user-"), "c_custkey").alias("device_id"), F.lower("c_mktsegment").alias("type"), F.col("c_name").alias("name"),
         F.col("n_name").alias("location"), F.array(F.lit("customer"), F.col("c_mktsegment")).alias("tags"), F.lit(AS_OF).alias("updated_at"))
 
@@ -950,9 +951,9 @@ def outcomes(spark, folder):
     """Messages with out-of-range values or broken fields count as failed."""
     rows = normalized(spark, folder)
     first = F.get(F.filter("entries", lambda e: e["status"].isin(N.FAILED)), F.lit(0))["status"]
-    kinds = customers_as_devices(spark, folder).select("device_id", F.col("type").alias("device_type"))
-    return rows.select("message_id", "protocol", "device_id", first.alias("error_type")).join(kinds, "device_id", "left").withColumn(
-        "failed", F.col("error_type").isNotNull())
+    kinds = materialise(customers_as_devices(spark, folder).groupBy("device_id").agg(F.max("type").alias("device_type")))
+    failed = rows.select("message_id", "protocol", "device_id", first.alias("error_type")).withColumn("failed", F.col("error_type").isNotNull())
+    return lookup_join(failed, kinds, ["device_id"])
 
 
 @query("h1_message_counts")

@@ -114,6 +114,16 @@ def test_metadata_of_registered_devices(spark):
     assert meta["device_type"] == "env" and meta["device_name"] is None and meta["tags"] == ["a"] and meta["llm_assisted"] is True
 
 
+def test_a_device_registered_twice_counts_once(spark):
+    rows = [("d", "old", "n", "Hall", ["a"], datetime(2024, 1, 1)), ("d", "new", None, None, None, datetime(2024, 1, 2)), ("e", "x", None, None, None, None)]
+    devices = spark.createDataFrame(rows, "device_id string, type string, name string, location string, tags array<string>, updated_at timestamp")
+    done, _ = dry_run(messages(spark, ['{"temp":2.5}']), devices, as_of=NOW)
+    [row] = E.format_jsonld(done).withColumn("m", F.to_json("metadata")).collect()
+    assert json.loads(row.m)["device_type"] == "new"
+    properties = {p["name"]: p["value"] for p in json.loads(row.value)["additionalProperty"]}
+    assert properties["location"] is None and properties["device_type"] == "new"
+
+
 def test_json_outputs(spark):
     done, _ = dry_run(messages(spark, ['{"temp":2.5}']), as_of=NOW)
     doc = json.loads(E.format_jsonld(done, urn="x").first().value)

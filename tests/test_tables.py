@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.operators import normalize as N
 from fieldloom.operators import prompts as P
 from fieldloom.operators import quality as G
+from fieldloom.operators import rollup as RU
 from fieldloom.operators.neighbours import knn_join
 from fieldloom.plans import lookup
 from fieldloom.plans.oracles import ORACLES
@@ -17,6 +19,7 @@ from fieldloom.plans.queries import QUERIES
 from fieldloom.session import materialise
 from fieldloom.sources import decode as A
 from fieldloom.sources import messages as M
+from fieldloom.streaming import stream as S
 from tools.check import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -121,3 +124,41 @@ def test_queries_match_their_sql(spark, name):
 def test_every_query_has_sql_or_a_reason():
     # encodings need an XML parser, request texts are long prose: both are tested above
     assert set(QUERIES) - set(ORACLES) == {"a6_encoding_profile", "c8_build_prompt_requests"}
+
+
+def test_lookup_join_with_hot_and_missing_keys(spark):
+    small = materialise(spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
+    for share in ("id % 10 < 9", "id % 10 < 0"):
+        big = spark.range(5000).withColumn("k", F.when(F.expr(share), F.lit(7)).when(F.col("id") % 10 == 9, F.col("id") % 700))
+        rows = lookup.lookup_join(big, small, ["k"], size=10).collect()
+        assert sorted(r.id for r in rows) == list(range(5000))
+        assert all(r.v == (None if r.k is None or r.k >= 600 else 2 * r.k) for r in rows)
+
+
+def test_exact_rounding_of_ties(spark):
+    values = [2.675, 23.125, 0.285, -2.675, 0.5, 1.5, 2.5, 1e-7, 5e-7, 1.0000005, 0.0, 1e300] + [k / 1000 for k in range(5, 4000, 10)] + [(2 * k + 1) / 16 for k in range(200)]
+    for digits in (0, 1, 2, 3, 6):
+        got = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.exact_round(F.col("x"), digits).alias("y")).collect()
+        assert [r.y for r in got] == [round(v, digits) for v in values]
+
+
+def test_json_with_a_byte_order_mark(spark):
+    rows = A.decode_json(payloads(spark, [b'\xef\xbb\xbf{"a":1}', b'{"a":1}'])).select("decoded.document").collect()
+    assert [json.loads(r.document) for r in rows] == [{"a": 1}, {"a": 1}]
+
+
+def test_streamed_rollup_takes_late_rows_and_open_hours(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1 + i % 3, i % 24, 10), f"d{i % 2}", "m", i / 10) for i in range(200)] + [(datetime(2023, 12, 1), "d0", "m", 1e300), (datetime(2023, 12, 1), "d0", "m", None)]
+    metrics = spark.createDataFrame(rows, "time timestamp, device_id string, metric string, value double")
+    metrics.repartition(5).write.parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema(metrics.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    S.stream_rollup(feed, f"{tmp_path}/out", f"{tmp_path}/state", None).awaitTermination()
+    got = sorted(S.read_rollup(spark, f"{tmp_path}/out").collect(), key=str)
+    assert got == sorted(RU.hourly_rollup(metrics).collect(), key=str) and sum(r.sample_count for r in got) == 202
+
+
+def test_table_of_part_files_streams_like_one_file(spark, tmp_path):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["s2_stream_rollup"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, QUERIES["s2_stream_rollup"](spark, FOLDER).collect())) and sum(r.sample_count for r in got) == events.count()

@@ -111,3 +111,20 @@ def test_last_mapping_wins(spark):
     rows = spark.createDataFrame([("s", "a", "c1", "t1", 0.8, "llm", 0), ("s", "a", "c2", "t2", 0.8, "llm", 1)],
                                  "schema_signature string, source_field string, target_concept string, target_field string, confidence double, resolution_method string, ordinal int")
     assert [r.m.target_field for r in compile_mappings(T.as_mappings(rows)).collect()] == ["t2"]
+
+
+def test_lookup_takes_the_newest_live_entry(spark):
+    rows = [("s", 0.1, datetime(2024, 1, 1)), ("s", 0.2, datetime(2024, 1, 3)), ("s", 0.3, datetime(2023, 1, 1)), ("t", 0.4, datetime(2023, 1, 1))]
+    registry = spark.createDataFrame(rows, "schema_signature string, confidence double, created_at timestamp")
+    found = R.registry_lookup(spark.createDataFrame([("s",), ("t",)], "schema_signature string"), registry, datetime(2024, 1, 5)).collect()
+    assert {(r.schema_signature, r.hit, r.confidence) for r in found} == {("s", True, 0.2), ("t", False, None)}
+
+
+def test_new_concepts_have_ordinals_of_their_own(spark):
+    rows = [(f"c{i}", "d", "u", "float", ["a"], f"s{i % 50:02}", i) for i in range(3000)]
+    suggested = spark.createDataFrame(rows, "concept_id string, description string, unit string, datatype string, aliases array<string>, schema_signature string, ordinal int")
+    table, _ = T.learn_concepts(catalog.concepts(spark), suggested)
+    found = table.filter("concept_id LIKE 'c%' AND description = 'd'").collect()
+    assert len({r.ordinal for r in table.collect()}) == table.count()
+    arrival = {f"c{i}": (f"s{i % 50:02}", i) for i in range(3000)}
+    assert sorted(arrival, key=arrival.get) == [r.concept_id for r in sorted(found, key=lambda r: r.ordinal)]
