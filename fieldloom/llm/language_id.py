@@ -22,11 +22,11 @@ from fieldloom.llm.common import held_out, materialise, per_portion
 from fieldloom.llm.words import LOWER_ALNUM, flat, words
 
 # Documents that the model is fitted on, at most; the first by hash of the id.
-TRAINING_DOCUMENTS = 8000
+TRAINING_DOCUMENTS = 4000
 LONGEST = 4
 SMOOTHING = 0.5
 # Scored words that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,28 +39,29 @@ def _marked(word: str, n: int) -> str:
 
 @dataclass
 class Model:
-    """Languages, and for each word and each n-gram its log frequency per language."""
+    """Languages, and tables of words and of n-grams: the place of each, and its log frequency per language there."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 1
+    words: tuple[dict[str, int], np.ndarray]
+    grams: list[tuple[dict[str, int], np.ndarray]]  # by length, from 1
 
     def word(self, run: str) -> np.ndarray:
-        known = self.words.get(run)
-        if known is not None:
-            return known
+        place, logs = self.words
+        if run in place:
+            return logs[place[run]]
         for n in range(len(self.grams), 0, -1):
-            table, marked = self.grams[n - 1], _marked(run, n)
-            found = [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i:i + n])) is not None]
+            (place, logs), marked = self.grams[n - 1], _marked(run, n)
+            found = [p for i in range(len(marked) - n + 1) if (p := place.get(marked[i:i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return logs[found].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
 
-def _logs(counts: dict[str, Counter], languages: list[str]) -> dict[str, np.ndarray]:
+def _logs(counts: dict[str, Counter], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     everything = sorted(set().union(*counts.values())) if counts else []
     totals = [sum(counts[x].values()) + SMOOTHING * (len(everything) + 1) for x in languages]
-    return {k: np.array([math.log((counts[x][k] + SMOOTHING) / t) for x, t in zip(languages, totals, strict=True)]) for k in everything}
+    logs = [[math.log((counts[x][k] + SMOOTHING) / t) for x, t in zip(languages, totals, strict=True)] for k in everything]
+    return {k: i for i, k in enumerate(everything)}, np.array(logs, np.float32).reshape(len(everything), len(languages))
 
 
 def build(counts: dict[str, Counter]) -> Model:
@@ -94,15 +95,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return build(counts)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Rows (row, lang_pred, score): the whole row as a struct, its language and that language's share of the likelihood.
+def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Rows (row, lang_pred, score): the row's columns, or those to carry, as a struct, its language and that language's share of the likelihood.
 
     A text that is null or holds no letter is ``und`` with score 0, as is every text if no language was learned. Of equal
     sums the language first in the alphabet is taken.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[int, np.ndarray | None] = {}
+    known: dict[int, bytes] = {}  # by hash of the word; NaN without a letter
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
@@ -112,14 +113,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(known) > REMEMBERED:
             known.clear()
-        values, letters = np.zeros((len(distinct), width)), np.zeros(len(distinct), bool)
-        raw = data.tobytes()
-        for i, (h, at) in enumerate(zip(distinct.tolist(), first.tolist(), strict=True)):
+        raw, nothing, order = data.tobytes(), np.full(width, np.nan, np.float32).tobytes(), distinct.tolist()
+        for h, at in zip(order, first.tolist(), strict=True):
             if h not in known:
                 runs = _LETTERS.findall(raw[w.start[at]:w.end[at]].decode("utf-8", "ignore"))
-                known[h] = sum((own.word(r) for r in runs), np.zeros(width)) if runs else None
-            if known[h] is not None:
-                values[i], letters[i] = known[h], True
+                known[h] = np.sum([own.word(r) for r in runs], axis=0, dtype=np.float32).tobytes() if runs else nothing
+        values = np.frombuffer(b"".join(known[h] for h in order), np.float32).astype(float).reshape(len(order), width)
+        letters = ~np.isnan(values).any(axis=1)
+        values = np.where(letters[:, None], values, 0.0)
         sums = np.column_stack([np.bincount(w.text, values[inverse, j], n) for j in range(width)]) if width else np.zeros((n, 1))
         some = (np.bincount(w.text, letters[inverse], n) > 0) & (width > 0)
         best = sums.argmax(axis=1)

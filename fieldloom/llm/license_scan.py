@@ -114,10 +114,11 @@ def document_frequency(docs: DataFrame, tokens: list[str], text: str = "text") -
     return {t: 0 for t in tokens} | {tokens[r.token]: r.n for r in rows}
 
 
-def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = CONTAINMENT,
+         carry: list[str] | None = None) -> DataFrame:
     """Rows (row, n_words, n_base, first_word, last_word, base_labels, labels, score, matches).
 
-    ``row`` is the whole input row. Words are runs of letters, digits and characters beyond ASCII, capitals A-Z lowered.
+    ``row`` is the whole input row, or its columns to carry. Words are runs of letters, digits and characters beyond ASCII, capitals A-Z lowered.
     n_base counts the places where a phrase begins, first_word and last_word are the smallest and largest (words counted
     from 0). ``matches`` has, for each block and template it meets, name, label, first_word, last_word and containment.
     A template of fewer than SHORT words has to be held whole. score is the largest containment found, NAMED for a document with a phrase only, else 0. A null text is an empty one.
@@ -134,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text", entries: list[tuple[str, str, str,
     token_hash = hash_of(tokens) if tokens else np.zeros(0, np.uint64)
     all_known, first_known = _Vocabulary(token_hash), _Vocabulary(token_hash[prefixes] if prefixes else token_hash[:0])
     phrase_hash = [(hash_of(p.split(" ")), label) for p, label in named.items()]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def matched(data: np.ndarray, w, kind: str) -> list[tuple[int, int, int, int, float]]:
         """(text, template, first word, last word, containment) of the blocks of a kind."""

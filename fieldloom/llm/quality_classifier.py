@@ -217,12 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(Lines(number, np.zeros(len(rows), np.int64), features), rows["label"].to_numpy())
 
 
-def score_lines(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """Rows (row, score, n_lines, line_good): the whole row as a struct, its quality, and each line's probability of being good.
+def score_lines(docs: DataFrame, field: Field, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Rows (row, score, n_lines, line_good): the row's columns, or those to carry, as a struct, its quality, and each line's probability of being good.
 
     Lines without a word are not labelled. A null text is an empty one; a text without a word scores 0.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = line_features(*flat(batch.column("text")))

@@ -22,7 +22,7 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its quality."""
     docs = documents(spark, folder).select("doc_id", "text")
     field = quality_classifier.train(docs, read_table(spark, folder, "labels"))
-    scored = quality_classifier.score_lines(docs, field).select(F.col("row.doc_id").alias("doc_id"), "score", "n_lines")
+    scored = quality_classifier.score_lines(docs, field, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "score", "n_lines")
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
 
 
@@ -86,13 +86,13 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its language."""
     docs = documents(spark, folder)
     model = language_id.train(docs.select("doc_id", "text", "lang"))
-    found = language_id.identify(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    found = language_id.identify(docs.select("doc_id", "text"), model, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its license phrases and notices."""
-    scanned = license_scan.scan(documents(spark, folder).select("doc_id", "text"))
+    scanned = license_scan.scan(documents(spark, folder).select("doc_id", "text"), carry=["doc_id"])
     return scanned.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
