@@ -10,7 +10,10 @@ rank.
 
 from __future__ import annotations
 
+import os
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +21,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialise, per_portion, text_key
+from fieldloom.llm.common import materialise, per_portion, sized, text_key
 
 CAPACITY = 2048
 # Lengths are rounded up to so many tokens in the linear program, which so has 256 rows.
 UNIT = 8
 # Ranks are counted within so many remainders of a length, then shifted.
-RANK_ROWS = 20_000
-# Encoded pieces that a task remembers.
+RANK_ROWS = 4_000
+# Encoded parts that a Python worker remembers, from task to task.
 REMEMBERED = 400_000
+_ENCODERS: dict[str, tuple] = {}
+
+
+def encoded(parts: set[str], vocabulary: str) -> dict[str, bytes]:
+    """The ids of each part. Up to REMEMBERED parts are kept for later portions and tasks of the worker."""
+    if vocabulary not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.encode_special_tokens = True
+        _ENCODERS[vocabulary] = (tokenizer, {})
+    tokenizer, known = _ENCODERS[vocabulary]
+    out = {p: known[p] for p in parts if p in known}
+    fresh = list(parts.difference(out))
+    for i in range(0, len(fresh), 20_000):
+        some = fresh[i:i + 20_000]
+        new = dict(zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        out.update(new)
+        if len(known) < REMEMBERED:
+            # long parts are whole texts that did not split
+            known.update((p, v) for p, v in new.items() if len(p) < 64)
+    return out
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -41,38 +67,16 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_
     spaced = F.col(text).rlike(r"(?U)( \s|\s )")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(F.col(text)).alias("key"),
                          F.coalesce(spaced, F.lit(False)).alias("whole"))
-    state: dict = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in state["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(parts: list[str]) -> None:
-        known = state["known"]
-        fresh = list({p for p in parts if p not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list(set(parts))
-        for i in range(0, len(fresh), 20_000):
-            known.update(zip(fresh[i:i + 20_000], encode(fresh[i:i + 20_000]), strict=True))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            state.update(tokenizer=Tokenizer.from_file(vocabulary), known={})
-            state["tokenizer"].encode_special_tokens = True
         texts, whole = batch.column("text").to_pylist(), batch.column("whole").to_pylist()
         # a part keeps the space before it; the first part of a text has none
         parts = [[t] if w or " " not in t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t, w in zip(texts, whole, strict=True)]
-        learn([p for ps in parts if len(ps) > 1 for p in ps])
-        known = state["known"]
+        ids_of = encoded(set(chain.from_iterable(parts)), vocabulary)
         end = np.asarray([end_id], "<u4").tobytes()
         rows: list[tuple[int, int, int, int, bytes]] = []
         for i, ps in enumerate(parts):
-            ids = (b"".join(map(known.__getitem__, ps)) if len(ps) > 1 else encode(ps)[0] if ps[0] else b"") + end
+            ids = b"".join(map(ids_of.__getitem__, ps)) + end
             total = len(ids) // 4
             rows.extend((i, start, min(capacity, total - start), total, ids[4 * start:4 * (start + capacity)]) for start in range(0, total, capacity))
         of, start, length, total, ids = zip(*rows, strict=True) if rows else ((),) * 5
@@ -119,7 +123,8 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds:
     need = demand[kinds].astype(float)
     basis = np.diag((capacity // lengths).astype(float))
     inverse = np.diag(1.0 / (capacity // lengths))
-    use = inverse @ need
+    times = lambda matrix, vector: np.einsum("ij,j->i", matrix, vector)  # noqa: E731  small; threads would only wait for each other
+    use = times(inverse, need)
     for step in range(rounds):
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
         values = np.zeros(len(demand))
@@ -128,7 +133,7 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds:
         if value <= 1 + tolerance:
             break
         column = counts[kinds].astype(float)
-        change = inverse @ column
+        change = times(inverse, column)
         able = change > 1e-9
         if not able.any():
             break
@@ -143,7 +148,7 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds:
         inverse[out] = row
         if step % 200 == 199:
             inverse = np.linalg.inv(basis)
-            use = inverse @ need
+            use = times(inverse, need)
     full = np.zeros((m, len(demand)), np.int64)
     full[:, kinds] = np.rint(basis.T).astype(np.int64)
     return full, np.maximum(use, 0)
@@ -194,13 +199,13 @@ def pack(pieces: DataFrame, carry: dict[str, Column] | None = None, capacity: in
     To the driver come only the histogram (capacity / unit counts) and the number of rank groups.
     """
     carried = carry if carry is not None else {"ids": F.col("ids")}
-    written = materialise(pieces.select("doc_id", "key", "start", "length", "doc_tokens", *[c.alias(n) for n, c in carried.items()],
-                                        F.least(F.ceil(F.col("length") / unit), F.lit(capacity // unit)).cast("bigint").alias("units")))
-    names = ["doc_id", "start", "length", "doc_tokens", *carried]
+    # only lengths go through the ranking; the carried columns are joined to their places at the end
+    units_of = F.least(F.ceil(F.col("length") / unit), F.lit(capacity // unit)).cast("bigint")
+    written = materialise(pieces.select("doc_id", "key", "start", "length", "doc_tokens", *[c.alias(n) for n, c in carried.items()]).withColumn("piece", F.monotonically_increasing_id()))
+    slim = written.select("piece", "key", "length", units_of.alias("units"))
     # a group of ranks holds a bounded share of a length, dealt by hash; a piece's rank is its place in its group after the groups before
-    total = written.count()
-    groups = max(1, -(-total // RANK_ROWS))
-    grouped = written.withColumn("g", F.pmod(F.xxhash64("key", "doc_id", "start"), F.lit(groups)))
+    groups = max(1, -(-written.count() // RANK_ROWS))
+    grouped = slim.withColumn("g", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
     counts = materialise(grouped.groupBy("units", "g").agg(F.count("*").alias("n")))
     before = F.coalesce(F.sum("n").over(W.partitionBy("units").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     histogram = np.zeros(capacity // unit, np.int64)
@@ -208,7 +213,7 @@ def pack(pieces: DataFrame, carry: dict[str, Column] | None = None, capacity: in
         histogram[row.units - 1] = row.n
     full = capacity // unit
     ranked = grouped.join(counts.select("units", "g", before.alias("before")), ["units", "g"])
-    place = F.row_number().over(W.partitionBy("units", "g").orderBy("key", "doc_id", "start")) - 1
+    place = F.row_number().over(W.partitionBy("units", "g").orderBy("key", "piece")) - 1
     ranked = ranked.withColumn("rank", F.col("before") + place)
     demand = histogram.copy()
     demand[full - 1] = 0
@@ -231,8 +236,7 @@ def pack(pieces: DataFrame, carry: dict[str, Column] | None = None, capacity: in
             rest = [c for c in batch.schema.names if c not in ("rank",)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sequence), pa.array(slot)], [*rest, "sequence_id", "slot"])
 
-    slim = ranked.select(*names, "units", "rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "rank")
-    assigned = slim.mapInArrow(assign, f"{schema}, sequence_id bigint, slot bigint")
+    assigned = ranked.select("piece", "length", "units", "rank").mapInArrow(assign, "piece bigint, length bigint, units bigint, sequence_id bigint, slot bigint")
     so_far = W.partitionBy("sequence_id").orderBy(F.desc("units"), "slot").rowsBetween(W.unboundedPreceding, -1)
-    return assigned.select(*names, "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset"))
+    placed = materialise(assigned.select("piece", "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset")))
+    return written.join(sized(placed), "piece").select("doc_id", "start", "length", "doc_tokens", *carried, "sequence_id", "offset")
