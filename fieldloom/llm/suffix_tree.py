@@ -2,8 +2,8 @@
 
 The tree's states are contexts of no, one or two words. A context is retained if
 it occurs often enough and its next-symbol distribution diverges enough from that
-of the context without its oldest word. Each symbol is scored in the longest
-retained context before it; distributions are smoothed towards the shorter
+of the context without its oldest word, or if a longer context is retained below
+it. Each symbol is scored in the longest retained context before it; distributions are smoothed towards the shorter
 context, down to the word frequencies.
 
 Texts are kept as blocks of local word numbers. What the corpus knows about a
@@ -33,14 +33,15 @@ ADDED = 0.1
 MIN_COUNT = 8
 # Least divergence (nats) of a retained context from the next shorter one.
 DIVERGENCE = 1.0
-# A one-word context is tested on so many hash classes of next words, which cannot raise the divergence.
-CLASSES = 16
+# Classes of next words that contexts are tested on: one for each hash, so the words themselves. The brute force reads it.
+CLASSES = 1 << 64
 # Occurrences that the shorter context is worth in a longer one.
 WEIGHT = 1.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _END = np.uint64(0x5851F42D4C957F2D)
+_BEGIN = np.uint64(1)
 _CODEC = pa.Codec("zstd", compression_level=3)
 
 
@@ -122,25 +123,32 @@ class _Block:
         self.tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
         self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.count = _unpack(row["count"], "<i8")
-
-    def pairs(self) -> np.ndarray:
-        """Places of all tokens but the first of each text."""
-        inner = np.ones(len(self.tokens), bool)
-        inner[np.append(0, np.cumsum(self.lengths))[:-1]] = False
-        return np.flatnonzero(inner)
-
-    def in_context(self, retained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places that follow a retained word, and for each the number and first place of its (oldest, word, next) triple."""
-        keep = np.zeros(len(self.count), bool)
-        keep[retained] = True
-        at = self.pairs()
-        at = at[keep[self.tokens[at - 1]]]
-        first = np.append(0, np.cumsum(self.lengths))[self.text[at]]
-        oldest = np.where(at - 2 >= first, self.tokens[at - 2], len(self.count))  # the beginning of a text is a symbol too
-        size = len(self.count) + 1
-        _, head, triple = np.unique((oldest * size + self.tokens[at - 1]) * size + self.tokens[at], return_index=True, return_inverse=True) if size < 2_000_000 else \
-            np.unique(np.stack([oldest, self.tokens[at - 1], self.tokens[at]]), axis=1, return_index=True, return_inverse=True)
-        return at, triple, at[head]
+        self.begin = np.append(0, np.cumsum(self.lengths))[:-1]
+
+    def number_of(self, at: np.ndarray, number: np.ndarray, numbers: int) -> np.ndarray:
+        """How often each number stands in texts to learn from."""
+        return np.bincount(number[self.learn[self.text[at]]], minlength=numbers)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places after a frequent word or at a text's beginning, each one's number of (word, next), and the words of the numbers."""
+        before, size = np.empty_like(self.tokens), len(self.count) + 1
+        before[1:] = self.tokens[:-1]
+        before[self.begin] = size - 1  # the beginning of a text is a symbol too
+        at = np.flatnonzero(np.append(self.count >= MIN_COUNT, True)[before])
+        value, number = np.unique(before[at] * size + self.tokens[at], return_inverse=True)
+        return at, number, value // size, value % size
+
+    def triples(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places after a frequent pair of symbols, each one's pair (word, next) and number of (oldest, word, next), and the numbers' (oldest, word) and first places."""
+        at, number, _, _ = self.pairs()
+        pair, size = np.full(len(self.tokens), -1), len(self.count) + 1
+        pair[at] = number
+        often = np.append(total >= MIN_COUNT, False)
+        inner = np.append(False, often[pair[:-1]])
+        inner[self.begin] = False
+        at = np.flatnonzero(inner)
+        value, head, number = np.unique(pair[at - 1] * size + self.tokens[at], return_index=True, return_inverse=True)
+        return at, pair, number, value // size, at[head]
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -149,34 +157,30 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: (c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) and n != "doc_id" else c[k].as_py()) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _stated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each frequent word of a block with its next words by class: the test of one-word contexts."""
-    names = ["block", "i", "word", *[f"b{j}" for j in range(CLASSES)]]
+def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each (word, next) of a block whose word is frequent or the beginning of a text: (block, i, word, pair, n, next_count)."""
     for row in _rows(batches):
-        b, vocabulary = _Block(row), np.asarray(row["vocabulary"]).view(np.uint64)
-        at = b.pairs()
-        at = at[b.learn[b.text[at]]]
-        classes = (vocabulary & np.uint64(CLASSES - 1)).astype(np.int64)
-        able = b.count >= MIN_COUNT
-        number = np.cumsum(able) - 1
-        at = at[able[b.tokens[at - 1]]]
-        table = np.bincount(number[b.tokens[at - 1]] * CLASSES + classes[b.tokens[at]], minlength=int(able.sum()) * CLASSES).reshape(-1, CLASSES)
-        i = np.flatnonzero(able)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b.block)), pa.array(i), pa.array(vocabulary[i].view(np.int64)), *(pa.array(table[:, j].astype(np.int64)) for j in range(CLASSES))], names)
+        b, vocabulary = _Block(row), np.append(np.asarray(row["vocabulary"]).view(np.uint64), _BEGIN)
+        at, number, word, following = b.pairs()
+        n = b.number_of(at, number, len(word))
+        pair = mix(mix(vocabulary[word]) + vocabulary[following])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), b.block)), pa.array(np.arange(len(word))), pa.array(vocabulary[word].view(np.int64)), pa.array(pair.view(np.int64)),
+                                          pa.array(n.astype(np.int64)), pa.array(b.count[following])], ["block", "i", "word", "pair", "n", "next_count"])
 
 
 def _triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each triple of a block whose middle word is a retained context: (block, i, word, pair, next, n)."""
+    """One row for each (oldest, word, next) of a block whose (oldest, word) is frequent: (block, i, word, pair, triple, n, share); share is that of next after word."""
     for row in _rows(batches):
-        b, vocabulary = _Block(row), np.append(np.asarray(row["vocabulary"]).view(np.uint64), np.uint64(1))
-        at, triple, head = b.in_context(_unpack(row["retained"], "<i8") if row["retained"] is not None else np.zeros(0, np.int64))
-        n = np.bincount(triple[b.learn[b.text[at]]], minlength=len(head))
-        begin = np.append(0, np.cumsum(b.lengths))[b.text[head]]
-        oldest = np.where(head - 2 >= begin, b.tokens[head - 2], len(vocabulary) - 1)
-        middle = vocabulary[b.tokens[head - 1]]
-        pair = mix(mix(vocabulary[oldest]) + middle)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), b.block)), pa.array(np.arange(len(head))), pa.array(middle.view(np.int64)), pa.array(pair.view(np.int64)),
-                                          pa.array(vocabulary[b.tokens[head]].view(np.int64)), pa.array(n.astype(np.int64))], ["block", "i", "word", "pair", "next", "n"])
+        b, vocabulary = _Block(row), np.append(np.asarray(row["vocabulary"]).view(np.uint64), _BEGIN)
+        total = _unpack(row["total"], "<i8")
+        _, _, oldest, word = b.pairs()
+        at, pair, number, outer, head = b.triples(total)
+        n = b.number_of(at, number, len(head))
+        context = mix(mix(vocabulary[oldest[outer]]) + vocabulary[word[outer]])
+        triple = mix(mix(context) + vocabulary[b.tokens[head]])
+        share = total[pair[head]] / np.maximum(b.count[word[outer]], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), b.block)), pa.array(np.arange(len(head))), pa.array(vocabulary[word[outer]].view(np.int64)), pa.array(context.view(np.int64)),
+                                          pa.array(triple.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(share)], ["block", "i", "word", "pair", "triple", "n", "share"])
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: str = "learn") -> DataFrame:
@@ -203,30 +207,30 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     total = blocks.select(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).agg(F.sum("n").alias("n")).first().n or 0
     distinct = counts.mapInArrow(sizes, "v bigint").agg(F.sum("v").alias("v")).first().v or 0
 
-    # one-word contexts: the divergence of their next words, by class, from all words
+    # one-word contexts: the divergence of their next words from all words; a pair has one row for each block
+    parts = ["block", "lengths", "learn", "tokens", "vocabulary", "count"]
     base = blocks.join(counts.select("block", "count"), "block")
-    stated = materialise(base.select("block", "lengths", "learn", "tokens", "vocabulary", "count").mapInArrow(_stated, "block bigint, i bigint, word bigint, " + ", ".join(f"b{j} bigint" for j in range(CLASSES))))
-    classes = [f"b{j}" for j in range(CLASSES)]
-    sums = stated.groupBy("word").agg(*[F.sum(c).alias(c) for c in classes])
-    share = [float(x or 0) for x in stated.agg(*[F.sum(c) for c in classes]).first()]
-    whole = max(1.0, sum(share))
-    n = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
-    gain = sum((F.when(F.col(c) > 0, F.col(c) * (F.log(F.col(c) / F.col("n")) - float(np.log(max(s, 1.0) / whole)))).otherwise(0.0) for c, s in zip(classes, share, strict=True)), F.lit(0.0))
-    retained = materialise(sums.withColumn("n", n).where((F.col("n") >= MIN_COUNT) & (gain >= DIVERGENCE * F.col("n"))).select("word", "n"))
-    flags = sent_back(stated.select("block", "i", "word").join(retained.select("word"), "word"), [])
-
-    # two-word contexts below them, tested on their next words themselves
-    deeper = base.join(flags.withColumnRenamed("i", "retained"), "block", "left").select("block", "lengths", "learn", "tokens", "vocabulary", "count", "retained")
-    triples = materialise(deeper.mapInArrow(_triples, "block bigint, i bigint, word bigint, pair bigint, next bigint, n bigint"))
-    third = triples.groupBy("word", "pair", "next").agg(F.sum("n").alias("n_pair_next"))
-    third = materialise(third)
-    second = materialise(third.groupBy("word", "next").agg(F.sum("n_pair_next").alias("n_word_next")).join(retained.withColumnRenamed("n", "n_word"), "word"))
-    joined = third.join(second, ["word", "next"])
-    gained = F.when(F.col("n_pair_next") > 0, F.col("n_pair_next") * (F.log("n_pair_next") - F.log(F.col("n_word_next") / F.col("n_word")))).otherwise(0.0)
-    pairs = joined.groupBy("pair").agg(F.sum("n_pair_next").alias("n_pair"), F.sum(gained).alias("gain"))
-    kept = pairs.where((F.col("n_pair") >= MIN_COUNT) & (F.col("gain") - F.col("n_pair") * F.log("n_pair") >= DIVERGENCE * F.col("n_pair"))).select("pair", "n_pair")
-    entries = joined.join(kept, "pair", "left").select("pair", "next", "n_word", "n_word_next", F.coalesce("n_pair", F.lit(0)).alias("n_pair"), "n_pair_next")
-    answers = sent_back(triples.select("block", "i", "pair", "next").join(entries, ["pair", "next"]), ["n_word", "n_word_next", "n_pair", "n_pair_next"])
+    by_pair, by_triple = W.partitionBy("pair"), W.partitionBy("triple")
+    pairs = base.select(*parts).mapInArrow(_pairs, "block bigint, i bigint, word bigint, pair bigint, n bigint, next_count bigint")
+    pairs = materialise(pairs.select("block", "i", "word", "next_count", F.sum("n").over(by_pair).alias("total"), (F.min("block").over(by_pair) == F.col("block")).alias("first")))
+    totals = sent_back(pairs, ["total"])
+    gain = F.sum(F.col("total") * (F.log("total") - F.log("next_count") + float(np.log(max(total, 1)))))
+    words_ = pairs.where((F.col("word") != int(_BEGIN)) & F.col("first") & (F.col("total") > 0)).groupBy("word").agg(F.sum("total").alias("n"), gain.alias("gain"))
+    apart = (F.col("n") >= MIN_COUNT) & (F.col("gain") - F.col("n") * F.log("n") >= DIVERGENCE * F.col("n"))
+    retained = words_.where(apart).select("word")
+
+    # two-word contexts: the divergence of their next words from those of the newer word alone
+    deeper = base.join(totals.drop("i"), "block").select(*parts, "total")
+    triples = deeper.mapInArrow(_triples, "block bigint, i bigint, word bigint, pair bigint, triple bigint, n bigint, share double")
+    triples = materialise(triples.select("block", "i", "word", "pair", "share", F.sum("n").over(by_triple).alias("n"), (F.min("block").over(by_triple) == F.col("block")).alias("first")))
+    gain = F.sum(F.col("n") * (F.log("n") - F.log("share")))
+    kept = triples.where(F.col("first") & (F.col("n") > 0)).groupBy("pair").agg(F.min("word").alias("word"), F.sum("n").alias("n"), gain.alias("gain"))
+    kept = materialise(kept.where(apart).select("pair", "word"))
+    answers = sent_back(triples.select("block", "i", "pair", F.col("n").alias("n_pair_next")).join(kept.select("pair"), "pair"), ["n_pair_next"]).withColumnRenamed("i", "deep")
+
+    # a context is also retained below which a longer one is
+    retained = materialise(retained.union(kept.select("word")).distinct())
+    flags = sent_back(own.select("block", "i", "word").join(retained, "word"), [])
 
     kind = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)])
@@ -240,12 +244,20 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             p = (c + ADDED) / (total + ADDED * (distinct + 1))
             add = lambda x, b=b, texts=texts: np.bincount(b.text, x, texts)
             base_score, n_known, states = add(np.log10(p)), add(c > 0), np.zeros(texts)
-            if row["n_word"] is not None:
-                at, triple, _ = b.in_context(_unpack(row["retained"], "<i8"))
-                word, word_next, pair, pair_next = (_unpack(row[x], "<i8")[triple] for x in ("n_word", "n_word_next", "n_pair", "n_pair_next"))
-                one = (word_next + WEIGHT * p[at]) / (word + WEIGHT)
-                p[at] = np.where(pair > 0, (pair_next + WEIGHT * one) / (pair + WEIGHT), one)
+            if row["retained"] is not None:
+                keep = np.zeros(len(b.count) + 1, bool)
+                keep[_unpack(row["retained"], "<i8")] = True
+                total_ = _unpack(row["total"], "<i8")
+                at, number, word, _ = b.pairs()
+                at, number = at[keep[word[number]]], number[keep[word[number]]]
+                p[at] = (total_[number] + WEIGHT * p[at]) / (b.count[word[number]] + WEIGHT)
                 states = np.bincount(b.text[at], minlength=texts)
+                if row["deep"] is not None:
+                    at, _, number, outer, head = b.triples(total_)
+                    n = np.full(len(head), -1)
+                    n[_unpack(row["deep"], "<i8")] = _unpack(row["n_pair_next"], "<i8")
+                    at, number = at[n[number] >= 0], number[n[number] >= 0]
+                    p[at] = (n[number] + WEIGHT * p[at]) / (total_[outer[number]] + WEIGHT)
             ids = pa.array(row["doc_id"], type=batch_type)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(b.lengths), pa.array(n_known.astype(np.int64)), pa.array(np.full(texts, total), pa.int64()), pa.array(base_score), pa.array(add(np.log10(p))), pa.array(states.astype(np.int64))],
@@ -254,5 +266,5 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(kind)
-    last = blocks.select("block", "doc_id", "lengths", "learn", "tokens").join(counts.select("block", "count"), "block").join(flags.withColumnRenamed("i", "retained"), "block", "left").join(answers.drop("i"), "block", "left")
+    last = blocks.select("block", "doc_id", "lengths", "learn", "tokens").join(counts.select("block", "count"), "block").join(totals.drop("i"), "block").join(flags.withColumnRenamed("i", "retained"), "block", "left").join(answers, "block", "left")
     return last.mapInArrow(score, schema)
