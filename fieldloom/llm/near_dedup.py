@@ -12,6 +12,7 @@ of shingles plus the darts below the bound, whatever the number of coordinates.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^24 = 0.00007.
 BANDS = 24
 ROWS = 5
-# Members of a bucket are compared in sub-buckets of about so many, beside the bucket's leader.
+# Members of a bucket are first compared in sub-buckets of about so many, beside the bucket's leader.
 SUB_BUCKET = 8
+# Shingles are ordered by how often their class of so many occurs, the rarest first.
+ORDER_CLASSES = 1 << 18
 
 
 def dart_signatures(texts: int, text: np.ndarray, element: np.ndarray, weight: np.ndarray | None, coordinates: int) -> np.ndarray:
@@ -174,6 +177,51 @@ def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> D
     return joined.where(1000 * F.col("s") >= round(1000 * similarity) * (F.col("t") - F.col("s"))).select("a", "b")
 
 
+def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of keys of different roots that can have this Jaccard similarity, from rows (key, root, shingles).
+
+    No pair that has it is missing: two such sets share a shingle among the first of each in any common order, here the
+    rarest first, and the places of the first one they share leave room for the overlap they need.
+    """
+    share = round(1000 * similarity)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ORDER_CLASSES, np.int64)
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy().view(np.uint64)
+            n += np.bincount((values % np.uint64(ORDER_CLASSES)).astype(np.int64), minlength=ORDER_CLASSES)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["class", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(ORDER_CLASSES, np.int64)
+    often[counted["class"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+
+    def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            value = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((value, often[(value.view(np.uint64) % np.uint64(ORDER_CLASSES)).astype(np.int64)], row))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            first = place < (size + (-share * size // 1000) + 1)[row]
+            at = row[first]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), batch.column("root").take(pa.array(at)), pa.array(value[order][first]), pa.array(place[first]), pa.array(size[at])],
+                                             ["key", "root", "shingle", "place", "size"])
+
+    firsts = materialise(sets.select("key", "root", "shingles").mapInArrow(begin, "key binary, root binary, shingle bigint, place bigint, size bigint"))
+    several = firsts.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    firsts = materialise(firsts.join(several, "shingle"))
+    left = firsts.select("shingle", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"), F.col("size").alias("size_a"))
+    right = firsts.select("shingle", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"), F.col("size").alias("size_b"))
+    both = F.col("size_a") + F.col("size_b")
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    able = ((1000 + share) * F.least("size_a", "size_b") >= share * both) & ((1000 + share) * room >= share * both)
+    # the rule holds for the first shared shingle, so the pair comes once or more
+    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & able).select("a", "b").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set",
                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, key (of the text), class_id, class_size, representative.
@@ -191,7 +239,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Candidates: members of a band's bucket are compared with the bucket's leader,
     the member that shares most buckets with others, and within random sub-buckets
-    of about eight, so the number of pairs is linear in the size of a bucket.
+    of about eight. Members of buckets that still hold several classes are then
+    compared wherever their rarest shingles allow the similarity, so that no
+    similar pair of a bucket is left out.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), text_key(F.col(text)).alias("key"))
     signed = materialise(with_bands(source, weighting, bands, rows))
@@ -222,6 +272,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     if second.limit(1).count():
         roots = components(first.unionByName(second))
 
+    # what is still apart in a bucket, exactly
+    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    open_ = materialise(placed.join(apart, "bucket").select("key", "root").distinct())
+    if open_.limit(1).count():
+        pairs = sharing_pairs(shingles.join(open_, "key"), similarity)
+        third = materialise(similar_pairs(pairs, shingles, similarity))
+        if third.limit(1).count():
+            roots = components(first.unionByName(second).unionByName(third))
+
     rooted = nodes.select("key", "rep", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted)
     best = F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "key")))

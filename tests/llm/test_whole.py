@@ -1,4 +1,4 @@
-"""Cases that a cut of the work would lose: spread contexts, contexts below plain words."""
+"""Cases that a cut of the work would lose: spread contexts, contexts below plain words, large groups near the threshold."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from fieldloom.llm import suffix_tree
+from fieldloom.llm import near_dedup, suffix_tree
 
 
 # 5
@@ -67,3 +68,33 @@ def test_contexts_are_tested_on_words(spark, monkeypatch, block):
     got = {r.doc_id: r for r in suffix_tree.score_texts(docs).collect()}
     for i, (score, states) in enumerate(want):
         assert (got[i].score, got[i].n_states) == (pytest.approx(score), states)
+
+
+# 8
+
+def test_large_group_around_the_threshold(spark):
+    rng, texts_, width = np.random.default_rng(5), 2000, 300
+    texts, table = [], np.ones((texts_, width - 4), np.float32)
+    for i in range(texts_):
+        w = [f"t{j}" for j in range(width)]
+        # each own word breaks five shingles of the template; two texts are similar if both break at most 32
+        for at in rng.choice(width, rng.integers(3, 9), replace=False):
+            w[at] = f"u{i}x{at}"
+            table[i, max(0, at - 4):at + 1] = 0
+        texts.append(" ".join(w))
+    shared = np.rint(table @ table.T).astype(int)
+    parent = list(range(texts_))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(int(a), int(b)) for a, b in np.argwhere(1000 * shared >= 800 * (2 * (width - 4) - shared)) if a < b]
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(texts_)}
+    assert len(links) > 100 and len(set(want.values())) > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()} == want
