@@ -110,9 +110,33 @@ FROM w LEFT JOIN base USING (doc) LEFT JOIN found USING (doc)
 """
 
 
+# crc32 of the decimal digits of a number n.
+_CRC_OF = """(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(n::VARCHAR)), lambda i: ascii((n::VARCHAR)[i + 1])::BIGINT)), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT))"""
+
+PREFIX_TRIE = rf"""
+WITH ids AS (SELECT n, {_CRC_OF} % 4 AS h FROM (SELECT DISTINCT conv_id AS n FROM conversations WHERE conv_id IS NOT NULL)),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT n AS c, 0 AS own, i, role, text FROM ids JOIN p ON p.conv_id = n - n % 20 AND i <= h
+      UNION ALL SELECT n, 1, i, role, text FROM ids JOIN p ON p.conv_id = n AND i > h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, sha256(length(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS words FROM r),
+v AS (SELECT c, d, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS k, words FROM t UNION ALL SELECT n, 0, '', 0 FROM ids),
+e AS (SELECT c, max(d) AS d, max_by(k, d) AS k FROM v GROUP BY c),
+nodes AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM v GROUP BY k),
+parents AS (SELECT a.k, b.k AS pk, b.conv_id AS parent_conv_id FROM nodes a JOIN nodes b ON a.depth = b.depth + 1 AND b.k = a.k[:64 * b.depth]),
+kids AS (SELECT pk AS k, count(*) AS n FROM parents GROUP BY pk),
+below AS (SELECT DISTINCT a.k AS top, n.k AS k FROM nodes n JOIN v a ON a.c = n.conv_id AND a.d <= n.depth),
+sums AS (SELECT top, sum((n_convs - 1) * words)::BIGINT AS saved, count(*) FILTER (WHERE kids.k IS NULL) AS leaves FROM below JOIN nodes USING (k) LEFT JOIN kids ON kids.k = nodes.k GROUP BY top),
+ends AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM e GROUP BY k)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends.s, sha256('')) AS ends_sha256
+FROM nodes JOIN sums ON top = nodes.k LEFT JOIN parents ON parents.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k LEFT JOIN ends ON ends.k = nodes.k
+"""
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": URL_FILTER,
     "op3_chat_format": CHAT_FORMAT,
     "op9_license_scan": _license_scan(),
     "op10_quality_rules": QUALITY_RULES,
+    "op12_prefix_trie": PREFIX_TRIE,
 }

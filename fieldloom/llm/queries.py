@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, suffix_tree, url_filter
+from fieldloom.llm import bpe, chat_format, decontaminate, language_id, license_scan, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_tree, url_filter
 from fieldloom.llm.common import documents, held_out, read_table
 
 
@@ -109,6 +109,38 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
 
 
+def shared_starts(conversations: DataFrame) -> DataFrame:
+    """Conversations rebuilt to share their starts, as (conv_id, turn, role, text) with turns numbered from 1.
+
+    Conversation c begins with the first h turns of c - c % 20 (h is crc32 of its id mod 4), then come its own turns after
+    its first h. A null id begins with none and keeps its turns.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = rows.select("conv_id", F.row_number().over(order).alias("turn"), "role", "text")
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    own = placed.where(F.col("conv_id").isNull() | (F.col("turn") > h))
+    takers = rows.select("conv_id").dropna().distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), h.alias("h"))
+    starts = placed.where((F.col("turn") <= 3) & (F.col("conv_id") % 20 == 0)).withColumnRenamed("conv_id", "base")
+    shared = starts.join(takers, "base").where(F.col("turn") <= F.col("h")).select("conv_id", "turn", "role", "text")
+    return shared.unionByName(own)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the tree of all conversations, rebuilt to share their starts."""
+    conversations = read_table(spark, folder, "conversations")
+    tree = prefix_trie.prefix_trie(shared_starts(conversations), conversations)
+    return tree.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded, as digests of its ids and of the text that they stand for."""
+    path = vocabulary("word_bpe_49k.json")
+    ids = bpe.encoded(documents(spark, folder), path, carry=["doc_id"]).select("row.doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    text = bpe.decoded(ids, path, carry=["doc_id", "n_tokens", "ids_sha256"])
+    return text.select("row.doc_id", "row.n_tokens", "row.ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filter": op2_url_filter,
@@ -120,4 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_byte_pairs": op13_byte_pairs,
 }
