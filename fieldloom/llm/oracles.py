@@ -114,6 +114,25 @@ FROM w LEFT JOIN base USING (doc) LEFT JOIN found USING (doc)
 _CRC_OF = """(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(n::VARCHAR)), lambda i: ascii((n::VARCHAR)[i + 1])::BIGINT)), lambda c, b:
     list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT))"""
 
+# A run of 12 words or more agrees with itself, one period further, over 6 words or more.
+PERIOD_RUNS = rf"""
+WITH d AS (SELECT doc_id, doc_id AS n, {_WORDS} AS w FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM (SELECT doc_id, w, {_CRC_OF} AS h FROM d)),
+m AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM h),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM m),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM t)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+isle AS (SELECT doc_id, q, min(i) AS start, max(i) + 6 - min(i) AS agree FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, start, agree + q AS length, min(q) AS period FROM isle WHERE agree >= q AND agree + q >= 12 GROUP BY doc_id, start, agree + q),
+lost AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS s FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM t) x ANTI JOIN lost ON lost.doc_id = x.doc_id AND lost.i = x.i GROUP BY x.doc_id),
+found AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS s,
+                 first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best FROM runs GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       coalesce(found.s, sha256('')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 PREFIX_TRIE = rf"""
 WITH ids AS (SELECT n, {_CRC_OF} % 4 AS h FROM (SELECT DISTINCT conv_id AS n FROM conversations WHERE conv_id IS NOT NULL)),
 p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -138,5 +157,6 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": CHAT_FORMAT,
     "op9_license_scan": _license_scan(),
     "op10_quality_rules": QUALITY_RULES,
+    "op11_period_runs": PERIOD_RUNS,
     "op12_prefix_trie": PREFIX_TRIE,
 }

@@ -21,7 +21,6 @@ neighbouring runs of one small period; those pairs of runs give its period
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,7 +110,7 @@ def _across(words: np.ndarray, start: np.ndarray, end: np.ndarray, period: np.nd
     """Runs of larger periods around the break between two neighbouring runs of one period.
 
     If the two runs repeat the same words, shifted by d, every period q that leaves d when divided by theirs holds from the
-    first run into the second, as far as both last.
+    first run into the second, as far as both last. Periods under 8 of theirs are left to the selected places.
     """
     order = np.lexsort((start, period))
     start, end, period = start[order], end[order], period[order]
@@ -127,12 +126,13 @@ def _across(words: np.ndarray, start: np.ndarray, end: np.ndarray, period: np.nd
         if at < 0:
             continue
         shift = (s2 + at // size - (e1 - p)) % p
-        q = np.arange(shift + (8 * p - shift + p - 1) // p * p, max(e1 - s1, e2 - s2) + p, p)
+        q = np.arange(shift + (8 * p - shift + p - 1) // p * p, min(e1 - s1, e2 - s2) + 1, p)
         first, final = np.maximum(s1, s2 - q), np.minimum(e1, e2 - q)
         real = final - first >= q
-        out.append(np.stack([first, final + q, q])[:, real])
-    found = np.concatenate(out, axis=1)
-    return found[0], found[1], found[2]
+        out.append(np.stack([first, final, q])[:, real])
+    first, final, q = np.concatenate(out, axis=1)
+    # where both runs begin or end there, the words beyond may agree, too
+    return first - _agreement(words, first, first + q, -1, 8), final + _agreement(words, final, final + q, 1, 8) + q, q
 
 
 def find_runs(words: np.ndarray, first: np.ndarray) -> Runs:
@@ -146,9 +146,7 @@ def find_runs(words: np.ndarray, first: np.ndarray) -> Runs:
     # each text is followed by a number of its own; the whole begins with one, too
     begin = 1 + np.append(0, np.cumsum(count + 1))[:-1].astype(np.int64)
     line = np.arange(-1, -2 - int((count + 1).sum()), -1, dtype=np.int64)
-    for_words = np.repeat(begin - first[texts], count) + _ranges(first[texts], count)
-    line[for_words] = words[_ranges(first[texts], count)]
-    owner = np.repeat(np.arange(len(texts)), count + 1)
+    line[_ranges(begin, count)] = words[_ranges(first[texts], count)]
     name = mix(line.view(np.uint64) * np.uint64(2) + np.uint64(1))
     runs = [np.zeros(0, np.int64) for _ in range(3)]
     whole_line, whole_begin = line, begin
@@ -170,7 +168,8 @@ def find_runs(words: np.ndarray, first: np.ndarray) -> Runs:
         np.add.at(mark, end[inside] - width + 1, -1)
         value[np.cumsum(mark[:-1]) > 0] = _LARGEST
         at = _selected(value, width)
-        a, q = _proposals(at, context[at], 1 if width == 1 else 3 * width - 1, 6 * width - 2)
+        shortest, longest = (1 if width == 1 else 3 * width - 1), 6 * width - 2
+        a, q = _proposals(at, context[at], shortest, longest)
         # overlapping proposals of one distance agree as one stretch
         order = np.lexsort((a, q))
         a, q = a[order], q[order]
@@ -181,11 +180,8 @@ def find_runs(words: np.ndarray, first: np.ndarray) -> Runs:
         high = high + _agreement(line, high, high + q, 1, width)
         real = high - low >= q
         low, high, q = place_of[low[real]], place_of[high[real] - 1] + 1 + q[real], q[real]
-        found = _smallest(low, high, q)
-        near = (found[2] >= (1 if width == 1 else 3 * width - 1)) & (found[2] <= 6 * width - 2)
-        runs = [np.concatenate(x) for x in zip(runs, found, strict=True)]
-        runs = list(_smallest(*runs))
-        now = (runs[2] >= (1 if width == 1 else 3 * width - 1)) & (runs[2] <= 6 * width - 2)
+        runs = list(_smallest(*(np.concatenate(x) for x in zip(runs, (low, high, q), strict=True))))
+        now = (runs[2] >= shortest) & (runs[2] <= longest)
         wide = _across(whole_line, *(x[now] for x in runs))
         runs = list(_smallest(*(np.concatenate(x) for x in zip(runs, wide, strict=True))))
         name, width = context, 2 * width
@@ -202,3 +198,45 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers from each start, so many as its count, one after the other."""
     total = int(count.sum())
     return np.repeat(start - np.append(0, np.cumsum(count))[:-1], count) + np.arange(total)
+
+
+def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts one after the other, their numbers (equal for equal words), and where each text's words begin."""
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)
+    ends = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    # the offsets of a slice do not begin at 0
+    first = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    flat = flat.filter(real)
+    return flat, flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), first
+
+
+def collapse_runs(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Rows (row, n_words, runs, collapsed): the row's columns, or those to carry, as a struct, the number of words, the runs
+    as structs of start, length and period in order of start and period, and the text without repetitions.
+
+    Words are what stands between spaces and the controls from tab to carriage return. A run has at least 12 words. A word is
+    left out if some run holds it after that run's first period; the words kept are joined by one space. A null text is an
+    empty one. Each row stands for itself, so repeated rows and null ids come out as they are. Texts are taken in portions;
+    a long text is one portion and is not cut.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    run = T.StructType().add("start", "long").add("length", "long").add("period", "long")
+    schema = T.StructType([rows.schema["row"]]).add("n_words", "long").add("runs", T.ArrayType(run)).add("collapsed", "string")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, number, first = numbered_words(batch.column("text"))
+        runs = find_runs(number, first)
+        change = np.zeros(len(number) + 1, np.int64)
+        np.add.at(change, first[runs.text] + runs.start + runs.period, 1)
+        np.add.at(change, first[runs.text] + runs.end, -1)
+        kept = np.cumsum(change[:-1]) == 0
+        ends = np.append(0, np.cumsum(kept))[first]
+        collapsed = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(kept))), " ")
+        ends = np.append(0, np.cumsum(np.bincount(runs.text, minlength=batch.num_rows)))
+        values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (runs.start, runs.end - runs.start, runs.period)], ["start", "length", "period"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), collapsed],
+                                          ["row", "n_words", "runs", "collapsed"])
+
+    return rows.mapInArrow(per_portion(work), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, chat_format, decontaminate, language_id, license_scan, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_tree, url_filter
+from fieldloom.llm import bpe, chat_format, decontaminate, language_id, license_scan, near_dedup, packing, period_runs, prefix_trie, quality_classifier, quality_rules, suffix_tree, url_filter
 from fieldloom.llm.common import documents, held_out, read_table
 
 
@@ -109,6 +109,32 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where h, the crc32 of the id, is divisible by 10, the text's end repeats its words with a period.
+
+    With n words and g = h / 10, each word i from a = g mod n on is word a + (i - a) mod p, p = 1 + (n - a) / (3 + g mod 8).
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    plain = rows.where("h % 10 <> 0").select("doc_id", "text")
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    listed = rows.where("h % 10 = 0").select("doc_id", "g", split.alias("words")).withColumn("n", F.size("words").cast("bigint"))
+    placed = listed.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    changed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return plain.unionByName(placed.select("doc_id", F.array_join(changed, " ").alias("text")))
+
+
+def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, some made periodic at the end, with its runs of repeated words and what is left without them."""
+    found = period_runs.collapse_runs(with_periods(documents(spark, folder)), carry=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), longest.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def shared_starts(conversations: DataFrame) -> DataFrame:
     """Conversations rebuilt to share their starts, as (conv_id, turn, role, text) with turns numbered from 1.
 
@@ -152,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_period_runs": op11_period_runs,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_pairs": op13_byte_pairs,
 }
