@@ -217,8 +217,8 @@ def load(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, added = spec["model"], spec["added_tokens"]
-    steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
-    cuts = spec["pre_tokenizer"]["pretokenizers"]
+    steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     other = [model.get(k) for k in ("unk_token", "continuing_subword_prefix", "dropout", "byte_fallback", "fuse_unk", "ignore_merges")]
     odd = [t for t in added if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or any(c in t["content"] for c in SPACES)]
     if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or spec["decoder"] or any(other) or odd:
