@@ -1,8 +1,7 @@
 """Seed catalogues: units, hints, concepts, conversions, limits, threats.
 
 Every list here is configuration with a fixed, small size. User-supplied
-catalogues have the same shape and come in as DataFrames; ``catalogue_rows``
-reads those with a row limit, because a rule list is config and never data.
+catalogues have the same shape, come in as DataFrames of any size and are joined.
 """
 
 from __future__ import annotations
@@ -231,10 +230,6 @@ LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0
 
 # --------------------------------------------------------------------------
 
-# Rule lists and other catalogues are config: beyond this many rows they are
-# data and have to be joined, not inlined.
-CATALOGUE_LIMIT = 10_000
-
 
 class Alias(NamedTuple):
     alias: str
@@ -256,14 +251,6 @@ def vocabulary() -> list[str]:
     return list(seen)
 
 
-def catalogue_rows(df: DataFrame, order: str | None = None, limit: int = CATALOGUE_LIMIT):
-    """Rows of a user-supplied rule list. Refuses anything too big to be config."""
-    rows = (df.orderBy(order) if order else df).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"catalogue has more than {limit} rows; join it as a table instead")
-    return rows
-
-
 def concepts(spark: SparkSession) -> DataFrame:
     """The concept table."""
     return spark.createDataFrame(

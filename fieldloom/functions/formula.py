@@ -1,39 +1,92 @@
-"""Explicit conversion formulas, checked and then read by Spark's own SQL parser."""
+"""Explicit conversion formulas as programs in postfix order, kept as a table and run by Spark's own expressions."""
 
 from __future__ import annotations
 
 import re
 
-_NUMBER = r"(?:\d+\.?\d*|\.\d+)"
-# the name ``value``, decimal numbers, brackets and the four operators; nothing else
-_PLAIN = re.compile(rf"(?:(?<![\w.])value(?!\w)|(?<![\w.]){_NUMBER}(?![\w.])|[-+*/()]|\s)+")
-# powers, floor division, calls, two operands side by side
-_REFUSED = re.compile(r"\*\s*\*|/\s*/|[\w.)]\s*\(|\)\s*[\w.]|[\w.]\s+[\w.]|\(\s*\)|--")
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldloom.session import materialise
 
-def formula_sql(formula: str, name: str) -> str | None:
-    """SQL text of the formula over the column or variable ``name``; None if it is not plain arithmetic.
+# the name ``value``, a decimal number, one sign; spaces may follow
+_TOKEN = re.compile(r"(?:(value)(?![\w.])|((?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?)(?![\w.])|([-+*/()])) *")
+_LEADING_ZERO = re.compile(r"0+[1-9]\d*")
+_ORDER = {"+": 1, "-": 1, "*": 2, "/": 2, "~": 3}
 
-    Divisors go through ``nullifzero``: a bad divisor fails one value and not the job.
+STEP = T.StructType().add("op", "string").add("number", "double")
+
+
+def formula_program(formula: str) -> list[tuple[str, float | None]] | None:
+    """The formula in postfix order: ``n`` pushes a number, ``v`` the value, ``~`` negates, the others take two.
+
+    None if it is anything but the four operators, signs and brackets over ``value`` and numbers.
     """
-    if not _PLAIN.fullmatch(formula) or _REFUSED.search(formula):
-        return None
-    if formula.count("(") != formula.count(")"):
+    out: list[tuple[str, float | None]] = []
+    waiting: list[str] = []
+    at, operand = 0, False  # operand: the last token ends one
+    while at < len(formula):
+        found = _TOKEN.match(formula, at)
+        if found is None:
+            return None
+        at = found.end()
+        value, number, sign = found.groups()
+        if (value or number or sign == "(") and operand:
+            return None
+        if value:
+            out.append(("v", None))
+        elif number:
+            if _LEADING_ZERO.fullmatch(number):
+                return None
+            out.append(("n", float(number)))
+        elif sign == "(":
+            waiting.append(sign)
+        elif not operand:
+            if sign not in "+-":
+                return None
+            if sign == "-":
+                waiting.append("~")
+        elif sign == ")":
+            while waiting and waiting[-1] != "(":
+                out.append((waiting.pop(), None))
+            if not waiting:
+                return None
+            waiting.pop()
+        else:
+            while waiting and waiting[-1] != "(" and _ORDER[waiting[-1]] >= _ORDER[sign]:
+                out.append((waiting.pop(), None))
+            waiting.append(sign)
+        operand = bool(value or number) or sign == ")"
+    if not operand or "(" in waiting:
         return None
-    text = re.sub(rf"(?<![\w.])({_NUMBER})(?![\w.])", r"\1D", formula)
-    text = re.sub(rf"/(\s*[-+]?\s*)(value|{_NUMBER}D)", r"/\1nullifzero(\2)", text)
-    text = re.sub(r"/(\s*[-+]?\s*)\(", r"/\1nullifzero(", text)
-    return f"({text.replace('value', name)})"
-
-
-def formula_case(formulas: list[str], formula_name: str, value_name: str) -> str:
-    """One CASE over the distinct formulas, rounded to 6 decimals. Refused ones give NULL."""
-    branches = []
-    for formula in formulas:
-        sql = formula_sql(formula, value_name)
-        if sql is not None:
-            quoted = formula.replace("\\", "\\\\").replace("'", "\\'")
-            branches.append(f"WHEN {formula_name} = '{quoted}' THEN CAST({sql} AS DOUBLE)")
-    if not branches:
-        return "CAST(NULL AS DOUBLE)"
-    return f"round(CASE {' '.join(branches)} END, 6)"
+    return out + [(op, None) for op in reversed(waiting)]
+
+
+@F.pandas_udf(T.ArrayType(STEP))
+def _program(formulas: pd.Series) -> pd.Series:
+    return formulas.map(lambda f: None if f is None else formula_program(f))
+
+
+def formula_programs(mappings: DataFrame) -> DataFrame:
+    """The written table of the distinct formulas of ``mappings``: conversion_formula and its program, NULL if it is refused.
+
+    Each formula is read once, however many mappings and messages use it; there may be any number of them.
+    """
+    formulas = materialise(mappings.where("conversion_formula <> ''").select("conversion_formula").distinct())
+    return materialise(formulas.withColumn("program", _program("conversion_formula")))
+
+
+def run_program(program: Column, value: Column) -> Column:
+    """The result, rounded to 6 decimals; NULL without a program or value, or if something is divided by zero."""
+
+    def step(stack: Column, s: Column) -> Column:
+        b, a, op = F.get(stack, F.lit(0)), F.get(stack, F.lit(1)), s["op"]
+        two = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise(a / F.nullif(b, F.lit(0.0)))
+        pushed = F.when(op == "n", s["number"]).when(op == "v", value)
+        return (F.when(op.isin("n", "v"), F.concat(F.array(pushed), stack))
+                .when(op == "~", F.concat(F.array(-b), F.slice(stack, 2, F.size(stack))))
+                .otherwise(F.concat(F.array(two), F.slice(stack, 3, F.size(stack)))))
+
+    return F.round(F.aggregate(program, F.array().cast("array<double>"), step, lambda stack: F.get(stack, F.lit(0))), 6)

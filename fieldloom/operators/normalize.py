@@ -12,17 +12,15 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom import catalog
 from fieldloom.functions import infer
-from fieldloom.functions.formula import formula_case
+from fieldloom.functions.formula import STEP, formula_programs, run_program
 from fieldloom.functions.rows import Getter, Stage, built_once, chain, first_of, keep_last, let, widen_table
 from fieldloom.plans.lookup import lookup_join
 from fieldloom.session import materialise
 
-STEP = "struct<pre:double,mul:double,div:double,post:double>"
-
-
 # ---- conversion paths -------------------------------------------------------
 
 
@@ -56,13 +54,13 @@ def apply_steps(value: Column, steps: Column) -> Column:
 # ---- stages -----------------------------------------------------------------
 
 
-def convert_stage(formula_value: Column | None = None) -> Stage:
+def convert_stage(with_formulas: bool = True) -> Stage:
     """An explicit formula comes first; the automatic path keeps the value where it fails."""
 
     def stage(get: Getter) -> dict[str, Column]:
         m, number = get("m"), infer.as_double(get)
         explicit = F.coalesce(m["conversion_formula"] != "", F.lit(False))
-        by_formula = formula_value if formula_value is not None else F.lit(None).cast("double")
+        by_formula = run_program(m["program"], number) if with_formulas else F.lit(None).cast("double")
         converted = F.when(explicit, by_formula).otherwise(apply_steps(number, m["steps"]))
         present = get("value_type") != "null"
         return {
@@ -275,11 +273,13 @@ def compile_mappings(
     constraints: DataFrame | None = None,
     conversions: DataFrame | None = None,
     precision: list[tuple[str, int]] | None = None,
+    with_formulas: bool = True,
 ) -> DataFrame:
     """One row for each (schema_signature, key) with a struct ``m``.
 
     The last mapping of a field wins. Conversion path, limits and decimals are
-    added here, once for each mapping instead of once for each value.
+    added here, once for each mapping instead of once for each value, and so is
+    the program of its explicit formula. Without formulas none is looked for.
     """
     spark = mappings.sparkSession
     paths = conversion_paths(conversions if conversions is not None else catalog.unit_conversions(spark))
@@ -289,6 +289,11 @@ def compile_mappings(
     last = mappings.groupBy("schema_signature", "source_field").agg(
         F.max_by(F.struct(*kept), F.coalesce("ordinal", F.lit(0))).alias("_m")
     ).select("schema_signature", "source_field", "_m.*")
+    if with_formulas:
+        last = materialise(last.withColumn("conversion_formula", F.nullif("conversion_formula", F.lit(""))))
+        last = lookup_join(last, formula_programs(last), ["conversion_formula"])
+    else:
+        last = last.withColumn("program", F.lit(None).cast(T.ArrayType(STEP)))
     paths = paths.withColumnsRenamed({"from_unit": "source_unit", "to_unit": "target_unit"})
     limits = limits.withColumnRenamed("concept_id", "target_concept")
     # the own catalogues have 40 pairs and 9 concepts; a table of the caller may be large, so the planner decides
@@ -298,18 +303,12 @@ def compile_mappings(
         "schema_signature",
         F.col("source_field").alias("key"),
         F.struct(
-            *kept, "steps", "datatype", "min_value", "max_value",
+            *kept, "program", "steps", "datatype", "min_value", "max_value",
             digits_of(F.col("target_field"), precision).alias("digits"),
         ).alias("m"),
     )
 
 
-def distinct_formulas(compiled: DataFrame) -> list[str]:
-    """The few distinct explicit formulas. They are config, hence the row limit of catalogues."""
-    formulas = compiled.select(F.col("m.conversion_formula").alias("f")).filter("f <> ''").distinct()
-    return [r["f"] for r in catalog.catalogue_rows(formulas, "f")]
-
-
 # ---- table operators --------------------------------------------------------
 
 
@@ -323,13 +322,9 @@ def unmapped_fields(mapped: DataFrame) -> DataFrame:
     return mapped.filter(F.col("m").isNull()).withColumn("out_key", F.concat(F.lit("_unmapped."), F.col("key")))
 
 
-def convert_units(mapped: DataFrame, formulas: list[str] | None = None) -> DataFrame:
+def convert_units(mapped: DataFrame) -> DataFrame:
     """D6, D7"""
-    by_formula = None
-    if formulas:
-        mapped = mapped.withColumn("_number", infer.as_double(F.col))
-        by_formula = F.expr(formula_case(formulas, "m.conversion_formula", "_number"))
-    return widen_table(mapped, [convert_stage(by_formula)])
+    return widen_table(mapped, [convert_stage()])
 
 
 def enforce_types(converted: DataFrame) -> DataFrame:
@@ -350,8 +345,7 @@ def route_values(checked: DataFrame, null_strategy: str = "preserve", defaults:
 def normalize_table(fields: DataFrame, compiled: DataFrame, **options) -> DataFrame:
     """D1 to D13 over the long table, one output row for each field."""
     mapped = apply_mappings(fields, compiled)
-    converted = convert_units(mapped, distinct_formulas(compiled))
-    return route_values(check_ranges(enforce_types(converted)), **options)
+    return route_values(check_ranges(enforce_types(convert_units(mapped))), **options)
 
 
 # ---- message operators ------------------------------------------------------
@@ -393,17 +387,6 @@ def _mapping_of(key: Column) -> Column:
     return F.try_element_at(F.col("mapping"), key)
 
 
-@built_once
-def formula_inputs() -> Column:
-    """What the SQL text of the formulas reads: formula and number of each field."""
-    return F.transform(
-        "fields",
-        lambda f: F.struct(
-            _mapping_of(f["key"])["conversion_formula"].alias("formula"), infer.as_double(lambda n: f[n]).alias("number")
-        ),
-    )
-
-
 @built_once
 def entry_array(
     with_formulas: bool,
@@ -415,9 +398,7 @@ def entry_array(
 ) -> Column:
     """All steps over the fields of a message, in order: map, convert, type, range, route."""
 
-    def entry(f: Column, i: Column) -> Column:
-        by_formula = F.get("_by_formula", i) if with_formulas else None
-
+    def entry(f: Column) -> Column:
         def finish(get: Getter) -> Column:
             routed = get("routed")
             key = routed["out_key"]
@@ -427,7 +408,7 @@ def entry_array(
             own = {"out_key": key, "status": routed["status"], "out_value": routed["out_value"], "metric_value": routed["metric_value"]}
             return F.struct(*[(own[n] if n in own else get(n)).alias(n) for n in ENTRY])
 
-        stages = [convert_stage(by_formula), enforce_stage, range_stage,
+        stages = [convert_stage(with_formulas), enforce_stage, range_stage,
                   route_stage(null_strategy, dict(defaults), list(precision))]
         return let(
             _mapping_of(f["key"]), lambda m: chain(lambda n: m if n == "m" else f[n], stages, finish)
@@ -449,20 +430,20 @@ def normalize(
     defaults: dict | None = None,
     precision: list[tuple[str, int]] | None = None,
     names: list[str] | None = None,
-    formulas: list[str] | None = None,
+    with_formulas: bool | None = None,
 ) -> DataFrame:
     """Messages with their ``entries`` after all steps, in document order.
 
-    The only join is by signature against the catalogue of mappings. The
-    distinct explicit formulas are looked up unless they are given.
+    The only join is by signature against the catalogue of mappings. Unless it
+    is given, the catalogue is asked whether any mapping has a formula.
     """
     packed = pack_mappings(compiled)
     if signatures is not None:
         packed = signatures.join(packed, "schema_signature", "full_outer")
     packed = materialise(packed)
-    if formulas is None:
-        values = packed.select(F.explode(F.map_values("mapping")).alias("m"))
-        formulas = distinct_formulas(values)
+    # without any formula the fields do not carry the steps to run one
+    if with_formulas is None:
+        with_formulas = not packed.where(F.exists(F.map_values("mapping"), lambda m: m["program"].isNotNull())).isEmpty()
 
     joined = lookup_join(extracted, packed, ["schema_signature"])
     settings = (
@@ -470,12 +451,7 @@ def normalize(
         tuple((catalog.DEFAULT_VALUES if defaults is None else defaults).items()),
         tuple(catalog.PRECISION if precision is None else precision),
     )
-    if formulas:
-        # a second array beside the fields, because the formulas are SQL text over a lambda variable
-        joined = joined.withColumn("_inputs", formula_inputs()).withColumn(
-            "_by_formula", F.expr(f"transform(_inputs, f -> {formula_case(formulas, 'f.formula', 'f.number')})")
-        )
-    entries = entry_array(bool(formulas), *settings)
+    entries = entry_array(with_formulas, *settings)
 
     now = as_of if isinstance(as_of, Column) else (F.lit(as_of) if as_of is not None else F.current_timestamp())
     mapped_any = F.exists("fields", lambda f: F.map_contains_key("mapping", f["key"]))

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom import catalog
 from fieldloom.functions.rows import first_of
+from fieldloom.operators.matching import first_contained
 from fieldloom.operators.normalize import final_entries
+from fieldloom.plans.lookup import lookup_join
+from fieldloom.session import materialise
 
 # Fixed values of the linked-data format.
 JSONLD_CONTEXT = [
@@ -30,42 +32,48 @@ class Rule:
         self.kind, self.pattern, self.kafka_topic, self.mqtt_topic = kind, pattern, kafka_topic, mqtt_topic
 
 
-def _rules(rules: list[Rule] | DataFrame | None) -> list[Rule]:
+def _by_device(messages: DataFrame, rules: list[Rule] | DataFrame | None, topic: str) -> tuple[DataFrame, Column]:
+    """The messages, and the topic of the first device rule that has one. Of two rules for one pattern the later one counts, at the place of the first."""
     if isinstance(rules, DataFrame):
-        return [
-            Rule(r["kind"], r["pattern"], r["kafka_topic"], r["mqtt_topic"])
-            for r in catalog.catalogue_rows(rules, "ordinal")
-        ]
-    return list(rules or [])
-
-
-def _by_device(rules: list[Rule], topic: str) -> Column:
-    branches = [
-        (F.col("device_id").contains(r.pattern), F.lit(getattr(r, topic)))
-        for r in rules
-        if r.kind == "device" and getattr(r, topic)
-    ]
-    return first_of(branches, F.lit(None).cast("string"))
+        own = rules.where("kind = 'device' AND pattern IS NOT NULL").groupBy("pattern").agg(F.min("ordinal").alias("rank"), F.max_by(topic, "ordinal").alias("found"))
+        ids = messages.select(F.col("device_id").alias("text"))
+        found = first_contained(ids, own.where("found <> ''")).select(F.col("text").alias("device_id"), F.col("found").alias("_by_device"))
+        return lookup_join(messages, materialise(found), ["device_id"]), F.col("_by_device")
+    kept = {r.pattern: r for r in rules or [] if r.kind == "device"}
+    branches = [(F.col("device_id").contains(r.pattern), F.lit(getattr(r, topic))) for r in kept.values() if getattr(r, topic)]
+    return messages, first_of(branches, F.lit(None).cast("string"))
+
+
+def _by_context(messages: DataFrame, rules: list[Rule] | DataFrame | None) -> tuple[DataFrame, Column]:
+    """The messages, and the topic of the last rule for their context."""
+    if isinstance(rules, DataFrame):
+        own = rules.where("kind = 'context' AND pattern <> ''").groupBy(F.col("pattern").alias("context")).agg(F.max_by("kafka_topic", "ordinal").alias("_by_context"))
+        return lookup_join(messages, materialise(own), ["context"]), F.col("_by_context")
+    contexts = {r.pattern: r.kafka_topic for r in rules or [] if r.kind == "context"}
+    found = first_of([(F.col("context") == c, F.lit(t).cast("string")) for c, t in contexts.items()], F.lit(None).cast("string"))
+    return messages, F.when(F.col("context") != "", found)
 
 
 def route_kafka(messages: DataFrame, rules: list[Rule] | DataFrame | None = None, prefix: str = KAFKA_PREFIX) -> DataFrame:
-    """Device rule, context rule, else ``prefix.<context>`` or ``prefix.general``."""
-    table = _rules(rules)
-    # of two rules for one context the later one counts
-    contexts = {r.pattern: r.kafka_topic for r in table if r.kind == "context"}
-    by_context = first_of(
-        [(F.col("context") == c, F.lit(t).cast("string")) for c, t in contexts.items()], F.lit(None).cast("string")
-    )
+    """Device rule, context rule, else ``prefix.<context>`` or ``prefix.general``.
+
+    A list of rules is the caller's setting and sits in the expression. A table (ordinal, kind, pattern, kafka_topic,
+    mqtt_topic) may have any size: device ids meet the patterns by substrings of four characters, contexts by equality.
+    """
+    rows, by_device = _by_device(messages, rules, "kafka_topic")
+    rows, by_context = _by_context(rows, rules)
     named = F.when(F.col("context") != "", F.lower(F.replace("context", F.lit(" "), F.lit("_"))))
     default = F.concat(F.lit(prefix + "."), F.coalesce(named, F.lit("general")))
-    by_context = F.when(F.col("context") != "", F.nullif(by_context, F.lit("")))
-    return messages.withColumn("kafka_topic", F.coalesce(_by_device(table, "kafka_topic"), by_context, default))
+    columns = [c for c in messages.columns if c != "kafka_topic"]
+    return rows.select(*columns, F.coalesce(by_device, F.nullif(by_context, F.lit("")), default).alias("kafka_topic"))
 
 
 def route_mqtt(messages: DataFrame, rules: list[Rule] | DataFrame | None = None, prefix: str = MQTT_PREFIX) -> DataFrame:
-    """Device rule, else ``prefix/device``."""
+    """Device rule, else ``prefix/device``; rules as for E1."""
+    rows, by_device = _by_device(messages, rules, "mqtt_topic")
     default = F.concat(F.lit(prefix + "/"), F.col("device_id"))
-    return messages.withColumn("mqtt_topic", F.coalesce(_by_device(_rules(rules), "mqtt_topic"), default))
+    columns = [c for c in messages.columns if c != "mqtt_topic"]
+    return rows.select(*columns, F.coalesce(by_device, default).alias("mqtt_topic"))
 
 
 def fan_out(

@@ -9,7 +9,9 @@ from fieldloom import catalog
 from fieldloom.functions import infer
 from fieldloom.functions.document import is_whole_value
 from fieldloom.functions.rows import first_of, let
-from fieldloom.operators.translate import _concept_list
+from fieldloom.operators.matching import contained
+from fieldloom.plans.lookup import lookup_join
+from fieldloom.session import materialise
 
 # Fixed layout of a request: head of the field table, cell widths, how many concepts and aliases are shown.
 TABLE_HEAD = "| Field | Value | Type | Inferred Unit | Semantic Hint |\n|-------|-------|------|---------------|---------------|"
@@ -17,6 +19,8 @@ WIDTHS = {"key": 60, "value": 30, "unit": 20, "hint": 30}
 SHOWN_CONCEPTS = 50
 POPULAR_CONCEPTS = 20
 SHOWN_ALIASES = 3
+# rank of a concept that no hint asks for
+LATE = 1 << 30
 
 
 def clean_cell(text: Column, width: int) -> Column:
@@ -32,36 +36,61 @@ def clean_cell(text: Column, width: int) -> Column:
 def relevant_concepts(fields: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
     """For each schema the concepts that fit a hint, in field order, then the popular others.
 
-    ``fields`` has schema_signature, pos and inferred_semantic. The concept list
-    is config and sits in the expression; nothing is joined or exploded.
+    ``fields`` has schema_signature, pos and inferred_semantic. The own catalogue
+    sits in the expression, nothing is joined or exploded. A caller's table may
+    have any size: distinct hints meet its aliases by keys, see ``relevant_by_table``.
     """
-    table = _concept_list(concepts)
+    if concepts is not None:
+        return relevant_by_table(fields, concepts)
     hinted = fields.filter(F.col("inferred_semantic").isNotNull())
     per_schema = fields.select("schema_signature").distinct()
     # first position at which each concept is asked for
     firsts = hinted.groupBy("schema_signature").agg(
         *[
-            F.min(F.when(_any_alias(F.lower("inferred_semantic"), c[5]), F.col("pos"))).alias(f"c{i}")
-            for i, c in enumerate(table)
+            F.min(F.when(_any_alias(F.lower("inferred_semantic"), c[4]), F.col("pos"))).alias(f"c{i}")
+            for i, c in enumerate(catalog.CONCEPTS)
         ]
     )
     joined = per_schema.join(firsts, "schema_signature", "left")
-    late = 1 << 30
     items = []
-    for i, c in enumerate(table):
-        rank = F.coalesce(F.col(f"c{i}"), F.lit(late)) if i < POPULAR_CONCEPTS else F.col(f"c{i}")
-        line = (
-            f"- {c[1]}: {c[2]} (unit: {c[3]}, type: {c[4]}, aliases: {', '.join(c[5][:SHOWN_ALIASES])})"
-        )
-        item = F.struct(rank.alias("rank"), F.lit(i).alias("ordinal"), F.lit(c[1]).alias("concept_id"), F.lit(line).alias("line"))
+    for i, (concept, description, unit, datatype, aliases) in enumerate(catalog.CONCEPTS):
+        rank = F.coalesce(F.col(f"c{i}"), F.lit(LATE)) if i < POPULAR_CONCEPTS else F.col(f"c{i}")
+        line = f"- {concept}: {description} (unit: {unit}, type: {datatype}, aliases: {', '.join(aliases[:SHOWN_ALIASES])})"
+        item = F.struct(rank.alias("rank"), F.lit(i).alias("ordinal"), F.lit(concept).alias("concept_id"), F.lit(line).alias("line"))
         items.append(F.when(rank.isNotNull(), item))
     ranked = F.array_sort(F.filter(F.array(*items), lambda e: e.isNotNull()))
-    shown = F.slice(ranked, 1, SHOWN_CONCEPTS)
-    return joined.select(
-        "schema_signature",
-        F.transform(shown, lambda e: e["concept_id"]).alias("concept_ids"),
-        F.array_join(F.transform(shown, lambda e: e["line"]), "\n").alias("ontology_concepts"),
-    )
+    return joined.select("schema_signature", *_shown(F.slice(ranked, 1, SHOWN_CONCEPTS)))
+
+
+def _shown(ranked: Column) -> list[Column]:
+    return [F.transform(ranked, lambda e: e["concept_id"]).alias("concept_ids"), F.array_join(F.transform(ranked, lambda e: e["line"]), "\n").alias("ontology_concepts")]
+
+
+def relevant_by_table(fields: DataFrame, concepts: DataFrame) -> DataFrame:
+    """C7 over a concept table of any size.
+
+    A schema shows 50 concepts at most, by place of the first hint they fit and by ordinal. So of one hint no more than its
+    first 50 can be shown, and lists stay that short wherever a group is made.
+    """
+    unit = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))  # noqa: E731  as text formatting shows a missing value
+    line = F.concat(F.lit("- "), unit("concept_id"), F.lit(": "), unit("description"), F.lit(" (unit: "), unit("unit"), F.lit(", type: "), unit("datatype"),
+                    F.lit(", aliases: "), F.array_join(F.slice("aliases", 1, SHOWN_ALIASES), ", "), F.lit(")"))
+    known = materialise(concepts.select("ordinal", "concept_id", line.alias("line"), "aliases"))
+    aliases = known.select("ordinal", F.explode("aliases").alias("pattern")).dropna().distinct()
+    rows = materialise(fields.select("schema_signature", "pos", F.lower("inferred_semantic").alias("hint")))
+    pairs = contained(rows.select(F.col("hint").alias("text")), aliases).join(aliases, "pattern").select(F.col("text").alias("hint"), "ordinal").distinct()
+    first = F.row_number().over(Window.partitionBy("hint").orderBy("ordinal")) <= SHOWN_CONCEPTS
+    short = materialise(pairs.withColumn("_in", first).where("_in").groupBy("hint").agg(F.collect_list("ordinal").alias("asked")))
+    asked = lookup_join(rows, short, ["hint"]).select("schema_signature", F.col("pos").cast("bigint").alias("rank"), F.explode("asked").alias("ordinal"))
+    popular = F.array(*[F.lit(r[0]) for r in known.orderBy("ordinal").limit(POPULAR_CONCEPTS).select("ordinal").collect()])
+    late = rows.select("schema_signature").distinct().select("schema_signature", F.lit(LATE).cast("bigint").alias("rank"), F.explode(popular.cast(f"array<{known.schema['ordinal'].dataType.simpleString()}>")).alias("ordinal"))
+    ranks = asked.unionByName(late).groupBy("schema_signature", "ordinal").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("schema_signature").orderBy("rank", "ordinal"))
+    top = ranks.withColumn("_n", place).where(F.col("_n") <= SHOWN_CONCEPTS)
+    named = lookup_join(top.drop("_n"), known.drop("aliases"), ["ordinal"])
+    lists = named.groupBy("schema_signature").agg(F.array_sort(F.collect_list(F.struct("rank", "ordinal", "concept_id", "line"))).alias("ranked"))
+    every = rows.select("schema_signature").distinct().join(lists, "schema_signature", "left")
+    return every.select("schema_signature", *_shown(F.coalesce("ranked", F.array().cast(lists.schema["ranked"].dataType))))
 
 
 def _any_alias(hint: Column, aliases: list[str]) -> Column:
@@ -151,12 +180,11 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 def load_llm_replies(replies: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
     """Mappings of the replies that pass the checks.
 
-    ``replies`` has schema_signature and reply. The concept must be known or
-    start with ``_``; confidence is 0.8 if missing and is kept within 0 to 1;
+    ``replies`` has schema_signature and reply. The concept must be known, from
+    the own catalogue or a caller's table of any size, or start with ``_``; confidence is 0.8 if missing and is kept within 0 to 1;
     an entry without field, concept or target, or with a confidence that is no
     number, is dropped.
     """
-    known = [c[1] for c in _concept_list(None)] + ([c[1] for c in _concept_list(concepts)] if concepts is not None else [])
     parsed = parse_replies(replies).select(
         "schema_signature", F.col("_r.device_context").alias("device_context"),
         F.posexplode("_r.mappings").alias("ordinal", "m"),
@@ -164,10 +192,15 @@ def load_llm_replies(replies: DataFrame, concepts: DataFrame | None = None) -> D
     number = F.when(F.col("confidence").isNull(), F.lit(catalog.REPLY_CONFIDENCE)).otherwise(
         infer.text_to_double(F.col("confidence"))
     )
+    known = F.col("target_concept").isin([c[0] for c in catalog.CONCEPTS])
+    if concepts is not None:
+        ids = materialise(concepts.select(F.col("concept_id").alias("target_concept")).dropna().distinct().withColumn("_known", F.lit(True)))
+        parsed = lookup_join(parsed, ids, ["target_concept"])
+        known = known | F.coalesce("_known", F.lit(False))
     good = (
         F.col("source_field").isNotNull()
         & F.col("target_field").isNotNull()
-        & (F.col("target_concept").isin(known) | F.col("target_concept").startswith("_"))
+        & (known | F.col("target_concept").startswith("_"))
         & number.isNotNull()
     )
     return parsed.filter(good).select(

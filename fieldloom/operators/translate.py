@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from fieldloom import catalog
 from fieldloom.functions.rows import built_once, first_of, keep_last
 from fieldloom.functions.similarity import hash_bucket, tokens
+from fieldloom.operators.matching import contained, holding_tokens
 from fieldloom.operators.registry import registry_lookup
+from fieldloom.plans.lookup import lookup_join
 from fieldloom.session import materialise
 
 MAPPING = {
@@ -32,6 +34,7 @@ MAPPING = {
 }
 NAME = ["key", "inferred_semantic", "inferred_unit"]
 RULE_REASON = "rule-based fallback (no LLM available)"
+OWN_ALIASES = tuple((a.alias, a.concept_id, a.unit) for a in catalog.aliases())
 
 
 def as_mappings(df: DataFrame, **columns: Column) -> DataFrame:
@@ -68,13 +71,6 @@ def distinct_names(fields: DataFrame) -> DataFrame:
     )
 
 
-def _concept_list(concepts: DataFrame | None) -> list[tuple]:
-    if concepts is None:
-        return [(i, *c) for i, c in enumerate(catalog.CONCEPTS)]
-    rows = catalog.catalogue_rows(concepts, "ordinal")
-    return [(r["ordinal"], r["concept_id"], r["description"], r["unit"], r["datatype"], r["aliases"]) for r in rows]
-
-
 @built_once
 def vector(*columns: str) -> Column:
     """array<struct<weight, bucket>> of the joined texts. Known tokens weigh 1 and win their bucket."""
@@ -96,10 +92,6 @@ def norm(items: Column) -> Column:
     return F.sqrt(squares)
 
 
-def _aliases(concepts: DataFrame | None) -> tuple[tuple[str, str, str], ...]:
-    return tuple((a, c[1], c[3]) for c in _concept_list(concepts) for a in c[5])
-
-
 def vectorize_names(names: DataFrame) -> DataFrame:
     """One row for each name and bucket, weights of unit length."""
     rows = names.withColumn("_v", vector(*NAME)).withColumn("_norm", norm(F.col("_v")))
@@ -161,13 +153,54 @@ def rule_concept(aliases: tuple[tuple[str, str, str], ...], mode: str) -> Column
     return first_of(branches, F.lit(None).cast("struct<concept_id:string,unit:string>"))
 
 
+def alias_table(concepts: DataFrame) -> DataFrame:
+    """One row for each alias of a user's concepts: rank (concept, then place), alias, found (concept_id and unit)."""
+    rows = concepts.select("ordinal", "concept_id", "unit", F.posexplode("aliases").alias("place", "alias"))
+    return rows.where("alias IS NOT NULL").select(F.struct("ordinal", "place").alias("rank"), "alias", F.struct("concept_id", F.col("unit").cast("string").alias("unit")).alias("found"))
+
+
+def rules_by_table(names: DataFrame, concepts: DataFrame, mode: str) -> DataFrame:
+    """C6 over a concept table of any size: (key, concept_id, unit) for each name that an alias fits.
+
+    Hints and aliases meet by substrings of four characters in both directions, or by their tokens; only names whose hint
+    found nothing are compared themselves.
+    """
+    aliases = materialise(alias_table(concepts))
+    rows = materialise(names.select("key", F.lower("inferred_semantic").alias("hint"), F.replace(F.lower("key"), F.lit("."), F.lit("_")).alias("low")))
+    hints = rows.where("hint <> ''").select(F.col("hint").alias("text")).distinct()
+
+    def fits(texts: DataFrame) -> DataFrame:
+        if mode == "compat":
+            return contained(texts, aliases.select(F.col("alias").alias("pattern")))
+        spoken = texts.select("text", F.array_distinct(tokens(F.col("text"))).alias("keys"))
+        needed = aliases.select(F.col("alias").alias("pattern")).distinct().withColumn("keys", F.array_distinct(F.split("pattern", "_", -1)))
+        return holding_tokens(spoken, needed)
+
+    def first_alias(pairs: DataFrame) -> DataFrame:
+        return pairs.join(aliases.withColumnRenamed("alias", "pattern"), "pattern").groupBy("text").agg(F.min_by("found", "rank").alias("found"))
+
+    pairs = fits(hints)
+    if mode == "compat":
+        around = contained(aliases.select(F.col("alias").alias("text")), hints.withColumnRenamed("text", "pattern"))
+        pairs = pairs.unionByName(around.select(F.col("pattern").alias("text"), F.col("text").alias("pattern")))
+    by_hint = materialise(first_alias(pairs).select(F.col("text").alias("hint"), "found"))
+    looked = materialise(lookup_join(rows, by_hint, ["hint"]))
+    rest = looked.where("found IS NULL").select(F.col("low").alias("text")).distinct()
+    by_name = materialise(first_alias(fits(rest)).select(F.col("text").alias("low"), F.col("found").alias("own")))
+    both = lookup_join(looked, by_name, ["low"]).select("key", F.coalesce("found", "own").alias("found"))
+    return both.where("found IS NOT NULL").select("key", "found.*")
+
+
 def match_by_rules(names: DataFrame, concepts: DataFrame | None = None, mode: str = "compat") -> DataFrame:
     """First alias that fits the hint, else first alias in the name. Others give no row.
 
     ``compat`` compares substrings both ways, so the alias ``t`` takes most
-    hints. ``token`` compares whole tokens.
+    hints. ``token`` compares whole tokens. The own catalogue sits in the
+    expression; a caller's table may have any size and is joined.
     """
-    found = rule_concept(_aliases(concepts), mode)
+    if concepts is not None:
+        return rules_by_table(names, concepts, mode)
+    found = rule_concept(OWN_ALIASES, mode)
     # the outer explode keeps the long expression from being copied into a filter
     rows = names.select("key", F.explode_outer(F.array(found)).alias("_f"))
     return rows.filter(F.col("_f").isNotNull()).select("key", "_f.*")
@@ -182,8 +215,13 @@ def resolve_names(
     """C4, then C6 for what is left: one row for each name, concept NULL if nothing fits."""
     best = best_concepts(names, concepts).select("key", F.struct("concept_id", "unit", "similarity").alias("_b"))
     similar = F.coalesce(F.col("_b.similarity") >= threshold, F.lit(False))
-    ruled = F.when(~similar, rule_concept(_aliases(concepts), rule_mode))
-    rows = names.join(best, "key", "left").withColumn("_similar", similar).withColumn("_r", ruled)
+    rows = names.join(best, "key", "left").withColumn("_similar", similar)
+    if concepts is None:
+        rows = rows.withColumn("_r", F.when(~F.col("_similar"), rule_concept(OWN_ALIASES, rule_mode)))
+    else:
+        rows = materialise(rows)
+        ruled = rules_by_table(rows.where("NOT _similar"), concepts, rule_mode)
+        rows = rows.join(ruled.select("key", F.struct("concept_id", "unit").alias("_r")), "key", "left")
 
     def pick(name: str) -> Column:
         return F.when(F.col("_similar"), F.col(f"_b.{name}")).otherwise(F.col(f"_r.{name}"))

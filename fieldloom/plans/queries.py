@@ -563,7 +563,7 @@ def d7(spark, folder):
     formula = F.create_map(*[F.lit(v) for pair in FORMULAS for v in pair])
     compiled = materialise(N.compile_mappings(
         found.mappings.withColumn("conversion_formula", F.try_element_at(formula, F.col("source_field")))))
-    rows = N.convert_units(N.apply_mappings(B.explode_fields(x), compiled), N.distinct_formulas(compiled))
+    rows = N.convert_units(N.apply_mappings(B.explode_fields(x), compiled))
     return rows.filter("m.conversion_formula IS NOT NULL").select(
         "message_id", "key", F.col("m.conversion_formula").alias("formula"), six("converted").alias("converted"), "conversion_failed")
 

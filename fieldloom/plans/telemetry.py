@@ -49,7 +49,9 @@ def translate_messages(
     """Translate the distinct schemas. They are written once, as all steps read them."""
     fields = materialise(schema_fields(extracted))
     mappings, signatures = translate(fields, registry, replies, concepts, as_of, rule_mode)
-    return Translation(fields, mappings, signatures, compile_mappings(mappings, constraints, precision=precision))
+    # only these two bring explicit formulas
+    with_formulas = registry is not None or replies is not None
+    return Translation(fields, mappings, signatures, compile_mappings(mappings, constraints, precision=precision, with_formulas=with_formulas))
 
 
 def normalize_messages(
@@ -66,9 +68,7 @@ def normalize_messages(
     extracted = extract_messages(messages, preserve_nulls=options.pop("preserve_nulls", False))
     precision = options.get("precision")
     found = translate_messages(extracted, registry, replies, concepts, constraints, as_of, rule_mode, precision)
-    if registry is None and replies is None:
-        # only these two bring explicit formulas
-        options.setdefault("formulas", [])
+    options.setdefault("with_formulas", registry is not None or replies is not None)
     return normalize(extracted, found.compiled, found.signatures, as_of, **options)
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from fieldloom import catalog
 from fieldloom.functions.rows import first_match
+from fieldloom.operators.matching import topic_filters
+from fieldloom.plans.lookup import lookup_join
+from fieldloom.session import materialise
 
 # the message contract; payload may be text or bytes
 CONTRACT = {
@@ -36,20 +39,27 @@ def derive_device_id(topic: Column) -> Column:
 
 
 def subscription_regex(pattern: str) -> str:
-    """``+`` is one level, ``#`` is any number of further levels, none included."""
-    head, hash_, _ = pattern.partition("#")
-    levels = head.rstrip("/").split("/") if head else []
+    """``+`` is one level, ``#`` is any number of further levels, none included; within a longer level they are plain signs."""
+    levels = pattern.split("/")
+    whole = "#" not in levels
+    if not whole:
+        levels = levels[:levels.index("#")]
     body = "/".join("[^/]*" if level == "+" else re.escape(level) for level in levels)
-    if not hash_:
-        body = "/".join("[^/]*" if level == "+" else re.escape(level) for level in pattern.split("/"))
+    if whole:
         return f"^{body}$"
     return f"^{body}(?:/.*)?$" if levels else "^.*$"
 
 
 def match_subscriptions(messages: DataFrame, patterns: list[str] | DataFrame | None = None) -> DataFrame:
-    """A4: first subscription that takes the topic, NULL if none does."""
+    """A4: first subscription that takes the topic, NULL if none does.
+
+    A list is the caller's setting and sits in the expression. A table (ordinal, pattern) may have any size: it is joined
+    level by level, for the distinct topics only.
+    """
     if isinstance(patterns, DataFrame):
-        patterns = [r["pattern"] for r in catalog.catalogue_rows(patterns, "ordinal")]
+        rows = messages.drop("subscription")
+        taken = topic_filters(rows.select("topic"), patterns).withColumnRenamed("pattern", "subscription")
+        return lookup_join(rows, materialise(taken), ["topic"])
     rules = [(subscription_regex(p), p) for p in (patterns or catalog.SUBSCRIPTIONS)]
     return messages.withColumn("subscription", first_match(F.col("topic"), rules))
 

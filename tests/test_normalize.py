@@ -1,13 +1,14 @@
 """Conversion, types, ranges, outputs: exact values."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom import catalog
-from fieldloom.functions.formula import formula_sql
+from fieldloom.functions.formula import formula_program, formula_programs, run_program
 from fieldloom.operators import devices as DV
 from fieldloom.operators import normalize as N
 from fieldloom.operators import outputs as E
@@ -74,13 +75,52 @@ def test_excluding_unmapped_and_invalid(spark):
 
 
 def test_formulas(spark):
-    df = spark.createDataFrame([(10.0,)], "v double")
-    good = {"(value * 9/5) + 32": 50.0, "-value / (2 + 3)": -2.0, "value/-4": -2.5, "((value))": 10.0, ".5 * value": 5.0}
-    for formula, want in good.items():
-        assert df.selectExpr(f"CAST({formula_sql(formula, 'v')} AS DOUBLE)").first()[0] == want
-    assert df.selectExpr(formula_sql("value / (value - 10)", "v")).first()[0] is None
-    for bad in ["value ** 2", "value // 2", "eval(value)", "value(3)", "value value", "5 value", "__import__", "value; 1", "(value", "v", "1value", "valuevalue"]:
-        assert formula_sql(bad, "v") is None, bad
+    good = {"(value * 9/5) + 32": 50.0, "-value / (2 + 3)": -2.0, "value/-4": -2.5, "((value))": 10.0, ".5 * value": 5.0, "--value": 10.0, "- +-value - 1": 9.0, "1e2+value*2.": 120.0,
+            "2 - 3 - 4 * value / 8": -6.0, "-(value + 1) * -(2)": 22.0, "7": 7.0, "value / 3": 3.333333, "00 + value": 10.0}
+    bad = ["value ** 2", "value // 2", "eval(value)", "value(3)", "value value", "5 value", "__import__", "value; 1", "(value", "value)", "v", "1value", "valuevalue", "", " ", " value", "()", "value +", "* value",
+           "01", "1e", "value.", "2(3)", "(2)3", "value\t+ 1", "1_0", "a" * 5000, "(" * 3000]
+    fails = ["value / 0", "value / (value - 10)", "1 / (value / 0)", "0 * (1 / (value - value))"]
+    rows = [(f,) for f in [*good, *bad, *fails, None]]
+    table = formula_programs(spark.createDataFrame(rows * 3, "conversion_formula string"))
+    got = {r.conversion_formula: (r.program is None, r.x) for r in table.select("*", run_program(F.col("program"), F.lit(10.0)).alias("x")).collect()}
+    assert got == {f: (False, v) for f, v in good.items()} | {f: (True, None) for f in bad if f} | {f: (False, None) for f in fails}
+    assert table.select(run_program(F.col("program"), F.lit(None).cast("double")).alias("x")).where("x <> 7").count() == 0
+
+
+def test_formula_programs_match_python():
+    rng = random.Random(4)
+
+    def grow(depth):
+        kind = rng.randrange(6 if depth else 2)
+        if kind < 2:
+            return rng.choice(["value", "value", "3", "0.25", "1e1", ".5"])
+        if kind == 2:
+            return rng.choice("+-") + rng.choice(["", " "]) + grow(depth - 1)
+        if kind == 3:
+            return f"({grow(depth - 1)})"
+        return grow(depth - 1) + rng.choice([" + ", "-", "*", " /", "- "]) + grow(depth - 1)
+
+    for _ in range(3000):
+        formula = grow(4).lstrip()
+        stack = []
+        try:
+            for op, number in formula_program(formula):
+                if op in "nv":
+                    stack.append(7.0 if op == "v" else number)
+                elif op == "~":
+                    stack.append(-stack.pop())
+                else:
+                    b, a = stack.pop(), stack.pop()
+                    stack.append(a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else a / b)
+            got = stack.pop()
+            assert not stack
+        except ZeroDivisionError:
+            got = None
+        try:
+            want = float(eval(formula, {"value": 7.0}))
+        except ZeroDivisionError:
+            want = None
+        assert got == want, formula
 
 
 def test_conversion_paths_round_trip(spark):
