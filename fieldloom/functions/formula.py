@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.functions.rounding import exact_round
+from fieldloom.functions.rows import let
 from fieldloom.session import materialise
 
 # the name ``value``, a decimal number, one sign; spaces may follow
@@ -89,4 +91,5 @@ def run_program(program: Column, value: Column) -> Column:
                 .when(op == "~", F.concat(F.array(-b), F.slice(stack, 2, F.size(stack))))
                 .otherwise(F.concat(F.array(two), F.slice(stack, 3, F.size(stack)))))
 
-    return F.round(F.aggregate(program, F.array().cast("array<double>"), step, lambda stack: F.get(stack, F.lit(0))), 6)
+    result = F.aggregate(program, F.array().cast("array<double>"), step, lambda stack: F.get(stack, F.lit(0)))
+    return let(result, lambda x: exact_round(x, 6))

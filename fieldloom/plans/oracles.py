@@ -82,6 +82,10 @@ CTES: dict[str, tuple[list[str], str]] = {
     "vocab": ([], f"SELECT * FROM (VALUES {values((w, i) for i, w in enumerate(WORDS))}) t(token, idx)"),
     "concept": ([], f"SELECT * FROM (VALUES {values((i, c[0], c[1], c[2], c[3], ' '.join(c[4]), len(c[4])) for i, c in enumerate(catalog.CONCEPTS))}) t(ordinal, concept_id, description, unit, datatype, aliases, n_aliases)"),
     "alias": ([], f"SELECT * FROM (VALUES {values((i, a.alias, a.concept_id, a.unit) for i, a in enumerate(catalog.aliases()))}) t(aord, alias, concept_id, unit)"),
+    "cname": ([], """SELECT lower(c_mktsegment) || '.m' || c_custkey AS key, lower(c_mktsegment) || '_m' || c_custkey AS low, c_mktsegment || '-' || c_nationkey AS schema_signature, c_custkey AS pos,
+        CASE c_custkey % 4 WHEN 0 THEN 'size_' || c_custkey % 50 WHEN 1 THEN 'x_m' || c_custkey || '_y' WHEN 2 THEN 'hot_' || c_custkey % 7 || '_gear' END AS hint FROM customer"""),
+    "palias": ([], """SELECT p_partkey AS ordinal, 'part_' || p_partkey AS concept_id, lower(p_brand) AS unit, unnest([0, 1, 2]) AS place,
+        unnest(['m' || p_partkey, 'size_' || p_size || '_' || p_partkey, replace(p_name, ' ', '_')]) AS alias FROM part"""),
     "qtok": (["nm", "vocab"], f"""
         SELECT key, coalesce(idx, {hash_bucket('tok', SIZE)}) AS bucket, max(CASE WHEN idx IS NULL THEN 0.3 ELSE 1.0 END::DOUBLE) AS w
         FROM (SELECT key, unnest(list_distinct(regexp_split_to_array(lower(key || ' ' || coalesce(inferred_semantic, '') || ' ' || coalesce(inferred_unit, '')), '[\\s_./-]+'))) AS tok FROM nm)
@@ -240,6 +244,15 @@ ORACLES: dict[str, str] = {
     "a2_stream_messages": with_ctes(f"SELECT message_id, device_id, protocol, topic, payload, {TS.format('ts')} AS received FROM message", "message"),
     "a3_merge_protocols": with_ctes("SELECT message_id, protocol, topic FROM message", "message"),
     "a4_match_subscriptions": with_ctes(f"SELECT message_id, topic, {case([(subscription(p), p) for p in Q.SUBSCRIPTIONS], 'topic')} AS subscription FROM message", "message"),
+    # the filters as regular expressions, each topic against each
+    "a4_subscription_table": with_ctes(r"""SELECT message_id, topic, pattern AS subscription FROM message LEFT JOIN (
+        SELECT topic, arg_min(pattern, ordinal) AS pattern FROM (SELECT DISTINCT topic FROM message) JOIN (
+          SELECT ordinal, pattern, '^' || replace(CASE WHEN suffix(pattern, '/#') THEN pattern[:-3] || '(/.*)?' ELSE pattern END, '+', '[^/]*') || '$' AS re FROM (
+            SELECT ordinal, CASE user_id % 6 WHEN 0 THEN 'devices/user-' || user_id || '/#' WHEN 1 THEN 'devices/user-' || user_id || '/' || event_type WHEN 2 THEN '+/user-' || user_id || '/+'
+              WHEN 3 THEN 'devices/user-' || user_id || '/' || event_type || '/#' WHEN 4 THEN 'devices/user-' || user_id ELSE 'devices/user-' || user_id || '#/' || event_type END AS pattern
+            FROM (SELECT user_id, event_type, min(event_id) AS ordinal FROM events GROUP BY ALL)
+            UNION ALL SELECT min(event_id) + 1000000000, 'devices/+/' || event_type FROM events WHERE event_type <> 'error' GROUP BY event_type)) ON regexp_matches(topic, re)
+        GROUP BY topic) USING (topic)""", "message"),
     "a5_derive_device_id": with_ctes("""SELECT id, topic, coalesce(""" + ", ".join(
         f"nullif(regexp_extract(topic, '(?i){p}', 1), '')" for p in catalog.DEVICE_ID_PATTERNS) + """,
         list_filter(string_split(topic, '/'), lambda x: x <> '')[-1], 'unknown') AS device_id FROM (
@@ -290,6 +303,20 @@ ORACLES: dict[str, str] = {
         SELECT key, concept_id, unit, aord, CASE WHEN list_has_all({TOKENS.format('inferred_semantic')}, string_split(alias, '_')) THEN 0 ELSE 1 END AS stage FROM nm
         JOIN alias ON list_has_all({TOKENS.format('inferred_semantic')}, string_split(alias, '_')) OR list_has_all({TOKENS.format("replace(key, '.', '_')")}, string_split(alias, '_')))
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY stage, aord) = 1""", "nm", "alias"),
+    "c6_concept_table": with_ctes("""SELECT key, concept_id, unit FROM (
+        SELECT key, concept_id, unit, ordinal, place, CASE WHEN contains(hint, alias) OR contains(alias, hint) THEN 0 ELSE 1 END AS stage FROM cname JOIN palias
+        ON contains(hint, alias) OR contains(alias, hint) OR contains(low, alias)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY stage, ordinal, place) = 1""", "cname", "palias"),
+    "c6_concept_table_token": with_ctes(f"""SELECT key, concept_id, unit FROM (
+        SELECT key, concept_id, unit, ordinal, place, CASE WHEN list_has_all(ht, t) THEN 0 ELSE 1 END AS stage
+        FROM (SELECT key, {TOKENS.format('hint')} AS ht, {TOKENS.format('low')} AS kt FROM cname) JOIN (SELECT *, string_split(alias, '_') AS t FROM palias)
+        ON list_has_all(ht, t) OR list_has_all(kt, t)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY stage, ordinal, place) = 1""", "cname", "palias"),
+    "c7_concept_table": with_ctes("""WITH asked AS (SELECT schema_signature, ordinal, min(pos) AS rank FROM cname JOIN palias ON contains(hint, alias) GROUP BY ALL),
+        ranked AS (SELECT s.schema_signature, c.ordinal, coalesce(rank, 1073741824) AS rank FROM (SELECT DISTINCT schema_signature FROM cname) s
+          CROSS JOIN (SELECT DISTINCT ordinal FROM palias) c LEFT JOIN asked a ON a.schema_signature = s.schema_signature AND a.ordinal = c.ordinal
+          WHERE rank IS NOT NULL OR c.ordinal < 20 QUALIFY row_number() OVER (PARTITION BY s.schema_signature ORDER BY coalesce(rank, 1073741824), c.ordinal) <= 50)
+        SELECT schema_signature, string_agg('part_' || ordinal, ',' ORDER BY rank, ordinal) AS concept_ids,
+          md5(string_agg('- part_' || ordinal || ': ' || p_name || ' (unit: ' || lower(p_brand) || ', type: float, aliases: m' || ordinal || ', size_' || p_size || '_' || ordinal || ', ' || replace(p_name, ' ', '_') || ')', chr(10) ORDER BY rank, ordinal)) AS text_md5
+        FROM ranked JOIN part ON p_partkey = ordinal GROUP BY schema_signature""", "cname", "palias").replace(") WITH asked AS", "), asked AS"),
     "c7_relevant_concepts": with_ctes("""SELECT schema_signature, string_agg(concept_id, ',' ORDER BY rank, ordinal) AS concept_ids, md5(string_agg(line, chr(10) ORDER BY rank, ordinal)) AS text_md5 FROM (
         SELECT s.schema_signature, c.ordinal, c.concept_id, '- ' || c.concept_id || ': ' || description || ' (unit: ' || unit || ', type: ' || datatype || ', aliases: ' || array_to_string(string_split(aliases, ' ')[1:3], ', ') || ')' AS line,
         coalesce((SELECT min(f.pos) FROM (SELECT schema_signature, key, min(pos) AS pos, any_value(inferred_semantic) AS h FROM field JOIN sig USING (message_id) GROUP BY 1, 2) f
@@ -298,6 +325,10 @@ ORACLES: dict[str, str] = {
     "c9_load_llm_replies": with_ctes(f"""SELECT {EVENT_SIG} AS schema_signature, event_type AS source_field, concept AS target_concept, 't' || user_id AS target_field,
         round(least(1.0, value / 200), 6) AS confidence, event_type || ' device' AS device_context FROM reply WHERE concept IS NOT NULL
         UNION ALL SELECT {EVENT_SIG}, 'plain', 'power_watt', 'p', 0.8, event_type || ' device' FROM reply WHERE event_type <> 'error'""", "reply"),
+    "c9_concept_table": """SELECT 'sig-' || event_id AS schema_signature, event_type AS source_field, 'part_' || user_id AS target_concept, 0::BIGINT AS ordinal
+        FROM events JOIN part ON p_partkey = user_id WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT 'sig-' || event_id, 'b', 'part_' || (user_id + 1000000), 1 FROM events JOIN part ON p_partkey = user_id + 1000000 WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT 'sig-' || event_id, 'c', 'power_watt', 2 FROM events""",
     "c10_cap_per_window": f"""SELECT event_id, {TS.format("date_trunc('hour', ts)")} AS window_start, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) <= 3 AS within_budget FROM events""",
     "c11_validate_mappings": """SELECT event_id::VARCHAR AS schema_signature, event_type AS source_field, CASE WHEN bad THEN '_unmapped' ELSE 'power_watt' END AS target_concept,
         CASE WHEN bad THEN '_unmapped.' || event_type ELSE 't' || user_id END AS target_field, round(CASE WHEN bad THEN 0.0 ELSE value / 400 END, 6) AS confidence, CASE WHEN bad THEN 'passthrough' ELSE 'llm' END AS resolution_method
@@ -330,6 +361,9 @@ ORACLES: dict[str, str] = {
     "d6_convert_units": with_ctes("SELECT message_id, key, round(converted, 6) AS converted FROM mapped", "mapped"),
     "d7_apply_formulas": with_ctes(f"""SELECT message_id, key, formula, round(v, 6) AS converted, v IS NULL AS conversion_failed FROM (SELECT message_id, key, CASE key {' '.join(f"WHEN '{k}' THEN {text(f)}" for k, f in Q.FORMULAS)} END AS formula,
         CASE key {' '.join(f"WHEN '{k}' THEN {FORMULA_SQL[f]}" for k, f in Q.FORMULAS)} END AS v FROM mapped) WHERE formula IS NOT NULL""", "mapped"),
+    "d7_formula_table": with_ctes("""SELECT message_id, key, format('{:.6f}', v)::DOUBLE AS converted, v IS NULL AS conversion_failed FROM (
+        SELECT message_id, key, CASE WHEN d <> 0 THEN -(num_value - user_id) * 9.80665::DOUBLE / 7.3::DOUBLE / d + event_id % 4999 END AS v FROM (
+          SELECT f.message_id, key, num_value, user_id, event_id, k::DOUBLE - 3 AS d FROM field f JOIN ev ON f.message_id = 'evt-' || event_id WHERE key IN ('temp_c', 'voltage', 'speed_kmh')))""", "field", "ev"),
     "d8_enforce_types": with_ctes("SELECT message_id, key, round(typed_number, 6) AS typed_number, type_failed FROM checked", "checked"),
     "d9_check_ranges": with_ctes("SELECT message_id, key, out_of_range FROM checked", "checked"),
     "d10_route_invalid": with_ctes("SELECT message_id, key, status, out_key FROM normal", "normal"),
@@ -357,6 +391,16 @@ ORACLES: dict[str, str] = {
     "e1_route_kafka": with_ctes("""SELECT message_id, CASE WHEN contains(device_id, 'user-1') THEN 'devices.first' WHEN device_id LIKE '%5' THEN 'iot.normalized.cold_room' WHEN device_id LIKE '%7' THEN 'iot.normalized.general'
         WHEN context = 'unknown' THEN 'context.unknown' ELSE 'iot.normalized.' || coalesce(context, 'general') END AS kafka_topic FROM done""", "done"),
     "e2_route_mqtt": with_ctes("SELECT message_id, CASE WHEN contains(device_id, 'user-12') THEN 'special/twelve' ELSE 'normalized/' || device_id END AS mqtt_topic FROM message", "message"),
+    "e1_e2_rule_table": """WITH p AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY ALL),
+        r AS (SELECT o, event_type = 'error' AS context, CASE WHEN event_type = 'error' THEN 'error-' || user_id % 40 WHEN user_id % 4 = 0 THEN 'r-' || user_id WHEN user_id % 4 = 1 THEN 'user-' || user_id
+          WHEN user_id % 4 = 2 THEN user_id::VARCHAR ELSE 'no-' || user_id END AS pattern, CASE WHEN o % 3 > 0 THEN 'k.' || o END AS k, CASE WHEN o % 2 > 0 THEN 'm/' || o END AS m FROM p),
+        one AS (SELECT context, pattern, min(o) AS o, (max(struct_pack(o, k))).k AS k, (max(struct_pack(o, m))).m AS m FROM r GROUP BY ALL),
+        e AS (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN 'user-' || (user_id + event_id % 3 * 700) END AS device, CASE WHEN event_id % 7 > 0 THEN event_type || '-' || user_id % 50 END AS context FROM events),
+        d AS (SELECT DISTINCT device FROM e WHERE device IS NOT NULL),
+        dk AS (SELECT device, arg_min(k, o) AS k FROM d JOIN one ON NOT context AND k IS NOT NULL AND contains(device, pattern) GROUP BY device),
+        dm AS (SELECT device, arg_min(m, o) AS m FROM d JOIN one ON NOT context AND m IS NOT NULL AND contains(device, pattern) GROUP BY device)
+        SELECT 'evt-' || event_id AS message_id, coalesce(dk.k, c.k, 'iot.normalized.' || coalesce(lower(replace(e.context, ' ', '_')), 'general')) AS kafka_topic, coalesce(dm.m, 'normalized/' || e.device) AS mqtt_topic
+        FROM e LEFT JOIN dk USING (device) LEFT JOIN dm USING (device) LEFT JOIN one c ON c.context AND c.pattern = e.context""",
     "e3_fan_out": with_ctes("""SELECT message_id, output, CASE WHEN output = 'kafka' AND contains(target0, 'user-1') THEN 'devices.first' WHEN output = 'mqtt' AND contains(target, 'user-12') THEN 'special/twelve' ELSE target END AS target
         FROM (SELECT f.*, m.device_id AS target0 FROM fan f JOIN message m USING (message_id))""", "fan"),
     "e4_format_json": with_ctes("SELECT message_id, message_id AS id_in_json, schema_signature AS signature, context, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS event_time, topic FROM done", "done"),

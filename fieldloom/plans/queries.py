@@ -139,6 +139,23 @@ def a4(spark, folder):
     return M.match_subscriptions(messages(spark, folder), SUBSCRIPTIONS).select("message_id", "topic", "subscription")
 
 
+def subscription_table(spark, folder):
+    """A subscription for each user and kind of event, in order of the first such event, and a wider one for most kinds at the end."""
+    pairs = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("ordinal"))
+    own = F.expr("""CASE user_id % 6 WHEN 0 THEN concat('devices/user-', user_id, '/#') WHEN 1 THEN concat('devices/user-', user_id, '/', event_type)
+        WHEN 2 THEN concat('+/user-', user_id, '/+') WHEN 3 THEN concat('devices/user-', user_id, '/', event_type, '/#')
+        WHEN 4 THEN concat('devices/user-', user_id) ELSE concat('devices/user-', user_id, '#/', event_type) END""")
+    wide = pairs.where("event_type <> 'error'").groupBy("event_type").agg((F.min("ordinal") + 1_000_000_000).alias("ordinal"))
+    return pairs.select("ordinal", own.alias("pattern")).unionByName(wide.select("ordinal", F.concat(F.lit("devices/+/"), "event_type").alias("pattern")))
+
+
+@query("a4_subscription_table")
+def a4_table(spark, folder):
+    """Subscriptions of any number, as a table."""
+    rows = messages(spark, folder).select("message_id", "topic")
+    return M.match_subscriptions(rows, subscription_table(spark, folder)).select("message_id", "topic", "subscription")
+
+
 @query("a5_derive_device_id")
 def a5(spark, folder):
     topics = messages(spark, folder).select(F.col("message_id").alias("id"), "topic")
@@ -395,6 +412,38 @@ def c6_token(spark, folder):
     return T.match_by_rules(T.distinct_names(schema_fields(spark, folder)), mode="token").select("key", "concept_id", "unit")
 
 
+def part_concepts(spark, folder):
+    """A concept for each part, with aliases that names and hints of customers hold, or that hold them."""
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").cast("int").alias("ordinal"), F.concat(F.lit("part_"), "p_partkey").alias("concept_id"), F.col("p_name").alias("description"),
+        F.lower("p_brand").alias("unit"), F.lit("float").alias("datatype"),
+        F.array(F.concat(F.lit("m"), "p_partkey"), F.concat(F.lit("size_"), "p_size", F.lit("_"), "p_partkey"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("aliases"))
+
+
+def customer_names(spark, folder):
+    hint = F.expr("""CASE c_custkey % 4 WHEN 0 THEN concat('size_', c_custkey % 50) WHEN 1 THEN concat('x_m', c_custkey, '_y') WHEN 2 THEN concat('Hot_', c_custkey % 7, '_gear') END""")
+    return table(spark, folder, "customer").select(
+        F.concat(F.lower("c_mktsegment"), F.lit(".m"), "c_custkey").alias("key"), hint.alias("inferred_semantic"), F.lit(None).cast("string").alias("inferred_unit"),
+        F.concat("c_mktsegment", F.lit("-"), "c_nationkey").alias("schema_signature"), F.col("c_custkey").cast("int").alias("pos"))
+
+
+@query("c6_concept_table")
+def c6_table(spark, folder):
+    """Concepts of any number, as a table; substrings both ways."""
+    return T.match_by_rules(customer_names(spark, folder), part_concepts(spark, folder)).select("key", "concept_id", "unit")
+
+
+@query("c6_concept_table_token")
+def c6_table_token(spark, folder):
+    return T.match_by_rules(customer_names(spark, folder), part_concepts(spark, folder), "token").select("key", "concept_id", "unit")
+
+
+@query("c7_concept_table")
+def c7_table(spark, folder):
+    rows = P.relevant_concepts(customer_names(spark, folder), part_concepts(spark, folder))
+    return rows.select("schema_signature", F.array_join("concept_ids", ",").alias("concept_ids"), F.md5("ontology_concepts").alias("text_md5"))
+
+
 @query("c7_relevant_concepts")
 def c7(spark, folder):
     rows = B.explode_fields(extracted(spark, folder), ["schema_signature"]).groupBy("schema_signature", "key").agg(F.min("pos").alias("pos"))
@@ -434,6 +483,15 @@ def c9(spark, folder):
         "schema_signature", "source_field", "target_concept", "target_field", six("confidence").alias("confidence"), "device_context")
 
 
+@query("c9_concept_table")
+def c9_table(spark, folder):
+    """Replies that name concepts of the own catalogue, of a caller's table, and of neither."""
+    reply = F.expr("""concat('{"mappings":[{"source_field":"', event_type, '","target_concept":"part_', user_id, '","target_field":"t"},',
+        '{"source_field":"b","target_concept":"part_', user_id + 1000000, '","target_field":"t"},{"source_field":"c","target_concept":"power_watt","target_field":"p"}]}')""")
+    rows = table(spark, folder, "events").select(F.concat(F.lit("sig-"), "event_id").alias("schema_signature"), reply.alias("reply"))
+    return P.load_llm_replies(rows, part_concepts(spark, folder).where("ordinal % 3 <> 0")).select("schema_signature", "source_field", "target_concept", big("ordinal").alias("ordinal"))
+
+
 @query("c10_cap_per_window")
 def c10(spark, folder):
     rows = P.cap_per_window(table(spark, folder, "events"), "ts", "event_id", 3, "1 hour")
@@ -568,6 +626,18 @@ def d7(spark, folder):
         "message_id", "key", F.col("m.conversion_formula").alias("formula"), six("converted").alias("converted"), "conversion_failed")
 
 
+@query("d7_formula_table")
+def d7_table(spark, folder):
+    """A formula for each message, so about as many formulas as messages."""
+    fields = B.explode_fields(extracted(spark, folder)).withColumn("schema_signature", F.col("message_id")).where("key IN ('temp_c', 'voltage', 'speed_kmh')")
+    formula = F.expr("concat('-(value - ', user_id, ') * 9.80665 / 7.3 / (', get_json_object(props, '$.k'), ' - 3', if(event_id % 11 = 0, ' - 0 * ', ' + 0 * '), 'value) + ', event_id % 4999)")
+    mappings = table(spark, folder, "events").select(
+        F.concat(F.lit("evt-"), "event_id").alias("schema_signature"), F.explode(F.array(F.lit("temp_c"), F.lit("voltage"), F.lit("speed_kmh"))).alias("source_field"),
+        F.lit("own").alias("target_concept"), F.lit("own").alias("target_field"), formula.alias("conversion_formula"))
+    rows = N.convert_units(N.apply_mappings(fields, N.compile_mappings(T.as_mappings(mappings))))
+    return rows.select("message_id", "key", "converted", "conversion_failed")
+
+
 @query("d8_enforce_types")
 def d8(spark, folder):
     rows = N.enforce_types(N.convert_units(mapped(spark, folder)))
@@ -679,6 +749,26 @@ def e2(spark, folder):
     return E.route_mqtt(messages(spark, folder), RULES).select("message_id", "mqtt_topic")
 
 
+def rule_table(spark, folder):
+    """Rules for each user and kind of event: substrings of device ids, some for one output only, and contexts."""
+    pairs = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("ordinal"))
+    pattern = F.expr("""CASE WHEN event_type = 'error' THEN concat(event_type, '-', user_id % 40) WHEN user_id % 4 = 0 THEN concat('r-', user_id)
+        WHEN user_id % 4 = 1 THEN concat('user-', user_id) WHEN user_id % 4 = 2 THEN cast(user_id AS string) ELSE concat('no-', user_id) END""")
+    return pairs.select(
+        "ordinal", F.when(F.col("event_type") == "error", "context").otherwise("device").alias("kind"), pattern.alias("pattern"),
+        F.when(F.col("ordinal") % 3 > 0, F.concat(F.lit("k."), "ordinal")).alias("kafka_topic"), F.when(F.col("ordinal") % 2 > 0, F.concat(F.lit("m/"), "ordinal")).alias("mqtt_topic"))
+
+
+@query("e1_e2_rule_table")
+def e_table(spark, folder):
+    """Both routes by rules of any number, as a table."""
+    rows = table(spark, folder, "events").select(
+        F.concat(F.lit("evt-"), "event_id").alias("message_id"), F.when(F.col("event_id") % 50 > 0, F.concat(F.lit("user-"), F.col("user_id") + F.col("event_id") % 3 * 700)).alias("device_id"),
+        F.when(F.col("event_id") % 7 > 0, F.concat("event_type", F.lit("-"), F.col("user_id") % 50)).alias("context"))
+    rules = materialise(rule_table(spark, folder))
+    return E.route_mqtt(E.route_kafka(rows, rules), rules).select("message_id", "kafka_topic", "mqtt_topic")
+
+
 @query("e3_fan_out")
 def e3(spark, folder):
     rows = messages(spark, folder).withColumn("context", F.lit(None).cast("string"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.rounding import exact_round
 from fieldloom.operators import normalize as N
 from fieldloom.operators import prompts as P
 from fieldloom.operators import quality as G
@@ -138,7 +139,7 @@ def test_lookup_join_with_hot_and_missing_keys(spark):
 def test_exact_rounding_of_ties(spark):
     values = [2.675, 23.125, 0.285, -2.675, 0.5, 1.5, 2.5, 1e-7, 5e-7, 1.0000005, 0.0, 1e300] + [k / 1000 for k in range(5, 4000, 10)] + [(2 * k + 1) / 16 for k in range(200)]
     for digits in (0, 1, 2, 3, 6):
-        got = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.exact_round(F.col("x"), digits).alias("y")).collect()
+        got = spark.createDataFrame([(v,) for v in values], "x double").select("x", exact_round(F.col("x"), digits).alias("y")).collect()
         assert [r.y for r in got] == [round(v, digits) for v in values]
 
 
