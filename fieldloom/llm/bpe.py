@@ -5,7 +5,7 @@ that are single characters first. A word is a row of its parts, which stand for
 their boundaries, and a second row of the ranks of every two adjacent parts. The
 lowest rank is sought, the boundary inside that pair deleted, and the ranks on
 both sides are looked up again, until no pair has a rank. All new words of a
-portion with one length do each round together, as the rows of two arrays. Words
+portion with about one length do each round together, as the rows of two arrays. Words
 of more than ``LONG_WORD`` characters keep their pairs in a heap, since seeking
 the lowest anew for each merge takes the square of the length; both ways give
 the same parts.
@@ -49,6 +49,18 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def first_parts(words: list[str], inner: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """A row for each word: the ids of its bytes, the last one from ``last``, filled up with -1."""
+    raw = [w.encode() for w in words]
+    length = np.fromiter(map(len, raw), np.int64, len(raw))
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    out = np.full((len(raw), int(length.max())), -1, np.int32)
+    out[np.arange(out.shape[1]) < length[:, None]] = inner[flat]
+    if last is not None:
+        out[np.arange(len(raw)), length - 1] = last[flat[np.cumsum(length) - 1]]
+    return out
+
+
 class Merges:
     """Ranks of pairs of parts, and the part each makes."""
 
@@ -68,9 +80,9 @@ class Merges:
         return np.where(self.key[at] == key, self.rank[at], NO_RANK).astype(np.int32)
 
     def rows(self, parts: np.ndarray) -> list[bytes]:
-        """The parts of several words of one length after all merges, as little-endian unsigned 32-bit integers.
+        """The parts of several words after all merges, as little-endian unsigned 32-bit integers.
 
-        The lowest rank comes first, of equal ranks the leftmost.
+        The lowest rank comes first, of equal ranks the leftmost. Shorter words are filled up with -1, which joins nothing.
         """
         done = [b""] * len(parts)
         which = np.arange(len(parts))
@@ -81,9 +93,10 @@ class Merges:
             ended = low == NO_RANK
             if ended.any():
                 width = 4 * parts.shape[1]
+                sizes = 4 * (parts[ended] >= 0).sum(axis=1)
                 ids = parts[ended].astype("<u4").tobytes()
-                for k, w in enumerate(which[ended].tolist()):
-                    done[w] = ids[width * k:width * (k + 1)]
+                for k, (w, n) in enumerate(zip(which[ended].tolist(), sizes.tolist(), strict=True)):
+                    done[w] = ids[width * k:width * k + n]
                 going = ~ended
                 which, parts, joint, at, low = which[going], parts[going], joint[going], at[going], low[going]
             n = len(which)
@@ -102,6 +115,19 @@ class Merges:
                 joint[inside, side[inside]] = self.ranks(parts[inside, side[inside]], parts[inside, side[inside] + 1])
         return done
 
+    def of_words(self, words: list[str], inner: np.ndarray, last: np.ndarray | None = None) -> dict[str, bytes]:
+        """The ids of words. Those of up to 8, 16, 32 characters, and so on, are merged together."""
+        by_size = defaultdict(list)
+        for w in words:
+            by_size[(len(w) - 1).bit_length()].append(w)
+        out = {}
+        for group in by_size.values():
+            # a round's arrays stay small
+            for i in range(0, len(group), 1 << 14):
+                some = group[i:i + (1 << 14)]
+                out.update(zip(some, self.rows(first_parts(some, inner, last)), strict=True))
+        return out
+
     def long(self, parts: list[int]) -> list[int]:
         """The same for one long word, with a heap of pairs."""
         n, parts = len(parts), list(parts)
@@ -149,23 +175,15 @@ class Vocabulary:
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """The first parts of words of one length: a row for each, its bytes, the last one with the mark."""
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
-        return np.hstack([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]])
-
     def learn(self, words: Iterable[str]) -> None:
         """Find the ids of words, as little-endian unsigned 32-bit integers."""
-        by_length = defaultdict(list)
+        plain = []
         for w in words:
-            raw = w.encode()
-            by_length[len(raw)].append((w, raw))
-        for n, group in by_length.items():
-            if n > LONG_WORD:
-                for w, raw in group:
-                    self.words[w] = np.array(self.merges.long(self.symbols([raw])[0].tolist()), "<u4").tobytes()
+            if len(w) > LONG_WORD:
+                self.words[w] = np.array(self.merges.long(first_parts([w], self.inner, self.last)[0].tolist()), "<u4").tobytes()
             else:
-                self.words.update(zip([w for w, _ in group], self.merges.rows(self.symbols([raw for _, raw in group])), strict=True))
+                plain.append(w)
+        self.words.update(self.merges.of_words(plain, self.inner, self.last))
 
     def words_of(self, text: str) -> list[str]:
         """The words of a text without special strings."""

@@ -10,17 +10,22 @@ rank.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from fieldloom.llm.bpe import Merges, byte_characters
 from fieldloom.llm.common import materialise, per_portion, sized, text_key
 
 CAPACITY = 2048
@@ -30,35 +35,66 @@ UNIT = 8
 RANK_ROWS = 4_000
 # Encoded parts that a Python worker remembers, from task to task.
 REMEMBERED = 400_000
-_ENCODERS: dict[str, tuple] = {}
+# A word of letters up to Latin Extended-A, with the space before it, and signs behind; no apostrophe, which may begin a token.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]{1,48})([!-&(-/:-@\\[-`{-~]{0,48})")
 
 
-def encoded(parts: set[str], vocabulary: str) -> dict[str, bytes]:
-    """The ids of each part. Up to REMEMBERED parts are kept for later portions and tasks of the worker."""
-    if vocabulary not in _ENCODERS:
+class Encoder:
+    """Parts of texts to ids with a byte-level vocabulary of the tokenizers library.
+
+    Most parts are a word and signs behind it, which such a vocabulary takes apart at once; those are merged many
+    together, see ``bpe``. All other parts go to the library.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[vocabulary] = (tokenizer, {})
-    tokenizer, known = _ENCODERS[vocabulary]
-    out = {p: known[p] for p in parts if p in known}
-    fresh = list(parts.difference(out))
-    for i in range(0, len(fresh), 20_000):
-        some = fresh[i:i + 20_000]
-        new = dict(zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out.update(new)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        ids, cut = spec["model"]["vocab"], spec["pre_tokenizer"] or {}
+        # a vocabulary with other rules is left to the library altogether
+        self.plain = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not any(
+            spec["model"].get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges"))
+        if self.plain:
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+            self.merges = Merges([(ids[a], ids[b]) for a, b in pairs], [ids[a + b] for a, b in pairs])
+            self.bytes = np.array([ids[c] for c in byte_characters()], np.int32)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Up to REMEMBERED words and parts are kept for later portions and tasks of the worker."""
+        known = self.known
+        found = list(map(known.get, parts))
+        fresh = {p for p, ids in zip(parts, found, strict=True) if ids is None}
+        if not fresh:
+            return found
+        words = {p: m for p in fresh if (m := _PLAIN.fullmatch(p))} if self.plain else {}
+        own = {m[i] for m in words.values() for i in (1, 2)}.difference(known, [""])
+        new = self.merges.of_words(list(own), self.bytes) if own else {}
+        ids_of = lambda w: new[w] if w in new else known[w] if w else b""
+        new.update([(p, ids_of(m[1]) + ids_of(m[2])) for p, m in words.items()])
+        rest = [p for p in fresh if p not in words]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i:i + 20_000]
+            new.update(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         if len(known) < REMEMBERED:
             # long parts are whole texts that did not split
-            known.update((p, v) for p, v in new.items() if len(p) < 64)
-    return out
+            known.update((p, ids) for p, ids in new.items() if len(p) < 64)
+        return [new[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker and vocabulary."""
+    return Encoder(path)
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: doc_id, key (of the text), start, length, doc_tokens, ids (little-endian unsigned 32-bit).
 
-    A document is cut every ``capacity`` ids. A null text is an empty one and has only the end id.
+    A document is cut every ``capacity`` ids. A null text is an empty one and has only the end id. Ids of documents must be
+    integers or their text; other text is refused by the cast.
 
     A single space between two characters that are not white space always begins a
     new token of a byte-level vocabulary. Texts are therefore split there, and each
@@ -69,20 +105,33 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_
                          F.coalesce(spaced, F.lit(False)).alias("whole"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, whole = batch.column("text").to_pylist(), batch.column("whole").to_pylist()
-        # a part keeps the space before it; the first part of a text has none
-        parts = [[t] if w or " " not in t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t, w in zip(texts, whole, strict=True)]
-        ids_of = encoded(set(chain.from_iterable(parts)), vocabulary)
-        end = np.asarray([end_id], "<u4").tobytes()
-        rows: list[tuple[int, int, int, int, bytes]] = []
-        for i, ps in enumerate(parts):
-            ids = b"".join(map(ids_of.__getitem__, ps)) + end
-            total = len(ids) // 4
-            rows.extend((i, start, min(capacity, total - start), total, ids[4 * start:4 * (start + capacity)]) for start in range(0, total, capacity))
-        of, start, length, total, ids = zip(*rows, strict=True) if rows else ((),) * 5
-        take = pa.array(of, pa.int64())
+        encode, n, whole = encoder(vocabulary).encode, batch.num_rows, batch.column("whole")
+        split = pc.split_pattern(pc.if_else(whole, "", batch.column("text")), " ")
+        flat, heads = split.flatten(), split.offsets.to_numpy()
+        # the first part of a text has no space before it; a text that does not split is its own first part
+        begin = pc.if_else(whole, batch.column("text"), flat.take(pa.array(heads[:-1]))).to_pylist()
+        seen = flat.dictionary_encode()
+        parts = encode([f" {p}" for p in seen.dictionary.to_pylist()])
+        table = [*parts, *encode(begin), np.asarray([end_id], "<u4").tobytes()]
+        which = seen.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which[heads[:-1]] = len(parts) + np.arange(n)
+        which = np.insert(which, heads[1:], len(table) - 1)
+        # the ids of all texts, one after the other
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        place = np.append(0, np.cumsum(size))[:-1]
+        many = size[which]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(place[which] - (ends - many), many) + np.arange(int(many.sum()))]
+        total = np.diff(np.append(0, ends[heads[1:] + np.arange(n)]))
+        pieces = -(-total // capacity)
+        of = np.repeat(np.arange(n), pieces)
+        start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+        length = np.minimum(capacity, total[of] - start)
+        bounds = 4 * np.append(0, np.cumsum(length))
+        cut = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+        take = pa.array(of)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
+            [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(start), pa.array(length), pa.array(total[of]), cut.cast(pa.binary())],
             ["doc_id", "key", "start", "length", "doc_tokens", "ids"])
 
     return source.mapInArrow(per_portion(work), "doc_id bigint, key binary, start bigint, length bigint, doc_tokens bigint, ids binary")
@@ -115,6 +164,20 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, without the threads of a linear algebra library, which may wait for each other in a driver."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:].copy()
+
+
 def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the cutting-stock linear program for the demand of lengths 1..n, and how often each is used (fractions)."""
     kinds = np.flatnonzero(demand > 0)
@@ -147,7 +210,7 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds:
         inverse = inverse - np.outer(change, row)
         inverse[out] = row
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             use = times(inverse, need)
     full = np.zeros((m, len(demand)), np.int64)
     full[:, kinds] = np.rint(basis.T).astype(np.int64)

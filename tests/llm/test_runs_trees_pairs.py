@@ -211,11 +211,12 @@ def test_pairs_of_all_characters(words):
 
 def test_scan_and_heap_agree(words):
     rng = random.Random(7)
-    merges = words[0].merges
-    for _ in range(500):
-        raw = "".join(rng.choice("abcdeinrst") for _ in range(rng.randrange(1, 90))).encode()
-        parts = words[0].symbols([raw])
-        assert np.frombuffer(merges.rows(parts.copy())[0], "<u4").tolist() == merges.long(parts[0].tolist())
+    vocabulary = words[0]
+    texts = ["".join(rng.choice("abcdeinrsté") for _ in range(rng.randrange(1, 90))) for _ in range(500)]
+    together = vocabulary.merges.of_words(texts, vocabulary.inner, vocabulary.last)
+    for text in texts:
+        parts = bpe.first_parts([text], vocabulary.inner, vocabulary.last)
+        assert np.frombuffer(together[text], "<u4").tolist() == vocabulary.merges.long(parts[0].tolist())
 
 
 def test_long_words(words):
