@@ -168,11 +168,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose shingle sets have at least this Jaccard similarity."""
-    left = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("left_set"))
-    right = shingles.select(F.col("key").alias("b"), F.col("shingles").alias("right_set"))
+    """The pairs (a, b) of keys whose shingle sets have at least this Jaccard similarity; ``pairs`` is a written table.
+
+    If the keys in question are few, only their sets are moved.
+    """
+    asked = sized(materialise(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
+    sets = shingles.join(asked, "key", "left_semi")
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("left_set"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("right_set"))
     shared = F.size(F.array_intersect("left_set", "right_set"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("left_set") + F.size("right_set")).alias("t"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("left_set") + F.size("right_set")).alias("t"))
     # s / (t - s) >= similarity, in whole thousandths
     return joined.where(1000 * F.col("s") >= round(1000 * similarity) * (F.col("t") - F.col("s"))).select("a", "b")
 
@@ -210,7 +215,8 @@ def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), batch.column("root").take(pa.array(at)), pa.array(value[order][first]), pa.array(place[first]), pa.array(size[at])],
                                              ["key", "root", "shingle", "place", "size"])
 
-    firsts = materialise(sets.select("key", "root", "shingles").mapInArrow(begin, "key binary, root binary, shingle bigint, place bigint, size bigint"))
+    kind = sets.schema["key"].dataType.simpleString()
+    firsts = materialise(sets.select("key", "root", "shingles").mapInArrow(begin, f"key {kind}, root {kind}, shingle bigint, place bigint, size bigint"))
     several = firsts.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     firsts = materialise(firsts.join(several, "shingle"))
     left = firsts.select("shingle", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"), F.col("size").alias("size_a"))
@@ -238,36 +244,48 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     shingle by its occurrences when candidates are sought.
 
     Candidates: members of a band's bucket are compared with the bucket's leader,
-    the member that shares most buckets with others, and within random sub-buckets
-    of about eight. Members of buckets that still hold several classes are then
-    compared wherever their rarest shingles allow the similarity, so that no
-    similar pair of a bucket is left out.
+    the member that shares most buckets with others; first with the greatest of
+    their leaders, then with those that are still in another class, and then
+    within random sub-buckets of about eight. Members of buckets that still hold
+    several classes are compared wherever their rarest shingles allow the
+    similarity, so that no similar pair of a bucket is left out.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), text_key(F.col(text)).alias("key"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), text_key(F.col(text)).alias("text_key"))
     signed = materialise(with_bands(source, weighting, bands, rows))
-    nodes = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    distinct = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    # from here on a text is a number
+    nodes = materialise(distinct.withColumn("key", F.monotonically_increasing_id()))
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(buckets.join(sizes, "bucket"))
-    crowd = members.groupBy("key").agg(F.sum("size").alias("crowd"))
-    leaders = members.join(crowd, "key").groupBy("bucket").agg(F.max(F.struct("crowd", "key")).alias("lead")).select("bucket", F.col("lead.key").alias("b"))
-    star = materialise(members.join(leaders, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").distinct())
-
-    wanted = members.select("key").distinct().join(nodes.select("key", "rep"), "key")
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(doc_id).alias("id"), F.lower(F.col(text)).alias("text"))
-    one = texts.join(wanted, (texts["key"] == wanted["key"]) & texts["id"].eqNullSafe(wanted["rep"])).select(texts["key"], "text").dropDuplicates(["key"])
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    members = materialise(buckets.join(sized(sizes), "bucket"))
+    crowd = materialise(members.groupBy("key").agg(F.sum("size").alias("crowd")))
+    leaders = members.join(sized(crowd), "key").groupBy("bucket").agg(F.max(F.struct("crowd", "key")).alias("lead")).select("bucket", F.col("lead.key").alias("b"), "lead.crowd")
+    star = materialise(members.join(sized(materialise(leaders)), "bucket").where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.first("crowd").alias("crowd")))
+
+    wanted = crowd.select("key").join(nodes.select("key", "text_key", "rep"), "key")
+    texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(doc_id).alias("id"), F.lower(F.col(text)).alias("text"))
+    one = texts.join(wanted, (texts["text_key"] == wanted["text_key"]) & texts["id"].eqNullSafe(wanted["rep"])).select("key", "text").dropDuplicates(["key"])
     shingles = materialise(with_shingles(one))
-    first = materialise(similar_pairs(star, shingles, similarity))
+    best = materialise(star.groupBy("a").agg(F.max(F.struct("crowd", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    first = materialise(similar_pairs(best, shingles, similarity))
     roots = components(first)
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    # the other leaders, where they are in another class
+    rest = star.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = materialise(rest.join(best, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        first = materialise(first.unionByName(similar_pairs(rest, shingles, similarity)))
+        roots = components(first)
 
     # what the leaders left apart
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "size", F.coalesce("root", "key").alias("root"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     sub = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / SUB_BUCKET))
-    groups = placed.join(apart, "bucket").groupBy("bucket", sub.alias("sub")).agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("g"))
+    groups = placed.join(sized(materialise(apart)), "bucket").groupBy("bucket", sub.alias("sub")).agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("g"))
     tails = F.transform("g", lambda x, i: F.struct(x.alias("x"), F.filter(F.slice("g", i + 2, F.size("g")), lambda y: y["root"] != x["root"]).alias("ys")))
     pairs = groups.select(F.explode(tails).alias("t")).select(F.col("t.x").alias("x"), F.explode("t.ys").alias("y"))
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    pairs = materialise(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
     second = materialise(similar_pairs(pairs, shingles, similarity))
     if second.limit(1).count():
         roots = components(first.unionByName(second))
@@ -275,21 +293,21 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # what is still apart in a bucket, exactly
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = materialise(placed.join(apart, "bucket").select("key", "root").distinct())
+    open_ = materialise(placed.join(sized(materialise(apart)), "bucket").select("key", "root").distinct())
     if open_.limit(1).count():
-        pairs = sharing_pairs(shingles.join(open_, "key"), similarity)
+        pairs = materialise(sharing_pairs(shingles.join(sized(open_), "key"), similarity))
         third = materialise(similar_pairs(pairs, shingles, similarity))
         if third.limit(1).count():
             roots = components(first.unionByName(second).unionByName(third))
 
-    rooted = nodes.select("key", "rep", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = nodes.select("key", "text_key", "rep", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted)
-    best = F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "key")))
-    classes = rooted.groupBy("root").agg(F.coalesce(best, F.min(F.struct("rep", "key"))).alias("best"), F.sum("n").alias("class_size"))
-    labelled = rooted.join(classes, "root").select("key", F.col("best.rep").alias("class_id"), F.col("best.key").alias("class_key"), "class_size")
-    out = signed.select("doc_id", "key").join(labelled, "key")
-    chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
-    return out.select("doc_id", "key", "class_id", "class_size", chosen.alias("representative"))
+    best = F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "text_key")))
+    classes = rooted.groupBy("root").agg(F.coalesce(best, F.min(F.struct("rep", "text_key"))).alias("best"), F.sum("n").alias("class_size"))
+    labelled = rooted.join(classes, "root").select("text_key", F.col("best.rep").alias("class_id"), F.col("best.text_key").alias("class_key"), "class_size")
+    out = signed.select("doc_id", "text_key").join(labelled, "text_key")
+    chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    return out.select("doc_id", F.col("text_key").alias("key"), "class_id", "class_size", chosen.alias("representative"))
 
 
 def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
