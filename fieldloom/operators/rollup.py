@@ -25,13 +25,17 @@ def partial_rollup(metrics: DataFrame) -> DataFrame:
     )
 
 
-def merge_rollup(partials: DataFrame) -> DataFrame:
-    """One row for each bucket from its partial sums."""
-    sums = partials.groupBy(*BUCKET).agg(
-        F.try_sum("exact_sum").alias("exact_sum"), F.sum("exact_count").alias("exact_count"), F.sum("plain_sum").alias("plain_sum"),
+def add_partials(partials: DataFrame) -> DataFrame:
+    """Partial sums added up: one row for each bucket, which can be added up again."""
+    return partials.groupBy(*BUCKET).agg(
+        F.try_sum("exact_sum").cast("decimal(38, 12)").alias("exact_sum"), F.sum("exact_count").alias("exact_count"), F.sum("plain_sum").alias("plain_sum"),
         F.sum("value_count").alias("value_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
         F.sum("sample_count").alias("sample_count"))
-    return finished(sums)
+
+
+def merge_rollup(partials: DataFrame) -> DataFrame:
+    """One row for each bucket from its partial sums."""
+    return finished(add_partials(partials))
 
 
 def finished(sums: DataFrame) -> DataFrame:

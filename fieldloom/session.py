@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,35 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _LOCAL_DIR: str | None = None
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path for it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, there = file_system(spark, path)
+    fs.delete(there, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are deleted at the end, also after an error.
+
+    What is to outlive the block has to be written elsewhere in it: a table that is still lazy would miss its files.
+    Scopes may be nested; a job that ends without one leaves its tables to the owner of the shared folder.
+    """
+    held: list[str] = []
+    token = _WRITTEN.set(held)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for path in held:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -68,5 +100,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/fieldloom/{uuid.uuid4().hex}"
+    held = _WRITTEN.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
