@@ -48,8 +48,8 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def portions(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a portion have about PORTION_BYTES together; a longer text is alone."""
+def portions(batch: pa.RecordBatch, column: str = "text", size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a portion have about ``size`` bytes together; a longer text is alone."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -58,17 +58,17 @@ def portions(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordB
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + PORTION_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
 
-def per_portion(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def per_portion(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", size: int = PORTION_BYTES) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function for ``mapInArrow`` that applies ``work`` to each portion."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for portion in portions(batch, column):
+            for portion in portions(batch, column, size):
                 yield work(portion)
 
     return run

@@ -33,6 +33,8 @@ CAPACITY = 2048
 UNIT = 8
 # Ranks are counted within so many remainders of a length, then shifted.
 RANK_ROWS = 4_000
+# Texts are encoded in portions of so many bytes: the larger, the fewer parts are looked up again.
+PORTION_BYTES = 8 << 20
 # Encoded parts that a Python worker remembers, from task to task.
 REMEMBERED = 400_000
 # A word of letters up to Latin Extended-A, with the space before it, and signs behind; no apostrophe, which may begin a token.
@@ -134,7 +136,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, doc_id: str = "doc_
             [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(start), pa.array(length), pa.array(total[of]), cut.cast(pa.binary())],
             ["doc_id", "key", "start", "length", "doc_tokens", "ids"])
 
-    return source.mapInArrow(per_portion(work), "doc_id bigint, key binary, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return source.mapInArrow(per_portion(work, size=PORTION_BYTES), "doc_id bigint, key binary, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 @dataclass
