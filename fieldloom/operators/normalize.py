@@ -208,7 +208,16 @@ def violation_record(get: Getter) -> Column:
         ],
         value_type,
     )
-    mismatch, outside = status == "type_mismatch", status == "out_of_range"
+    mismatch, outside, unconverted = status == "type_mismatch", status == "out_of_range", status == "conversion_failed"
+    shown = F.to_json(get("value"))
+    details = first_of(
+        [
+            (mismatch, F.concat(F.lit("Cannot convert "), actual, F.lit(" to "), m["datatype"], F.lit(": "), shown)),
+            (unconverted & m["program"].isNull(), F.concat(F.lit("Not a formula: "), m["conversion_formula"])),
+            (unconverted, F.concat(F.lit("Formula gives no number: "), m["conversion_formula"], F.lit(" for "), shown)),
+        ],
+        F.lit(None).cast("string"),
+    )
     record = F.struct(
         get("key").alias("field"),
         status.alias("error"),
@@ -217,6 +226,7 @@ def violation_record(get: Getter) -> Column:
         F.when(outside, get("typed_number")).alias("value"),
         F.when(outside, m["min_value"]).alias("min"),
         F.when(outside, m["max_value"]).alias("max"),
+        details.alias("details"),
     )
     return F.when(status.isin(FAILED), record)
 

@@ -153,6 +153,14 @@ CTES: dict[str, tuple[list[str], str]] = {
     "metric": (["kept", "done"], """
         SELECT d.event_time AS time, d.device_id, k.out_key AS metric, k.metric_value AS value, d.message_id
         FROM kept k JOIN done d USING (message_id) WHERE metric_value IS NOT NULL AND NOT starts_with(out_key, '_')"""),
+    "shown": (["kept"], """
+        SELECT message_id, out_key AS name, coalesce(CASE WHEN status = 'ok' THEN metric_value ELSE coalesce(typed_number, converted) END, num_value, try_cast(str_value AS DOUBLE)) AS number, str_value AS text FROM kept"""),
+    "property": (["done"], """
+        SELECT message_id, name, number, text FROM (SELECT message_id,
+          unnest(['source_protocol', 'source_topic', 'translation_confidence', 'schema_signature', 'inferred_context', 'llm_assisted']) AS name,
+          unnest([NULL, NULL, round(confidence, 6), try_cast(schema_signature AS DOUBLE), NULL, NULL]) AS number,
+          unnest([protocol, topic, NULL, CASE WHEN try_cast(schema_signature AS DOUBLE) IS NULL THEN schema_signature END, context, CASE WHEN llm_generated THEN 'true' END]) AS text FROM done)
+        WHERE number IS NOT NULL OR text IS NOT NULL"""),
     "day": (["sig"], """
         SELECT schema_signature, min(ts) AS created_at, count(*) AS hit_count FROM sig GROUP BY schema_signature, date_trunc('day', ts)"""),
     "dayfields": (["day", "sig", "field"], """
@@ -368,7 +376,8 @@ ORACLES: dict[str, str] = {
     "d9_check_ranges": with_ctes("SELECT message_id, key, out_of_range FROM checked", "checked"),
     "d10_route_invalid": with_ctes("SELECT message_id, key, status, out_key FROM normal", "normal"),
     "d11_violations": with_ctes("""SELECT message_id, key AS field, status AS error, CASE WHEN status = 'type_mismatch' THEN datatype END AS expected, CASE WHEN status = 'type_mismatch' THEN 'str' END AS actual,
-        CASE WHEN status = 'out_of_range' THEN round(typed_number, 6) END AS value, CASE WHEN status = 'out_of_range' THEN min_value END AS min, CASE WHEN status = 'out_of_range' THEN max_value END AS max
+        CASE WHEN status = 'out_of_range' THEN round(typed_number, 6) END AS value, CASE WHEN status = 'out_of_range' THEN min_value END AS min, CASE WHEN status = 'out_of_range' THEN max_value END AS max,
+        CASE WHEN status = 'type_mismatch' THEN 'Cannot convert str to ' || datatype || ': ' || to_json(str_value)::VARCHAR END AS details
         FROM normal WHERE status IN ('type_mismatch', 'out_of_range')""", "normal"),
     "d12_conversion_audit": with_ctes("SELECT message_id, key AS field, source_unit AS from_unit, target_unit AS to_unit, num_value AS original_value, round(converted, 6) AS converted_value FROM mapped WHERE converted IS NOT NULL", "mapped"),
     "d13_apply_precision": """SELECT l_orderkey, l_linenumber, target, round(sqrt(l_extendedprice), d) AS value FROM lineitem, (VALUES ('temperature_celsius', 2), ('humidity_percentage', 1), ('pressure_pascal', 6)) t(target, d)""",
@@ -405,6 +414,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT f.*, m.device_id AS target0 FROM fan f JOIN message m USING (message_id))""", "fan"),
     "e4_format_json": with_ctes("SELECT message_id, message_id AS id_in_json, schema_signature AS signature, context, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS event_time, topic FROM done", "done"),
     "e5_format_jsonld": with_ctes("SELECT message_id, 'urn:fieldloom:message:' || message_id AS id, 'sosa:Observation' AS type, device_id AS feature, context AS description, strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS result_time, protocol AS first_property FROM done", "done"),
+    "e4_format_json_whole": with_ctes(f"""SELECT message_id, 'data' AS part, name, {SIX.format("number")} AS number, CASE WHEN number IS NULL THEN text END AS text FROM shown
+        UNION ALL SELECT message_id, 'conversion', key, round(converted, 6), source_unit || '>' || target_unit FROM mapped WHERE converted IS NOT NULL
+        UNION ALL SELECT message_id, 'metadata', name, number, text FROM property""", "shown", "mapped", "property"),
+    "e5_format_jsonld_whole": with_ctes(f"""SELECT message_id, 'result' AS part, name, {SIX.format("number")} AS number, CASE WHEN number IS NULL THEN text END AS text FROM shown
+        UNION ALL SELECT DISTINCT message_id, 'result', '@type', NULL, 'sosa:Result' FROM done
+        UNION ALL SELECT message_id, 'property', name, number, text FROM property""", "shown", "property"),
     "e6_to_metrics": with_ctes(f"SELECT {TS.format('time')} AS time, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
     "e7_write_metrics": with_ctes(f"SELECT {TS.format('time')} AS time, strftime(time, '%Y-%m-%d') AS date, device_id, metric, {SIX.format('value')} AS value, message_id FROM metric", "metric"),
     "e9_delivery_report": with_ctes("""SELECT m.message_id, coalesce(bool_and(ok), true) AS success, coalesce(bool_or(ok), false) AS partial_success, count(output) AS outputs, coalesce(sum(CASE WHEN ok THEN 1 ELSE 3 END), 0)::BIGINT AS attempts

@@ -662,7 +662,7 @@ def d10(spark, folder):
 @query("d11_violations")
 def d11(spark, folder):
     rows = N.violations(normalized(spark, folder))
-    return rows.select("message_id", "field", "error", "expected", "actual", six("value").alias("value"), "min", "max")
+    return rows.select("message_id", "field", "error", "expected", "actual", six("value").alias("value"), "min", "max", "details")
 
 
 @query("d12_conversion_audit")
@@ -786,6 +786,39 @@ def e4(spark, folder):
                        g("value", "$.metadata.source_topic").alias("topic"))
 
 
+def number_or_text(text):
+    """A value read back from JSON: as a number, rounded, or else as text."""
+    number = text.try_cast("double")
+    return [six(number).alias("number"), F.when(number.isNull(), text).alias("text")]
+
+
+def json_rows(rows, path, part):
+    """The entries of an object inside the JSON text ``value``."""
+    held = F.from_json(F.get_json_object("value", path), "map<string,string>")
+    return rows.select("message_id", F.explode(held).alias("name", "v")).select("message_id", F.lit(part).alias("part"), "name", *number_or_text(F.col("v")))
+
+
+@query("e4_format_json_whole")
+def e4_whole(spark, folder):
+    """What a reader finds in the JSON text: all data, conversions and metadata."""
+    done, _ = dry_run(messages(spark, folder), as_of=F.col("ts"))
+    rows = materialise(E.format_json(done).select("message_id", "value"))
+    changes = F.from_json(F.get_json_object("value", "$.conversions"), "array<struct<field:string,from_unit:string,to_unit:string,converted_value:double>>")
+    changed = rows.select("message_id", F.explode(changes).alias("c")).select(
+        "message_id", F.lit("conversion").alias("part"), F.col("c.field").alias("name"), six("c.converted_value").alias("number"), F.concat("c.from_unit", F.lit(">"), "c.to_unit").alias("text"))
+    return json_rows(rows, "$.data", "data").unionByName(changed).unionByName(json_rows(rows, "$.metadata", "metadata"))
+
+
+@query("e5_format_jsonld_whole")
+def e5_whole(spark, folder):
+    """What a reader finds in the linked data: the whole result and all properties."""
+    done, _ = dry_run(messages(spark, folder), as_of=F.col("ts"))
+    rows = materialise(E.format_jsonld(done).select("message_id", "value"))
+    listed = F.from_json(F.get_json_object("value", "$.additionalProperty"), "array<struct<name:string,value:string>>")
+    properties = rows.select("message_id", F.explode(listed).alias("p")).select("message_id", F.lit("property").alias("part"), "p.name", *number_or_text(F.col("p.value")))
+    return json_rows(rows, "$['sosa:hasResult']", "result").unionByName(properties)
+
+
 @query("e5_format_jsonld")
 def e5(spark, folder):
     done, _ = dry_run(messages(spark, folder), as_of=F.col("ts"))
