@@ -100,6 +100,9 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT key, concept_id, unit, similarity FROM (
           SELECT key, ordinal, concept_id, unit, round(sum(weight * cw), 12) AS similarity FROM qvec JOIN cvec USING (bucket) GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, ordinal) = 1"""),
+    "open": (["field", "sig", "best"], f"""
+        SELECT e.schema_signature, e.message_id, f.key, f.pos, f.inferred_semantic AS h FROM (SELECT schema_signature, min(message_id) AS message_id FROM sig GROUP BY 1) e JOIN field f USING (message_id)
+        WHERE NOT (f.is_timestamp OR f.is_identifier) AND f.key NOT IN (SELECT key FROM best WHERE similarity >= {catalog.SIMILARITY_THRESHOLD})"""),
     "ruled": (["nm", "alias"], """
         SELECT key, concept_id, unit FROM (
           SELECT key, concept_id, unit, aord, CASE WHEN contains(lower(inferred_semantic), alias) OR contains(alias, lower(inferred_semantic)) THEN 0 ELSE 1 END AS stage
@@ -265,6 +268,13 @@ ORACLES: dict[str, str] = {
         f"nullif(regexp_extract(topic, '(?i){p}', 1), '')" for p in catalog.DEVICE_ID_PATTERNS) + """,
         list_filter(string_split(topic, '/'), lambda x: x <> '')[-1], 'unknown') AS device_id FROM (
         SELECT message_id AS id, topic FROM message UNION ALL SELECT 'page-' || page_id, url FROM pages UNION ALL SELECT 'doc-' || doc_id, 'Sensors/' || source || '/data' FROM documents)""", "message"),
+    "a6_classify_encoding": with_ctes(r"""SELECT id, CASE WHEN payload = '' THEN 'binary' WHEN json_valid(payload) THEN 'json'
+        WHEN list_bool_or(list_transform([',', ';', chr(9)], lambda m: list_min(list_transform(lines, lambda x: length(x) - length(replace(x, m, '')))) > 0
+          AND len(list_distinct(list_transform(lines, lambda x: length(x) - length(replace(x, m, ''))))) = 1)) THEN 'csv' ELSE 'binary' END AS payload_encoding
+        FROM (SELECT id, payload, string_split(trim(payload, ' ' || chr(9) || chr(13) || chr(10)), chr(10)) AS lines FROM (
+          SELECT message_id AS id, payload FROM message UNION ALL SELECT 'doc-' || doc_id, text FROM documents
+          UNION ALL SELECT 'customer-' || c_custkey, 'key;name;segment' || chr(10) || c_custkey || ';' || c_name || CASE WHEN c_custkey % 3 > 0 THEN ';' || c_mktsegment ELSE '' END || chr(10) FROM customer)
+        WHERE NOT starts_with(ltrim(payload), '<'))""", "message"),
     "a7_decode_json": with_ctes("""SELECT id, md5(d) AS document_md5, length(d)::BIGINT AS chars FROM (SELECT id,
         CASE WHEN json_valid(p) THEN CASE WHEN json_type(p) = 'OBJECT' THEN p ELSE '{"value":' || p || '}' END ELSE '{"_raw":"' || lower(hex(encode(p))) || '"}' END AS d
         FROM (SELECT message_id AS id, payload AS p FROM message UNION ALL SELECT 'doc-' || doc_id, text FROM documents UNION ALL SELECT 'order-' || o_orderkey, '[' || o_orderkey || ',7]' FROM orders))""", "message"),
@@ -330,6 +340,13 @@ ORACLES: dict[str, str] = {
         coalesce((SELECT min(f.pos) FROM (SELECT schema_signature, key, min(pos) AS pos, any_value(inferred_semantic) AS h FROM field JOIN sig USING (message_id) GROUP BY 1, 2) f
           WHERE f.schema_signature = s.schema_signature AND list_bool_or(list_transform(string_split(c.aliases, ' '), lambda a: contains(f.h, a)))), 1000000) AS rank
         FROM (SELECT DISTINCT schema_signature FROM sig) s, concept c) GROUP BY 1""", "sig", "concept"),
+    "c8_prompt_contents": with_ctes(f"""SELECT e.schema_signature, e.message_id, e.n AS open_fields, e.fields, c.concepts,
+          'Protocol: ' || m.protocol || chr(10) || 'Topic: ' || m.topic || chr(10) || 'Device: ' || m.device_id AS head
+        FROM (SELECT schema_signature, message_id, count(*) AS n, string_agg(key, ',' ORDER BY pos) AS fields FROM open GROUP BY ALL) e JOIN message m USING (message_id)
+        JOIN (SELECT schema_signature, string_agg(concept_id, ',' ORDER BY rank, ordinal) AS concepts FROM (
+          SELECT s.schema_signature, c.ordinal, c.concept_id, coalesce((SELECT min(f.pos) FROM open f WHERE f.schema_signature = s.schema_signature
+            AND list_bool_or(list_transform(string_split(c.aliases, ' '), lambda a: contains(f.h, a)))), 1000000) AS rank
+          FROM (SELECT DISTINCT schema_signature FROM open) s, concept c) GROUP BY 1) c USING (schema_signature)""", "open", "message", "concept"),
     "c9_load_llm_replies": with_ctes(f"""SELECT {EVENT_SIG} AS schema_signature, event_type AS source_field, concept AS target_concept, 't' || user_id AS target_field,
         round(least(1.0, value / 200), 6) AS confidence, event_type || ' device' AS device_context FROM reply WHERE concept IS NOT NULL
         UNION ALL SELECT {EVENT_SIG}, 'plain', 'power_watt', 'p', 0.8, event_type || ' device' FROM reply WHERE event_type <> 'error'""", "reply"),

@@ -173,6 +173,17 @@ def a6(spark, folder):
     return A.encoding_profile(feed.unionByName(docs).unionByName(pages))
 
 
+@query("a6_classify_encoding")
+def a6_rows(spark, folder):
+    """Each row's encoding, for texts that are no markup: messages, documents, and rows of customers as delimited lines."""
+    feed = messages(spark, folder).select(F.col("message_id").alias("id"), "payload")
+    docs = table(spark, folder, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.col("text").alias("payload"))
+    line = F.concat_ws(";", "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")))
+    lines = table(spark, folder, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("id"), F.concat(F.lit("key;name;segment\n"), line, F.lit("\n")).alias("payload"))
+    rows = A.classify_encoding(feed.unionByName(docs).unionByName(lines).where("NOT startswith(ltrim(payload), '<')"))
+    return rows.select("id", "payload_encoding")
+
+
 @query("a7_decode_json")
 def a7(spark, folder):
     feed = messages(spark, folder).select(F.col("message_id").alias("id"), "payload")
@@ -460,6 +471,16 @@ def c8(spark, folder):
     return P.build_prompt_requests(x, unresolved).select("schema_signature", "message_id", "open_fields", "prompt")
 
 
+@query("c8_prompt_contents")
+def c8_contents(spark, folder):
+    """What the requests hold, read back from their text: the open fields and the concepts, in order."""
+    rows = QUERIES["c8_build_prompt_requests"](spark, folder)
+    fields = F.slice(F.regexp_extract_all("prompt", F.lit(r"(?m)^\| ([^|]+) \|"), F.lit(1)), 2, 1000)
+    concepts = F.regexp_extract_all("prompt", F.lit(r"(?m)^- ([a-z0-9_]+): "), F.lit(1))
+    head = F.regexp_extract("prompt", r"(?m)^Protocol: (.*)\nTopic: (.*)\nDevice: (.*)$", 0)
+    return rows.select("schema_signature", "message_id", "open_fields", F.array_join(fields, ",").alias("fields"), F.array_join(concepts, ",").alias("concepts"), head.alias("head"))
+
+
 def replies(spark, folder):
     """One reply for each event: known, unknown and private concepts, odd confidences, prose around the JSON."""
     reply = F.expr("""concat(

@@ -40,7 +40,7 @@ def test_conversions_types_ranges(spark):
          ("w", "x", "warm", None, "fahrenheit", "(value * 9/5) + 32")])
     assert data == {"temperature_celsius": 23.5, "_invalid.humidity_percent": 150.0, "_error.voltage_volt": "abc", "pressure_bar": 1.01325,
                     "_unmapped.u": 1, "current_ampere": 12.5, "warm": 74.3}
-    assert [(v.field, v.error) for v in row.validation_errors] == [("h", "out_of_range"), ("q", "type_mismatch")]
+    assert [(v.field, v.error, v.details) for v in row.validation_errors] == [("h", "out_of_range", None), ("q", "type_mismatch", 'Cannot convert str to float: "abc"')]
     assert [(c.field, c.from_unit, c.converted_value) for c in row.conversions] == [("t", "fahrenheit", 23.5), ("p", "hectopascal", 1.01325), ("w", "unknown", 74.3)]
     assert row.event_time == NOW
 
@@ -87,6 +87,14 @@ def test_formulas(spark):
     assert table.select(run_program(F.col("program"), F.lit(None).cast("double")).alias("x")).where("x <> 7").count() == 0
 
 
+def test_details_of_failed_formulas(spark):
+    maps = [("a", "x", "a", None, None, "value / (value - 2)"), ("b", "x", "b", None, None, "value ** 2"), ("c", "x", "c", None, None, "value * 2")]
+    data, row = run(spark, '{"a":2,"b":3,"c":4}', maps)
+    assert [(v.field, v.error, v.details) for v in row.validation_errors] == [
+        ("a", "conversion_failed", "Formula gives no number: value / (value - 2) for 2"), ("b", "conversion_failed", "Not a formula: value ** 2")]
+    assert data["c"] == 8.0
+
+
 def test_formula_programs_match_python():
     rng = random.Random(4)
 
