@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.common import materialise, per_portion, sized
-from fieldloom.llm.near_dedup import with_shingles
 from fieldloom.llm.words import LOWER_ALNUM, flat, mix, windows, words
 
 SHINGLE = 5
@@ -30,8 +29,29 @@ CONTAINMENT = 0.8
 MISS = 1e-6
 # Bits of the table of benchmark shingles: 16 MB, whatever the size of the benchmark.
 TABLE_BITS = 27
-# A document's reduced shingles are searched in pieces of so many, overlapping by half.
+# A document's reduced shingles are searched in pieces of so many, overlapping by half; items are cut into pieces of at most so many.
 PIECE = 1024
+# Added to the class of a piece of a longer document.
+PART = 16
+
+
+def ordered_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in reading order, and the number of the text of each."""
+    element, owner, _ = windows(words(data, offsets, LOWER_ALNUM), SHINGLE)
+    return _first_places(element, owner)
+
+
+def _first_places(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(element):
+        return element, owner
+    order = np.lexsort((np.arange(len(element)), element, owner))
+    fresh = np.append(True, (element[order][1:] != element[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
+    first = np.sort(order[fresh])
+    return element[first], owner[first]
+
+
+def _listed(element: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(element.astype(np.int64)))
 
 
 def coordinates(document_class: int, item_class: int, containment: float, miss: float = MISS) -> int:
@@ -84,12 +104,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     a null text. Documents with the same id are searched apart and reported once, with the best containment; a null id
     stays null. Items with the same id are separate texts. Both tables may be empty.
 
-    An item spread over a document of more than 1,024 benchmark shingles is sought in pieces of that many, overlapping by
-    half: at least half of its needed shingles must stand in one piece. The check then covers the whole document.
+    An item of more than 1,024 shingles is cut into pieces in reading order: a document that holds its share of the whole
+    holds that share of one piece at least. An item spread over a document of more than 1,024 benchmark shingles is sought in
+    pieces of that many, overlapping by half: at least half of what it needs must stand in one piece. The check then covers
+    the whole item and the whole document.
     """
     spark = docs.sparkSession
     source = benchmark.select(F.col(item_id).alias("item_id"), F.lower(F.col(item_text)).alias("text"))
-    items = materialise(with_shingles(source).where(F.size("shingles") > 0).withColumn("item_key", F.monotonically_increasing_id()))
+
+    def cut_items(batch: pa.RecordBatch) -> pa.RecordBatch:
+        element, owner = ordered_shingles(*flat(batch.column("text")))
+        return pa.RecordBatch.from_arrays([batch.column("item_id"), _listed(element, np.bincount(owner, minlength=batch.num_rows))], ["item_id", "shingles"])
+
+    held = source.mapInArrow(per_portion(cut_items), T.StructType([source.schema["item_id"]]).add("shingles", T.ArrayType(T.LongType())))
+    items = materialise(held.where(F.size("shingles") > 0).withColumn("item_key", F.monotonically_increasing_id()))
     table = spark.sparkContext.broadcast(shingle_table(items))
 
     def reduce(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,25 +128,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         element, owner = element[hit], owner[hit]
         # first places in the text only, in reading order
-        order = np.lexsort((np.arange(len(element)), element, owner))
-        first = order[np.append(True, (element[order][1:] != element[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[:len(order)]] if len(order) else order
-        first.sort()
-        element, owner = element[first], owner[first]
+        element, owner = _first_places(element, owner)
         count = np.bincount(owner, minlength=batch.num_rows)
         rows = np.flatnonzero(count)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[rows])).astype(np.int32)), pa.array(element.astype(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), lists], ["doc_id", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), _listed(element, count[rows])], ["doc_id", "shingles"])
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
     kind = plain.schema["doc_id"].dataType
     reduced = plain.mapInArrow(per_portion(reduce), T.StructType([T.StructField("doc_id", kind), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     reduced = materialise(reduced.withColumn("row", F.monotonically_increasing_id()))
 
-    sizes = items.select(F.floor(F.log2(F.size("shingles"))).cast("int").alias("d")).distinct().collect()  # at most 31 classes
+    pieces_ = F.ceil(F.size("shingles") / PIECE)
+    ends = F.array(F.floor(F.size("shingles") / pieces_), F.ceil(F.size("shingles") / pieces_))
+    sizes = items.select(F.explode(ends).alias("n")).select(F.floor(F.log2("n")).cast("int").alias("d")).distinct().collect()  # at most 11 classes
     classes = sorted(r.d for r in sizes)
-    # half the share: an item may lie across two pieces
-    need = {(c, d): coordinates(c, d, containment if c < int(math.log2(PIECE)) else containment / 2) for c in range(int(math.log2(PIECE)) + 1) for d in classes}
-    most = {c: max((need[c, d] for d in classes), default=0) for c in range(int(math.log2(PIECE)) + 1)}
+    levels = range(int(math.log2(PIECE)) + 1)
+    # half the share in a piece of a longer document: an item may lie across two
+    need = {(c, d): coordinates(c, d, containment) for c in levels for d in classes} | {(c + PART, d): coordinates(c, d, containment / 2) for c in levels for d in classes}
+    most = {c: max((need[c, d] for d in classes), default=0) for c in (*levels, *(c + PART for c in levels))}
     deepest = {d: max(need[c, d] for c in most) for d in classes}
 
     def sign_documents(batches):
@@ -128,17 +155,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 starts = range(0, max(1, len(whole) - PIECE // 2), PIECE // 2) if len(whole) > PIECE else [0]
                 pieces = [whole[s:s + PIECE] for s in starts]
                 group = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-                level = np.array([int(math.log2(len(p))) for p in pieces])
+                level = np.array([int(math.log2(len(p))) + PART * (len(pieces) > 1) for p in pieces])
                 own, c, least = _signatures(np.concatenate(pieces), group, len(pieces), np.array([most[x] for x in level]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(level[own].astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(least.astype(np.int64))], ["row", "c", "i", "least"])
 
     def sign_items(batches):
         for batch in batches:
             lists = batch.column("shingles")
-            count = np.diff(lists.offsets.to_numpy())
+            whole = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            parts = -(-whole // PIECE)
+            of = np.repeat(np.arange(len(whole)), parts)
+            # pieces of an item differ by one shingle at most
+            place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            count = (place + 1) * whole[of] // parts[of] - place * whole[of] // parts[of]
             level = np.floor(np.log2(count)).astype(int)
             own, c, least = _signatures(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(count)), count), len(count), np.array([deepest[x] for x in level]))
-            yield pa.RecordBatch.from_arrays([batch.column("item_key").take(pa.array(own)), pa.array(level[own].astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(least.astype(np.int64))], ["item_key", "d", "i", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_key").take(pa.array(of[own])), pa.array(level[own].astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(least.astype(np.int64))], ["item_key", "d", "i", "least"])
 
     document_side = reduced.select("row", "shingles").mapInArrow(sign_documents, "row bigint, c int, i int, least bigint")
     item_side = sized(materialise(items.select("item_key", "shingles").mapInArrow(sign_items, "item_key bigint, d int, i int, least bigint")))

@@ -242,6 +242,25 @@ def test_items_in_a_document_of_many_pieces(spark):
     assert decontaminate.contaminated(docs, benchmark).where("doc_id = 0").count() == 120
 
 
+def test_large_items_are_found(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [[word() for _ in range(n + 4)] for n in (9000, 9000, 5000, 1500, 1025, 1024, 700)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        for share in (0.85, 0.7):
+            n = len(item) - 4
+            at = rng.randrange(max(1, int(n * (1 - share))))
+            docs.append(" ".join([*(word() for _ in range(300)), *item[at:at + math.ceil(share * n) + 4], *(word() for _ in range(300)), *(items[-1][:200] if i < 6 else [])]))
+            if share > 0.8:
+                want.add((len(docs) - 1, i))
+    docs.append(" ".join(x for item in items for x in item))
+    want |= {(len(docs) - 1, i) for i in range(len(items))}
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id int, text string")
+    got = decontaminate.contaminated(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.item_size == len(items[r.item_id]) - 4 for r in got)
+
+
 def test_containment_of_nothing(spark):
     docs, benchmark = spark.createDataFrame(NULLS, DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(docs, benchmark).count() == 0
