@@ -33,8 +33,6 @@ ADDED = 0.1
 MIN_COUNT = 8
 # Least divergence (nats) of a retained context from the next shorter one.
 DIVERGENCE = 1.0
-# Classes of next words that contexts are tested on: one for each hash, so the words themselves. The brute force reads it.
-CLASSES = 1 << 64
 # Occurrences that the shorter context is worth in a longer one.
 WEIGHT = 1.0
 

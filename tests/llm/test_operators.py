@@ -442,26 +442,14 @@ def tree_by_force(texts: list[str], learn: list[bool]) -> list[tuple[int, float,
                 one[w[i - 1]][w[i]] += 1
                 two[w[i - 2] if i > 1 else None, w[i - 1]][w[i]] += 1
     total, distinct = sum(count.values()), len(count)
-    code = {x: suffix_tree._END if x == "</end>" else license_scan.hash_of([x])[0] for x in count}
-    klass = lambda x: int(code[x] & np.uint64(suffix_tree.CLASSES - 1))
-    background: Counter = Counter()
-    for s, nexts in one.items():
-        if count[s] >= suffix_tree.MIN_COUNT:
-            for x, n in nexts.items():
-                background[klass(x)] += n
-    whole, kept1, kept2 = max(1, sum(background.values())), set(), set()
-    for s, nexts in one.items():
-        n, by = sum(nexts.values()), Counter()
-        for x, k in nexts.items():
-            by[klass(x)] += k
-        if n >= suffix_tree.MIN_COUNT and sum(k * math.log(k / n / (background[c] / whole)) for c, k in by.items()) >= suffix_tree.DIVERGENCE * n:
-            kept1.add(s)
-    for g, nexts in two.items():
-        n = sum(nexts.values())
-        if g[1] in kept1 and n >= suffix_tree.MIN_COUNT:
-            parent = one[g[1]]
-            if sum(k * math.log(k / n / (parent[x] / sum(parent.values()))) for x, k in nexts.items()) >= suffix_tree.DIVERGENCE * n - 1e-9:
-                kept2.add(g)
+
+    def apart(nexts, shorter) -> bool:
+        n, m = sum(nexts.values()), sum(shorter.values())
+        return n >= suffix_tree.MIN_COUNT and sum(k * math.log(k / n / (shorter[x] / m)) for x, k in nexts.items()) >= suffix_tree.DIVERGENCE * n - 1e-9
+
+    kept2 = {g for g, nexts in two.items() if apart(nexts, one[g[1]])}
+    # a context stays if a longer one below it does
+    kept1 = {s for s, nexts in one.items() if apart(nexts, count)} | {g[1] for g in kept2}
     out = []
     for t in texts:
         w, score, base = cut(t), 0.0, 0.0
