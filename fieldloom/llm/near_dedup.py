@@ -228,6 +228,11 @@ def sharing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & able).select("a", "b").distinct()
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """The buckets whose members are of several classes."""
+    return placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set",
                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document: doc_id, key (of the text), class_id, class_size, representative.
@@ -274,31 +279,33 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # the other leaders, where they are in another class
     rest = star.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     rest = materialise(rest.join(best, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         first = materialise(first.unionByName(similar_pairs(rest, shingles, similarity)))
         roots = components(first)
 
     # what the leaders left apart
+    links = first
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", "size", F.coalesce("root", "key").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    sub = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / SUB_BUCKET))
-    groups = placed.join(sized(materialise(apart)), "bucket").groupBy("bucket", sub.alias("sub")).agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("g"))
-    tails = F.transform("g", lambda x, i: F.struct(x.alias("x"), F.filter(F.slice("g", i + 2, F.size("g")), lambda y: y["root"] != x["root"]).alias("ys")))
-    pairs = groups.select(F.explode(tails).alias("t")).select(F.col("t.x").alias("x"), F.explode("t.ys").alias("y"))
-    pairs = materialise(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
-    second = materialise(similar_pairs(pairs, shingles, similarity))
-    if second.limit(1).count():
-        roots = components(first.unionByName(second))
-
-    # what is still apart in a bucket, exactly
-    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = materialise(placed.join(sized(materialise(apart)), "bucket").select("key", "root").distinct())
-    if open_.limit(1).count():
-        pairs = materialise(sharing_pairs(shingles.join(sized(open_), "key"), similarity))
-        third = materialise(similar_pairs(pairs, shingles, similarity))
-        if third.limit(1).count():
-            roots = components(first.unionByName(second).unionByName(third))
+    apart = materialise(_apart(placed))
+    if not apart.isEmpty():
+        sub = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / SUB_BUCKET))
+        groups = placed.join(sized(apart), "bucket").groupBy("bucket", sub.alias("sub")).agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("g"))
+        tails = F.transform("g", lambda x, i: F.struct(x.alias("x"), F.filter(F.slice("g", i + 2, F.size("g")), lambda y: y["root"] != x["root"]).alias("ys")))
+        pairs = groups.select(F.explode(tails).alias("t")).select(F.col("t.x").alias("x"), F.explode("t.ys").alias("y"))
+        pairs = materialise(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
+        second = materialise(similar_pairs(pairs, shingles, similarity))
+        if not second.isEmpty():
+            links = links.unionByName(second)
+            roots = components(links)
+
+        # what is still apart in a bucket, exactly
+        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
+        open_ = materialise(placed.join(sized(materialise(_apart(placed))), "bucket").select("key", "root").distinct())
+        if not open_.isEmpty():
+            pairs = materialise(sharing_pairs(shingles.join(sized(open_), "key"), similarity))
+            third = materialise(similar_pairs(pairs, shingles, similarity))
+            if not third.isEmpty():
+                roots = components(links.unionByName(third))
 
     rooted = nodes.select("key", "text_key", "rep", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = materialise(rooted)
