@@ -33,8 +33,8 @@ CAPACITY = 2048
 UNIT = 8
 # Ranks are counted within so many remainders of a length, then shifted.
 RANK_ROWS = 4_000
-# Texts are encoded in portions of so many bytes: the larger, the fewer parts are looked up again.
-PORTION_BYTES = 8 << 20
+# Texts are encoded in portions of so many bytes: larger ones look up fewer parts again but take more memory.
+PORTION_BYTES = 2 << 20
 # Encoded parts that a Python worker remembers, from task to task.
 REMEMBERED = 400_000
 # A word of letters up to Latin Extended-A, with the space before it, and signs behind; no apostrophe, which may begin a token.
