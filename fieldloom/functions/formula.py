@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions.rounding import exact_round
-from fieldloom.functions.rows import let
+from fieldloom.functions.rows import let, one_of
 from fieldloom.session import materialise
 
 # the name ``value``, a decimal number, one sign; spaces may follow
@@ -87,7 +87,7 @@ def run_program(program: Column, value: Column) -> Column:
         b, a, op = F.get(stack, F.lit(0)), F.get(stack, F.lit(1)), s["op"]
         two = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise(a / F.nullif(b, F.lit(0.0)))
         pushed = F.when(op == "n", s["number"]).when(op == "v", value)
-        return (F.when(op.isin("n", "v"), F.concat(F.array(pushed), stack))
+        return (F.when(one_of(op, "n", "v"), F.concat(F.array(pushed), stack))
                 .when(op == "~", F.concat(F.array(-b), F.slice(stack, 2, F.size(stack))))
                 .otherwise(F.concat(F.array(two), F.slice(stack, 3, F.size(stack)))))
 

@@ -18,7 +18,7 @@ from fieldloom import catalog
 from fieldloom.functions import infer
 from fieldloom.functions.formula import STEP, formula_programs, run_program
 from fieldloom.functions.rounding import exact_round
-from fieldloom.functions.rows import Getter, Stage, built_once, chain, first_of, keep_last, let, widen_table
+from fieldloom.functions.rows import Getter, Stage, built_once, chain, first_of, keep_last, let, one_of, widen_table
 from fieldloom.plans.lookup import lookup_join
 from fieldloom.session import materialise
 
@@ -83,7 +83,7 @@ def enforce_stage(get: Getter) -> dict[str, Column]:
     moment = F.coalesce(
         infer.as_moment(get), F.when(converted.isNotNull(), F.timestamp_seconds(converted))
     )
-    as_number = kind.isin("float", "numeric_string")
+    as_number = one_of(kind, "float", "numeric_string")
     ok = (
         F.when(as_number, number.isNotNull())
         .when(kind == "integer", whole.isNotNull())
@@ -138,7 +138,7 @@ def route_stage(
         target = m["target_field"]
         is_float = (
             get("converted").isNotNull()
-            | F.coalesce(m["datatype"].isin("float", "numeric_string"), F.lit(False))
+            | F.coalesce(one_of(m["datatype"], "float", "numeric_string"), F.lit(False))
             | ((value_type == "float") & m["datatype"].isNull())
         )
         number = F.coalesce(get("typed_number"), get("converted"), get("num_value"))
@@ -160,7 +160,7 @@ def route_stage(
         def outcome(s: Column) -> Column:
             key = (
                 F.when(s == "unmapped", F.concat(F.lit("_unmapped."), get("key")))
-                .when(s.isin("conversion_failed", "type_mismatch"), F.concat(F.lit("_error."), target))
+                .when(one_of(s, "conversion_failed", "type_mismatch"), F.concat(F.lit("_error."), target))
                 .when(s == "out_of_range", F.concat(F.lit("_invalid."), target))
                 .otherwise(target)
             )
@@ -168,7 +168,7 @@ def route_stage(
                 get("typed_number").cast("variant")
             )
             out = (
-                F.when(s.isin("unmapped", "conversion_failed", "type_mismatch"), value)
+                F.when(one_of(s, "unmapped", "conversion_failed", "type_mismatch"), value)
                 .when(s == "null", fallback)
                 .when(s == "out_of_range", typed)
                 .when(integer, typed)
@@ -177,7 +177,7 @@ def route_stage(
                 .otherwise(value)
             )
             metric = F.when(
-                (s == "ok") & ~F.coalesce(m["datatype"].isin("string", "datetime"), F.lit(False)),
+                (s == "ok") & ~F.coalesce(one_of(m["datatype"], "string", "datetime"), F.lit(False)),
                 F.when(integer, get("typed_number"))
                 .when(m["datatype"] == "boolean", F.try_variant_get(get("typed_other"), "$", "boolean").cast("int").cast("double"))
                 .when(is_float, rounded)
@@ -200,7 +200,7 @@ def violation_record(get: Getter) -> Column:
     m, status, value_type = get("m"), get("status"), get("value_type")
     actual = first_of(
         [
-            (value_type.isin("string", "datetime", "numeric_string"), F.lit("str")),
+            (one_of(value_type, "string", "datetime", "numeric_string"), F.lit("str")),
             (value_type == "integer", F.lit("int")),
             (value_type == "boolean", F.lit("bool")),
             (value_type == "array", F.lit("list")),
@@ -228,7 +228,7 @@ def violation_record(get: Getter) -> Column:
         F.when(outside, m["max_value"]).alias("max"),
         details.alias("details"),
     )
-    return F.when(status.isin(FAILED), record)
+    return F.when(one_of(status, *FAILED), record)
 
 
 def conversion_record(get: Getter) -> Column:
@@ -347,7 +347,7 @@ def event_time(fields: str, names: tuple[str, ...] = ()) -> Column:
             candidates,
             lambda f: F.struct(
                 infer.as_moment(lambda n: f[n]).alias("moment"),
-                f["value_type"].isin("array", "object").alias("broken"),
+                one_of(f["value_type"], "array", "object").alias("broken"),
             ),
         )
         return F.get(F.filter(read, lambda r: r["moment"].isNotNull() | r["broken"]), F.lit(0))
@@ -386,7 +386,7 @@ def entry_array(
             key = routed["out_key"]
             if not include_invalid:
                 # only the audit records of a failed field stay
-                key = F.when(~routed["status"].isin(FAILED), key)
+                key = F.when(~one_of(routed["status"], *FAILED), key)
             own = {"out_key": key, "status": routed["status"], "out_value": routed["out_value"], "metric_value": routed["metric_value"]}
             return F.struct(*[(own[n] if n in own else get(n)).alias(n) for n in ENTRY])
 
@@ -398,7 +398,7 @@ def entry_array(
 
     entries = F.transform("fields", entry)
     dropped = ([] if include_unmapped else ["unmapped"]) + (["null"] if null_strategy == "omit" else [])
-    return F.filter(entries, lambda e: ~e["status"].isin(dropped)) if dropped else entries
+    return F.filter(entries, lambda e: ~one_of(e["status"], *dropped)) if dropped else entries
 
 
 def normalize(
@@ -438,7 +438,9 @@ def normalize(
     now = as_of if isinstance(as_of, Column) else (F.lit(as_of) if as_of is not None else F.current_timestamp())
     mapped_any = F.exists("fields", lambda f: F.map_contains_key("mapping", f["key"]))
     mapped_any = F.coalesce(mapped_any, F.lit(False))
-    out = joined.withColumn("entries", entries).withColumn("_time", event_time("fields", tuple(names or ())))
+    # as the item of an explode: a filter by time would else be pushed below the join with all that the time is read from
+    timed = joined.withColumn("_time", F.explode_outer(F.array(event_time("fields", tuple(names or ())))))
+    out = timed.withColumn("entries", entries)
     columns = [c for c in extracted.columns if c != "fields"]
     confidence = F.when(mapped_any, 1.0).otherwise(0.0)
     llm, context = F.lit(False), F.lit(None).cast("string")
