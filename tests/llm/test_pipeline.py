@@ -97,8 +97,8 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_each_operator_has_a_query():
     names = queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
-    assert {n for n in oracle_sql() if n.startswith("op")} == {"op2_url_filter", "op3_chat_format", "op9_license_scan", "op10_quality_rules"}
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
+    assert {n for n in oracle_sql() if n.startswith("op")} == {"op2_url_filter", "op3_chat_format", "op9_license_scan", "op10_quality_rules", "op11_period_runs", "op12_prefix_trie"}
 
 
 def test_held_out_accuracy(spark):
