@@ -6,19 +6,20 @@ of the context without its oldest word, or if a longer context is retained below
 it. Each symbol is scored in the longest retained context before it; distributions are smoothed towards the shorter
 context, down to the word frequencies.
 
-Texts are kept as blocks of local word numbers. What the corpus knows about a
-block's words and contexts is joined on their hashes and sent back to the block,
-so the tree may grow with the corpus: it is never broadcast or collected.
+Texts are kept as blocks of local word numbers. A block sends the hashes of its
+words, pairs and triples of words in sorted packed pieces, one for each range of
+hashes; each range adds up its counts and sends them back to the block in the
+same order. So the tree may grow with the corpus: it is never broadcast or
+collected. Of what stands in one block alone, the block knows all and sends nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,11 @@ from fieldloom.llm.common import materialise, portions
 from fieldloom.llm.words import NOT_SPACE, flat, mix, words
 
 # A block holds the words of about so many bytes of text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+# A range of hashes has about so many, those of all blocks together.
+RANGE_KEYS = 1 << 20
+# Marks of what was added up: it has its first block here; no other block has it.
+FIRST, ALONE = 1, 2
 # Share of an unseen word: added to every count.
 ADDED = 0.1
 # A context must be followed by a word so often.
@@ -97,35 +102,92 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return materialise(docs.mapInArrow(cut, schema).withColumn("block", F.monotonically_increasing_id()))
 
 
-def sent_back(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per block the values of ``columns`` by ``i``, packed: from rows (block, i, ...) to (block, i, columns)."""
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte: the leading bytes of the steps are zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _pack(steps.view(np.uint8).reshape(-1, 8).T.ravel())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = _unpack(data, "u1")
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pieces(block: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows (block, part, keys, n) of a block: its sorted hashes with their counts, cut by their first ``bits`` bits."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    part = ((keys >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(heads, len(part))[1:]
+    cuts = list(zip(heads, ends, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), block), pa.int64()), pa.array(part[heads]), pa.array([_pack_keys(keys[i:j]) for i, j in cuts], pa.binary()),
+                                       pa.array([_pack(n[i:j]) for i, j in cuts], pa.binary())], ["block", "part", "keys", "n"])
+
+
+_PIECE = "block bigint, part bigint, keys binary, n binary"
+
+
+def added_up(pieces: DataFrame, name: str, kind: str = "<i8") -> DataFrame:
+    """Per block, in the order of its sorted hashes: each one's sum of n over all blocks and its mark, as ``name`` and ``name``_mark."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("block")
+        keys = [_unpack_keys(x.as_py()) for x in table.column("keys")]
+        n = np.concatenate([_unpack(x.as_py(), kind) for x in table.column("n")])
+        value, head, inverse, blocks = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(inverse, n, len(value)).astype(kind)[inverse]  # whole numbers are exact up to 2^53
+        mark = np.zeros(len(n), np.uint8)
+        mark[head] = np.where(blocks == 1, ALONE, FIRST)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "total": pa.array([_pack(x) for x in np.split(total, ends)], pa.binary()),
+                         "mark": pa.array([_pack(x) for x in np.split(mark, ends)], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        i = table.column("i").to_numpy()
-        order = np.argsort(i)
-        out = {"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "i": pa.array([_pack(i[order].astype(np.int64))], pa.binary())}
-        out |= {c: pa.array([_pack(table.column(c).to_numpy()[order].astype(np.int64))], pa.binary()) for c in columns}
-        return pa.table(out)
+        table = table.combine_chunks().sort_by("part")
+        whole = lambda c, t: _pack(np.concatenate([_unpack(x.as_py(), t) for x in table.column(c)]))
+        return pa.table({"block": table.column("block")[:1], name: pa.array([whole("total", kind)], pa.binary()), f"{name}_mark": pa.array([whole("mark", "u1")], pa.binary())})
+
+    added = pieces.groupBy("part").applyInArrow(add, "block bigint, part bigint, total binary, mark binary")
+    return materialise(added.groupBy("block").applyInArrow(gather, f"block bigint, {name} binary, {name}_mark binary"))
 
-    schema = "block bigint, " + ", ".join(f"{c} binary" for c in ["i", *columns])
-    return materialise(rows.select("block", "i", *columns).groupBy("block").applyInArrow(gather, schema))
+
+def sent_back(rows: DataFrame) -> DataFrame:
+    """Per block its values of ``i``, packed: from rows (block, i) to (block, i)."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        return pa.table({"block": table.column("block")[:1], "i": pa.array([_pack(np.sort(table.column("i").to_numpy()).astype(np.int64))], pa.binary())})
+
+    return materialise(rows.select("block", "i").groupBy("block").applyInArrow(gather, "block bigint, i binary"))
+
+
+def _answered(keys: np.ndarray, asked: np.ndarray, n: np.ndarray, row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over all blocks and mark of each hash, from what came back for those that were asked for; of all others the block's own n is the sum."""
+    total, mark = n.copy(), np.full(len(n), ALONE, np.uint8)
+    if row[name] is not None:
+        where = np.flatnonzero(asked)
+        where = where[np.argsort(keys[where], kind="stable")]
+        total[where], mark[where] = _unpack(row[name], n.dtype.str), _unpack(row[f"{name}_mark"], "u1")
+    return total, mark
 
 
 class _Block:
     """The tokens of a block with what was sent back for its words."""
 
     def __init__(self, row: dict) -> None:
-        self.block = row["block"]
+        self.row, self.block = row, row["block"]
         self.lengths = np.asarray(row["lengths"], np.int64)
         self.learn = np.asarray(row["learn"], bool)
         self.tokens = _unpack(row["tokens"], "<u4").astype(np.int64)
         self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.count = _unpack(row["count"], "<i8")
+        words_ = np.asarray(row["vocabulary"]).view(np.uint64)
+        self.count, mark = _answered(words_, np.ones(len(words_), bool), np.zeros(len(words_), np.int64), row, "word")
+        self.vocabulary, self.alone = np.append(words_, _BEGIN), np.append(mark == ALONE, False)
         self.begin = np.append(0, np.cumsum(self.lengths))[:-1]
 
     def number_of(self, at: np.ndarray, number: np.ndarray, numbers: int) -> np.ndarray:
         """How often each number stands in texts to learn from."""
-        return np.bincount(number[self.learn[self.text[at]]], minlength=numbers)
+        return np.bincount(number[self.learn[self.text[at]]], minlength=numbers).astype(np.int64)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places after a frequent word or at a text's beginning, each one's number of (word, next), and the words of the numbers."""
@@ -155,30 +217,53 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: (c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) and n != "doc_id" else c[k].as_py()) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each (word, next) of a block whose word is frequent or the beginning of a text: (block, i, word, pair, n, next_count)."""
-    for row in _rows(batches):
-        b, vocabulary = _Block(row), np.append(np.asarray(row["vocabulary"]).view(np.uint64), _BEGIN)
-        at, number, word, following = b.pairs()
-        n = b.number_of(at, number, len(word))
-        pair = mix(mix(vocabulary[word]) + vocabulary[following])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), b.block)), pa.array(np.arange(len(word))), pa.array(vocabulary[word].view(np.int64)), pa.array(pair.view(np.int64)),
-                                          pa.array(n.astype(np.int64)), pa.array(b.count[following])], ["block", "i", "word", "pair", "n", "next_count"])
-
-
-def _triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each (oldest, word, next) of a block whose (oldest, word) is frequent: (block, i, word, pair, triple, n, share); share is that of next after word."""
-    for row in _rows(batches):
-        b, vocabulary = _Block(row), np.append(np.asarray(row["vocabulary"]).view(np.uint64), _BEGIN)
-        total = _unpack(row["total"], "<i8")
-        _, _, oldest, word = b.pairs()
-        at, pair, number, outer, head = b.triples(total)
-        n = b.number_of(at, number, len(head))
-        context = mix(mix(vocabulary[oldest[outer]]) + vocabulary[word[outer]])
-        triple = mix(mix(context) + vocabulary[b.tokens[head]])
-        share = total[pair[head]] / np.maximum(b.count[word[outer]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), b.block)), pa.array(np.arange(len(head))), pa.array(vocabulary[word[outer]].view(np.int64)), pa.array(context.view(np.int64)),
-                                          pa.array(triple.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(share)], ["block", "i", "word", "pair", "triple", "n", "share"])
+class _Pairs:
+    """The pairs (word, next) of a block: their hashes and counts here, which of them are asked for, and their sums once those came back.
+
+    Not asked for are pairs with a symbol that only this block has, whose counts here are all, and with a next word without a count.
+    """
+
+    def __init__(self, b: _Block) -> None:
+        self.at, self.number, self.word, self.next = b.pairs()
+        self.n = b.number_of(self.at, self.number, len(self.word))
+        self.keys = mix(mix(b.vocabulary[self.word]) + b.vocabulary[self.next])
+        self.asked = ~b.alone[self.word] & ~b.alone[self.next] & (b.count[self.next] > 0)
+        self.total, self.mark = _answered(self.keys, self.asked, self.n, b.row, "pair") if "pair" in b.row else (self.n, None)
+
+
+class _Triples:
+    """The triples (oldest, word, next) of a block whose (oldest, word) is frequent, as in ``_Pairs``; outer is the number of (oldest, word), inner that of (word, next)."""
+
+    def __init__(self, b: _Block, p: _Pairs) -> None:
+        self.at, pair, self.number, self.outer, head = b.triples(p.total)
+        self.inner = pair[head]
+        self.n = b.number_of(self.at, self.number, len(head))
+        self.keys = mix(mix(p.keys[self.outer]) + b.vocabulary[b.tokens[head]])
+        self.asked = (p.mark[self.outer] != ALONE) & (p.mark[self.inner] != ALONE) & (p.total[self.inner] > 0)
+        self.total, self.mark = _answered(self.keys, self.asked, self.n, b.row, "triple") if "triple" in b.row else (self.n, None)
+
+
+def _sums(number: np.ndarray, x: np.ndarray, numbers: int, mark: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of x by number, over what has its first block here and a count."""
+    own = (mark > 0) & (n > 0)
+    return np.bincount(number[own], x[own], numbers)
+
+
+class _Contexts:
+    """The contexts (oldest, word) of a block by number of their pair: their divergence here, which are asked for, and which are kept once all came back.
+
+    Each occurrence of one has a next word, so that the sum of its pair is also that of its triples.
+    """
+
+    def __init__(self, b: _Block, p: _Pairs, t: _Triples) -> None:
+        share = p.total[t.inner] / np.maximum(b.count, 1)[p.word[t.inner]]
+        gain = t.total * (np.log(np.maximum(t.total, 1)) - np.log(np.where(t.total > 0, share, 1)))
+        self.gain = _sums(t.outer, gain, len(p.word), t.mark, t.total).astype(np.float64)
+        present = np.bincount(t.outer, minlength=len(p.word)) > 0
+        self.asked = present & (p.mark != ALONE)
+        if "gain" in b.row:
+            total, _ = _answered(p.keys, self.asked, self.gain, b.row, "gain")
+            self.kept = present & (p.total >= MIN_COUNT) & (total - p.total * np.log(np.maximum(p.total, 1)) >= DIVERGENCE * p.total)
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: str = "learn") -> DataFrame:
@@ -191,44 +276,74 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = blocks_of(source)
 
-    # counts of words, sent back to the blocks that hold them; a word has one row for each block
-    own = blocks.select("block", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("i", "v")).select("block", "i", F.col("v.vocabulary").alias("word"), F.col("v.counts").alias("n"))
-    by_word = W.partitionBy("word")
-    counted = own.select("block", "i", F.sum("n").over(by_word).alias("count"), (F.row_number().over(by_word.orderBy("block")) == 1).cast("bigint").alias("first"))
-    counts = sent_back(counted, ["count", "first"])
-    known = lambda row: int(((_unpack(row["count"], "<i8") > 0) & (_unpack(row["first"], "<i8") > 0)).sum())
+    sizes = blocks.select(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n"), F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tokens"))
+    size = sizes.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+    total, bits = size.n or 0, max(0, ((size.tokens or 0) // RANGE_KEYS).bit_length())
 
-    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([known(row)], pa.int64())], ["v"])
-
-    total = blocks.select(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).agg(F.sum("n").alias("n")).first().n or 0
-    distinct = counts.mapInArrow(sizes, "v bigint").agg(F.sum("v").alias("v")).first().v or 0
-
-    # one-word contexts: the divergence of their next words from all words; a pair has one row for each block
-    parts = ["block", "lengths", "learn", "tokens", "vocabulary", "count"]
-    base = blocks.join(counts.select("block", "count"), "block")
-    by_pair, by_triple = W.partitionBy("pair"), W.partitionBy("triple")
-    pairs = base.select(*parts).mapInArrow(_pairs, "block bigint, i bigint, word bigint, pair bigint, n bigint, next_count bigint")
-    pairs = materialise(pairs.select("block", "i", "word", "next_count", F.sum("n").over(by_pair).alias("total"), (F.min("block").over(by_pair) == F.col("block")).alias("first")))
-    totals = sent_back(pairs, ["total"])
-    gain = F.sum(F.col("total") * (F.log("total") - F.log("next_count") + float(np.log(max(total, 1)))))
-    words_ = pairs.where((F.col("word") != int(_BEGIN)) & F.col("first") & (F.col("total") > 0)).groupBy("word").agg(F.sum("total").alias("n"), gain.alias("gain"))
+    def each(rows: DataFrame, cut: Callable[[dict], pa.RecordBatch], schema: str) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                yield cut(row)
+
+        return rows.mapInArrow(run, schema)
+
+    # counts of words
+    def word_pieces(row: dict) -> pa.RecordBatch:
+        return _pieces(row["block"], np.asarray(row["vocabulary"]).view(np.uint64), np.asarray(row["counts"], np.int64), bits)
+
+    counts = added_up(each(blocks.select("block", "vocabulary", "counts"), word_pieces, _PIECE), "word")
+
+    def known(row: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(((_unpack(row["word"], "<i8") > 0) & (_unpack(row["word_mark"], "u1") > 0)).sum())], pa.int64())], ["v"])
+
+    distinct = each(counts, known, "v bigint").agg(F.sum("v").alias("v")).first().v or 0
+
+    # one-word contexts: the divergence of their next words from all words
+    def pair_pieces(row: dict) -> pa.RecordBatch:
+        b = _Block(row)
+        p = _Pairs(b)
+        return _pieces(b.block, p.keys[p.asked], p.n[p.asked], bits)
+
+    def word_contexts(row: dict) -> pa.RecordBatch:
+        b = _Block(row)
+        p, numbers = _Pairs(b), len(b.count)
+        gain = p.total * (np.log(np.maximum(p.total, 1)) - np.log(np.maximum(b.count, 1))[p.next] + np.log(max(total, 1)))
+        n = _sums(p.word, p.total, numbers + 1, p.mark, p.total)[:numbers]
+        i = np.flatnonzero(np.bincount(p.word, minlength=numbers + 1)[:numbers])
+        gain = _sums(p.word, gain, numbers + 1, p.mark, p.total)[i]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b.block), pa.int64()), pa.array(i), pa.array(b.vocabulary[i].view(np.int64)), pa.array(n[i].astype(np.int64)), pa.array(gain.astype(np.float64))],
+                                          ["block", "i", "word", "n", "gain"])
+
+    base = blocks.select("block", "lengths", "learn", "tokens", "vocabulary").join(counts, "block")
+    deeper = base.join(added_up(each(base, pair_pieces, _PIECE), "pair"), "block", "left")
     apart = (F.col("n") >= MIN_COUNT) & (F.col("gain") - F.col("n") * F.log("n") >= DIVERGENCE * F.col("n"))
-    retained = words_.where(apart).select("word")
+    ones = materialise(each(deeper, word_contexts, "block bigint, i bigint, word bigint, n bigint, gain double"))
+    retained = ones.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain")).where(apart).select("word")
 
     # two-word contexts: the divergence of their next words from those of the newer word alone
-    deeper = base.join(totals.drop("i"), "block").select(*parts, "total")
-    triples = deeper.mapInArrow(_triples, "block bigint, i bigint, word bigint, pair bigint, triple bigint, n bigint, share double")
-    triples = materialise(triples.select("block", "i", "word", "pair", "share", F.sum("n").over(by_triple).alias("n"), (F.min("block").over(by_triple) == F.col("block")).alias("first")))
-    gain = F.sum(F.col("n") * (F.log("n") - F.log("share")))
-    kept = triples.where(F.col("first") & (F.col("n") > 0)).groupBy("pair").agg(F.min("word").alias("word"), F.sum("n").alias("n"), gain.alias("gain"))
-    kept = materialise(kept.where(apart).select("pair", "word"))
-    answers = sent_back(triples.select("block", "i", "pair", F.col("n").alias("n_pair_next")).join(kept.select("pair"), "pair"), ["n_pair_next"]).withColumnRenamed("i", "deep")
+    def triple_pieces(row: dict) -> pa.RecordBatch:
+        b = _Block(row)
+        t = _Triples(b, _Pairs(b))
+        return _pieces(b.block, t.keys[t.asked], t.n[t.asked], bits)
+
+    def gain_pieces(row: dict) -> pa.RecordBatch:
+        b = _Block(row)
+        p = _Pairs(b)
+        c = _Contexts(b, p, _Triples(b, p))
+        return _pieces(b.block, p.keys[c.asked], c.gain[c.asked], bits)
+
+    def kept_words(row: dict) -> pa.RecordBatch:
+        b = _Block(row)
+        p = _Pairs(b)
+        word = np.unique(b.vocabulary[p.next[_Contexts(b, p, _Triples(b, p)).kept]])
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64))], ["word"])
+
+    known_triples = deeper.join(added_up(each(deeper, triple_pieces, _PIECE), "triple"), "block", "left")
+    whole = known_triples.join(added_up(each(known_triples, gain_pieces, _PIECE), "gain", "<f8"), "block", "left")
 
     # a context is also retained below which a longer one is
-    retained = materialise(retained.union(kept.select("word")).distinct())
-    flags = sent_back(own.select("block", "i", "word").join(retained, "word"), [])
+    retained = materialise(retained.union(each(whole, kept_words, "word bigint")).distinct())
+    flags = sent_back(ones.select("block", "i", "word").join(retained, "word")).withColumnRenamed("i", "retained")
 
     kind = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)])
@@ -243,19 +358,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             add = lambda x, b=b, texts=texts: np.bincount(b.text, x, texts)
             base_score, n_known, states = add(np.log10(p)), add(c > 0), np.zeros(texts)
             if row["retained"] is not None:
-                keep = np.zeros(len(b.count) + 1, bool)
+                keep, pairs = np.zeros(len(b.count) + 1, bool), _Pairs(b)
                 keep[_unpack(row["retained"], "<i8")] = True
-                total_ = _unpack(row["total"], "<i8")
-                at, number, word, _ = b.pairs()
-                at, number = at[keep[word[number]]], number[keep[word[number]]]
-                p[at] = (total_[number] + WEIGHT * p[at]) / (b.count[word[number]] + WEIGHT)
+                use = keep[pairs.word[pairs.number]]
+                at, number = pairs.at[use], pairs.number[use]
+                p[at] = (pairs.total[number] + WEIGHT * p[at]) / (b.count[pairs.word[number]] + WEIGHT)
                 states = np.bincount(b.text[at], minlength=texts)
-                if row["deep"] is not None:
-                    at, _, number, outer, head = b.triples(total_)
-                    n = np.full(len(head), -1)
-                    n[_unpack(row["deep"], "<i8")] = _unpack(row["n_pair_next"], "<i8")
-                    at, number = at[n[number] >= 0], number[n[number] >= 0]
-                    p[at] = (n[number] + WEIGHT * p[at]) / (total_[outer[number]] + WEIGHT)
+                t = _Triples(b, pairs)
+                use = _Contexts(b, pairs, t).kept[t.outer[t.number]]
+                at, number = t.at[use], t.number[use]
+                p[at] = (t.total[number] + WEIGHT * p[at]) / (pairs.total[t.outer[number]] + WEIGHT)
             ids = pa.array(row["doc_id"], type=batch_type)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(b.lengths), pa.array(n_known.astype(np.int64)), pa.array(np.full(texts, total), pa.int64()), pa.array(base_score), pa.array(add(np.log10(p))), pa.array(states.astype(np.int64))],
@@ -264,5 +376,5 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(kind)
-    last = blocks.select("block", "doc_id", "lengths", "learn", "tokens").join(counts.select("block", "count"), "block").join(totals.drop("i"), "block").join(flags.withColumnRenamed("i", "retained"), "block", "left").join(answers, "block", "left")
+    last = whole.join(blocks.select("block", "doc_id"), "block").join(flags, "block", "left")
     return last.mapInArrow(score, schema)

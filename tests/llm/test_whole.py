@@ -98,3 +98,23 @@ def test_large_group_around_the_threshold(spark):
     assert len(links) > 100 and len(set(want.values())) > 500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()} == want
+
+
+def test_suffix_tree_by_ranges_of_hashes(spark, monkeypatch):
+    """Blocks, ranges and packed sums give the scores of one block, and no table holds a row for each pair of words."""
+    rng = random.Random(5)
+    lines = ["sing the low song now", "walk the long road home", "sing the high song now"]
+    texts = [" ".join(rng.choice([*lines, f"only{i} twice{i % 40} said"]) for _ in range(rng.randint(0, 14))) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id bigint, text string, learn boolean").repartition(3)
+    want = {r.doc_id: r for r in suffix_tree.score_texts(docs).collect()}
+    written = []
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(suffix_tree, "RANGE_KEYS", 50)
+    keep = suffix_tree.materialise
+    monkeypatch.setattr(suffix_tree, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    got = {r.doc_id: r for r in suffix_tree.score_texts(docs).collect()}
+    assert sum(r.n_states for r in got.values()) > 100
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.n_states) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens, want[i].n_states)
+        assert (r.base_score, r.score) == (pytest.approx(want[i].base_score), pytest.approx(want[i].score))
+    assert not any({"pair", "triple"} & {c for c, t in df.dtypes if t == "bigint"} for df in written)
