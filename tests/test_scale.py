@@ -2,12 +2,14 @@
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.rows import one_of
 from fieldloom.plans import queries as Q
 from fieldloom.plans.telemetry import dry_run
+from fieldloom.session import prepare
 from fieldloom.sources import messages as M
 
 
@@ -65,3 +67,12 @@ def test_every_50th_vector_is_a_query(spark, folder):
     rows = Q.QUERIES["c5_knn_join"](spark, folder).collect()
     assert {r.query_id for r in rows} == {0, 50, 100}
     assert [r.corpus_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 50][0] == 50
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    blocks = prepare(spark).range(0, 20, 1, 1).select(F.repeat(F.lit("x"), 3 << 20).alias("block"))
+    assert max(r.n for r in blocks.mapInArrow(rows, "n bigint").collect()) <= 4
