@@ -2,14 +2,16 @@
 
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.rows import one_of
+from fieldloom.operators import neighbours as K
 from fieldloom.plans import queries as Q
 from fieldloom.plans.telemetry import dry_run
-from fieldloom.session import prepare
+from fieldloom.session import materialise, prepare
 from fieldloom.sources import messages as M
 
 
@@ -69,6 +71,43 @@ def test_every_vector_is_a_query(spark, folder):
     assert [r.corpus_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 50][0] == 50
 
 
+def test_neighbours_meet_in_blocks_that_are_not_broadcast(spark, monkeypatch):
+    """Near copies, copies, repeated and missing ids, another length and no numbers, over several blocks."""
+    random = np.random.default_rng(5)
+    groups = random.normal(size=(6, 12))
+    vectors = [*(groups[i % 6] + random.normal(size=12) * (1e-6 if i % 3 else 0.3) for i in range(300)), np.zeros(12), *groups, *groups]
+    rows = [(i // 2 if i < 20 else i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(None, rows[0][1]), (900, None), (901, [1.0, None, *[0.0] * 10]), (902, [1.0] * 5), (903, [2.0] * 5)]
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    monkeypatch.setattr(K, "materialise", written)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(K, "PART_BYTES", 40 * 12 * 8)
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = K.knn_join(df, df, "id", "v", "id", "v", 4, 0.5).collect()
+    assert any("CartesianProduct" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if v and None not in v and any(v)]
+    want = []
+    for i, v in good:
+        scores = [(round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, w in good if len(v) == len(w)]
+        near = sorted((x for x in scores if x[0] >= 0.5), key=lambda x: (-x[0], 1e9 if x[1] is None else x[1]))[:4]
+        want += [(i, j, s) for s, j in near]
+    shown = lambda x: (str(x[0]), str(x[1]), round(x[2], 6))
+    assert sorted(shown((r.query_id, r.corpus_id, r.similarity)) for r in got) == sorted(map(shown, want))
+
+
+def test_similarities_round_as_in_spark(spark):
+    x = [0.5, 0.1234567885, 0.9999999995, 0.70710678118, 1.0000000000000002, -0.3000000005, 0.0, 2.5e-9]
+    x += [float(v) for v in np.random.default_rng(1).integers(0, 10**9, 500) / 1e9 + 5e-10]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(F.round("x", K.DIGITS).alias("y")).collect()]
+    assert K._rounded(np.array(x)).tolist() == want
+
+
 def test_batches_for_python_are_bounded_by_bytes(spark):
     def rows(batches):
         for batch in batches:
