@@ -171,9 +171,12 @@ _REPLY = (
 
 def parse_replies(replies: DataFrame) -> DataFrame:
     """The reply as a struct; if the text is no JSON, the span from the first to the last bracket."""
-    span = F.regexp_extract("reply", r"(\{[\s\S]*\})", 1)
+    reply = F.col("reply")
+    start, behind = F.locate("{", reply), F.locate("}", F.reverse(reply))
+    length = F.length(reply) - behind + 2 - start
+    span = F.when((start > 0) & (behind > 0) & (length > 1), F.substring(reply, start, length))
     # the JSON reader ignores text behind the first value, so each candidate is checked as a whole
-    text = F.when(is_whole_value(F.col("reply")), F.col("reply")).when(is_whole_value(span), span)
+    text = F.when(is_whole_value(reply), reply).otherwise(let(span, lambda s: F.when(is_whole_value(s), s)))
     return replies.withColumn("_r", F.from_json(text, _REPLY))
 
 
@@ -211,10 +214,13 @@ def load_llm_replies(replies: DataFrame, concepts: DataFrame | None = None) -> D
 
 
 def suggested_concepts(replies: DataFrame) -> DataFrame:
-    """New concepts of the replies, complete ones only."""
+    """New concepts of the replies, complete ones only.
+
+    The outer form keeps the optimiser from copying the parsing into a size check below the explode.
+    """
     rows = parse_replies(replies).select(
-        "schema_signature", F.posexplode("_r.suggested_new_concepts").alias("ordinal", "c")
-    ).select("schema_signature", "ordinal", "c.*")
+        "schema_signature", F.posexplode_outer("_r.suggested_new_concepts").alias("ordinal", "c")
+    ).filter(F.col("ordinal").isNotNull()).select("schema_signature", "ordinal", "c.*")
     complete = F.lit(True)
     for name in ("concept_id", "description", "unit", "datatype"):
         complete = complete & F.col(name).isNotNull()

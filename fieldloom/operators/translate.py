@@ -394,6 +394,7 @@ def learn_concepts(concepts: DataFrame, suggested: DataFrame) -> tuple[DataFrame
         (F.lit(0 if last is None else int(last) + 1) + F.col("_n")).alias("ordinal"),
         "concept_id", "s.description", "s.unit", "s.datatype", "s.aliases",
     )
-    winners = fresh.select("concept_id", "first.*")
+    # from the written table: the suggestions are aggregated once, and the planner knows the size of the winners
+    winners = arrived.select("concept_id", "first.*")
     rejected = suggested.join(winners, ["concept_id", "schema_signature", "ordinal"], "left_anti")
     return concepts.unionByName(rows), rejected

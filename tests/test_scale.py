@@ -1,5 +1,7 @@
 """Work is shared in pieces and no message is decoded twice, as seen in the plans."""
 
+import json
+import re
 from datetime import datetime
 
 import numpy as np
@@ -7,8 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom import catalog
 from fieldloom.functions.rows import one_of
 from fieldloom.operators import neighbours as K
+from fieldloom.operators import prompts as P
+from fieldloom.operators import translate as T
 from fieldloom.plans import queries as Q
 from fieldloom.plans.telemetry import dry_run
 from fieldloom.session import materialise, prepare
@@ -71,6 +76,40 @@ def test_every_vector_is_a_query(spark, folder):
     assert [r.corpus_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 50][0] == 50
 
 
+def test_suggestions_are_parsed_once_and_aggregated_once(spark, monkeypatch):
+    body = '{"suggested_new_concepts":[{"concept_id":"x","description":"d%d","unit":"u","datatype":"float"}]}'
+    rows = [(f"s{i}", body % i) for i in range(3)]
+    replies = spark.createDataFrame(rows, "schema_signature string, reply string")
+    shown = plan(P.suggested_concepts(replies))
+    assert shown.count("from_json(StructField(suggested_new_concepts") == 1 and "regexp" not in shown
+    known = catalog.concepts(spark)
+    concepts, rejected = T.learn_concepts(known, materialise(P.suggested_concepts(replies)))
+    assert [r.description for r in concepts.where("concept_id = 'x'").collect()] == ["d0"]
+    assert "Aggregate" not in plan(rejected) and sorted(r.description for r in rejected.collect()) == ["d1", "d2"]
+
+
+def test_span_of_a_reply(spark):
+    """The text from the first to the last bracket, where the reply is no JSON as a whole."""
+    body = '{"suggested_new_concepts":[{"concept_id":"x","description":"d","unit":"u","datatype":"float"}, null]}'
+    replies = [body, f"a {body} b", f"é{body}ü}}"[:-1], f"{body}}}", f"}}{body}", f"}} {body} {{", "}{", "{}", "}", "{", "", None, f"[{body}]", f"[{body}] x", f"{body} {body}", body[:-1]]
+    df = spark.createDataFrame(list(enumerate(replies)), "schema_signature int, reply string")
+    got = [r.schema_signature for r in P.suggested_concepts(df).collect()]
+
+    def whole(text):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    want = []
+    for i, reply in enumerate(replies):
+        found = re.search(r"\{[\s\S]*\}", reply or "")
+        value = whole(reply or "")
+        value = value if value is not None else whole(found.group() if found else "")
+        want += [i] * len([c for c in value["suggested_new_concepts"] if c] if isinstance(value, dict) and value else [])
+    assert sorted(got) == want
+
+
 def test_neighbours_meet_in_blocks_that_are_not_broadcast(spark, monkeypatch):
     """Near copies, copies, repeated and missing ids, another length and no numbers, over several blocks."""
     random = np.random.default_rng(5)
